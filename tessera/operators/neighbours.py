@@ -42,6 +42,12 @@ class Metric:
     weights: tuple = field(default=())
 
     def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """All distances, kept to 40 bits so that equal distances compare equal
+        however the sums behind them were ordered."""
+        mantissa, exponent = np.frexp(self._raw(a, b))
+        return np.ldexp(np.round(mantissa * 2.0**40) / 2.0**40, exponent)
+
+    def _raw(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if self.kind == "euclid":
             sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
             # The expansion cancels for close pairs: recompute those directly.
@@ -120,19 +126,25 @@ def _place(cells: _Cells):
 
 
 def knn(points: DataFrame, k: int, metric: Metric = Metric(), queries: DataFrame | None = None,
-        block: int = BLOCK) -> DataFrame:
+        block: int = BLOCK, total: int | None = None) -> DataFrame:
     """(i, rank, j, d): the k nearest points of each query, ties by id.
 
     `points` and `queries` hold (id BIGINT, vec ARRAY<DOUBLE>).  Without
     `queries` the points search among themselves and never find themselves.
+    `total`, when the caller knows it, saves a count.
     """
     same = queries is None
     points = points.select(F.col("id").cast("bigint").alias("id"), "vec")
     asked = points if same else queries.select(F.col("id").cast("bigint").alias("id"), "vec")
-    total = points.count()
-    if total == 0:
-        return asked.select(F.col("id").alias("i"), F.lit(0).alias("rank"), F.col("id").alias("j"),
-                            F.lit(0.0).alias("d")).limit(0)
+    total = points.count() if total is None else total
+    if total <= block and same:
+        # One bounded block: no cells to build.
+        def one(p: pd.DataFrame) -> pd.DataFrame:
+            x, pid = _matrix(p["vec"]), p["id"].to_numpy()
+            return pd.concat([_best(pid[lo:lo + 1024], pid, metric.between(x[lo:lo + 1024], x), k, True)
+                              for lo in range(0, len(p), 1024)])
+
+        return _rank(points.groupBy(F.lit(0)).applyInPandas(one, "i bigint, j bigint, d double"), k)
     cells = _Cells(_choose_pivots(points, total, block), metric)
     placed = points.mapInPandas(_place(cells), "id bigint, vec array<double>, cell int, r double")
     for row in placed.groupBy("cell").agg(F.count("id").alias("n"), F.max("r").alias("hi"),

@@ -9,6 +9,7 @@ never the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -20,29 +21,51 @@ from tessera.session import parallelism
 BUCKET = "_range"
 
 
-def with_ranges(df: DataFrame, value: str, ranges: int | None = None) -> DataFrame:
-    """Add the index of the value range each row falls in."""
-    ranges = ranges or parallelism(df.sparkSession)
+def _split_points(df: DataFrame, value: str, ranges: int) -> list[float]:
     probs = [i / ranges for i in range(1, ranges)]
-    points = sorted(set(df.approxQuantile(value, probs, 1 / (4 * ranges)))) if probs else []
+    found = df.approxQuantile(value, probs, 1 / (4 * ranges)) if probs else []
+    return [v for v in found if not math.isinf(v)]
+
+
+def _cut(df: DataFrame, value: str, points: Sequence[float], out: str) -> DataFrame:
     if not points:
-        return df.withColumn(BUCKET, F.lit(0.0))
-    cut = Bucketizer(
-        splits=[-float("inf"), *points, float("inf")], inputCol=value, outputCol=BUCKET,
-        handleInvalid="keep",
-    )
-    return cut.transform(df)
+        return df.withColumn(out, F.lit(0.0))
+    splits = [-float("inf"), *sorted(set(points)), float("inf")]
+    return Bucketizer(splits=splits, inputCol=value, outputCol=out, handleInvalid="keep").transform(df)
+
+
+def with_ranges(df: DataFrame, value: str, ranges: int | None = None, tie: str | None = None) -> DataFrame:
+    """Add the index of the value range each row falls in.
+
+    With `tie` (a numeric id) rows stay single and equal values are ordered by
+    it: a value heavy enough to fill a range gets ranges of its own, cut by id.
+    """
+    ranges = ranges or parallelism(df.sparkSession)
+    points = _split_points(df, value, ranges)
+    if tie is None:
+        return _cut(df, value, points, BUCKET)
+    heavy = sorted({v for v in points if points.count(v) > 1})
+    cut = _cut(df, value, [*points, *[math.nextafter(v, math.inf) for v in heavy]], BUCKET)
+    if not heavy:
+        return cut
+    hot = F.col(value).isin(heavy)
+    ids = _split_points(df.where(hot).select(F.col(tie).cast("double").alias("_t")), "_t", ranges)
+    sub = _cut(cut.withColumn("_t", F.col(tie).cast("double")), "_t", ids, "_sub")
+    # Room for the sub-ranges between two whole range numbers.
+    step = F.when(hot, F.col("_sub") / F.lit(float(len(ids) + 2))).otherwise(0.0)
+    return sub.withColumn(BUCKET, F.col(BUCKET) + step).drop("_t", "_sub")
 
 
 def running_totals(
-    table: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), ranges: int | None = None
+    table: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), ranges: int | None = None,
+    tie: str | None = None,
 ) -> DataFrame:
-    """For one row per (by, value): sums strictly below, up to, and in total.
+    """For one row per (by, value[, tie]): sums strictly before, up to, and in total.
 
     Adds `before_s`, `upto_s` and `total_s` for each column of `sums`.
     """
     by = list(by)
-    ranged = with_ranges(table, value, ranges)
+    ranged = with_ranges(table, value, ranges, tie)
     per_range = ranged.groupBy(*by, BUCKET).agg(*[F.sum(s).alias(f"_in_{s}") for s in sums])
     over_ranges = Window.partitionBy(*by, F.lit(0)).orderBy(BUCKET)
     earlier = over_ranges.rowsBetween(Window.unboundedPreceding, -1)
@@ -51,20 +74,11 @@ def running_totals(
         *[F.coalesce(F.sum(f"_in_{s}").over(earlier), F.lit(0)).alias(f"_off_{s}") for s in sums],
         *[F.sum(f"_in_{s}").over(Window.partitionBy(*by, F.lit(0))).alias(f"total_{s}") for s in sums],
     )
-    inside = Window.partitionBy(*by, BUCKET).orderBy(value)
+    inside = Window.partitionBy(*by, BUCKET).orderBy(value, *([tie] if tie else []))
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     scanned = ranged.select(*ranged.columns, *[F.sum(s).over(upto).alias(f"_run_{s}") for s in sums])
     # One row per range and group: Catalyst broadcasts it while it is small.
-    if by:
-        # null-safe: a group key may be NULL
-        off = offsets.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col(BUCKET).alias("_k_range"),
-                             *[c for c in offsets.columns if c not in by and c != BUCKET])
-        cond = F.col(BUCKET) == F.col("_k_range")
-        for c in by:
-            cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-        joined = scanned.join(off, cond)
-    else:
-        joined = scanned.join(offsets, BUCKET)
+    joined = scanned.join(offsets, [*by, BUCKET])
     keep = [c for c in table.columns]
     return joined.select(
         *keep,
@@ -74,6 +88,24 @@ def running_totals(
     )
 
 
+def with_previous(
+    table: DataFrame, value: str, cols: Sequence[str], by: Sequence[str] = (), tie: str | None = None
+) -> DataFrame:
+    """Add `prev_c`: the value of c in the row before, in global order."""
+    by = list(by)
+    ranged = with_ranges(table, value, tie=tie)
+    order = [value] + ([tie] if tie else [])
+    inside = Window.partitionBy(*by, BUCKET).orderBy(*order)
+    key = F.struct(*order)
+    lasts = ranged.groupBy(*by, BUCKET).agg(F.max_by(F.struct(*cols), key).alias("_last"))
+    over_ranges = Window.partitionBy(*by, F.lit(0)).orderBy(BUCKET)
+    lasts = lasts.select(*by, BUCKET, F.lag("_last").over(over_ranges).alias("_carry"))
+    lagged = ranged.select(*ranged.columns, F.lag(F.struct(*cols)).over(inside).alias("_prev"))
+    prev = F.coalesce("_prev", "_carry")
+    return lagged.join(lasts, [*by, BUCKET]).select(
+        *table.columns, *[prev[c].alias(f"prev_{c}") for c in cols])
+
+
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return (
         df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
