@@ -150,7 +150,7 @@ def unlabelled_cluster(assigned: DataFrame) -> DataFrame:
     per = assigned.groupBy("cluster").agg(
         F.avg((F.size("labels") == 0).cast("int")).alias("none_in"), F.count(F.lit(1)).alias("n"))
     overall = assigned.agg(F.avg((F.size("labels") == 0).cast("int"))).scalar()
-    lifted = per.select("cluster", (F.col("none_in") / overall).alias("lift")).where("lift > 1")
+    lifted = per.select("cluster", F.try_divide("none_in", overall).alias("lift")).where("lift > 1")
     return lifted.orderBy(F.desc("lift"), "cluster").limit(1)
 
 

@@ -93,7 +93,7 @@ def core_by_slope(nn: DataFrame, min_frac: float = 0.30, width: int = 20, slope_
         F.sqrt(F.greatest(F.lit(0.0), (syy - sxy * sxy / sxx) / k)).alias("rmse"))
     # The window [max(k0, k-width+1), k] as a bounded self-expansion: each fit
     # serves the next `width` ranks.
-    spread = fits.select("slope", (k + F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).alias("k"))
+    spread = fits.select("slope", F.explode(F.sequence(k, k + F.lit(width - 1))).alias("k"))
     span = spread.groupBy("k").agg((F.max("slope") - F.min("slope")).alias("span"))
     ok = fits.join(span, "k").where((F.col("span") <= slope_tol) & (F.col("rmse") <= rmse_tol))
     total = mu.agg(F.count(F.lit(1)).alias("n"))
@@ -148,3 +148,23 @@ def neighbour_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     size = lambda t, c: t.groupBy("i").agg(F.count(F.lit(1)).alias(c))
     per = size(a, "na").join(size(b, "nb"), "i").join(hit, "i", "left").withColumn("both", F.coalesce("both", F.lit(0)))
     return per.select("i", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
+
+
+def neighbour_r2(nn: DataFrame, values: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """(k, r2) of predicting a value by neighbours outside the own fold.
+
+    `values` holds (id, y, fold).  A point without such neighbours gets the mean
+    of the other folds.
+    """
+    a = values.select(F.col("id").alias("i"), F.col("y").alias("yi"), F.col("fold").alias("fi"))
+    b = values.select(F.col("id").alias("j"), F.col("y").alias("yj"), F.col("fold").alias("fj"))
+    folds = values.groupBy(F.col("fold").alias("fi")).agg(F.sum("y").alias("s"), F.count("y").alias("c"))
+    s_all, c_all = values.agg(F.sum("y")).scalar(), values.agg(F.count("y")).scalar()
+    folds = folds.select("fi", ((s_all - F.col("s")) / (c_all - F.col("c"))).alias("m"))
+    pairs = nn.join(b, "j").join(a, "i").select("i", "yi", "fi", "rank", F.when(F.col("fi") != F.col("fj"), F.col("yj")).alias("yj"))
+    per = pairs.groupBy("i", "yi", "fi").agg(*[F.avg(F.when(F.col("rank") <= k, F.col("yj"))).alias(f"p{k}") for k in ks])
+    per = per.join(folds, "fi")
+    gap = lambda k: F.avg(F.pow(F.col("yi") - F.coalesce(F.col(f"p{k}"), F.col("m")), 2))
+    wide = per.agg(F.var_samp("yi").alias("v"), *[gap(k).alias(f"e{k}") for k in ks])
+    rows = F.array(*[F.struct(F.lit(int(k)).alias("k"), F.greatest(F.lit(0.0), 1 - F.col(f"e{k}") / F.col("v")).alias("r2")) for k in ks])
+    return wide.select(F.explode(rows).alias("r")).select("r.k", "r.r2")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,16 +146,15 @@ def adaptive_ece(table: DataFrame, by: Sequence[str] = (), max_bins: int = 8, mi
 def _pool(pdf: pd.DataFrame) -> pd.DataFrame:
     """Merge adjacent violators inside one range of blocks."""
     pdf = pdf.sort_values("lo")
-    lo, hi, w, m = [], [], [], []
-    for a, b, wt, mean in zip(pdf["lo"], pdf["hi"], pdf["w"], pdf["m"]):
-        lo.append(a); hi.append(b); w.append(wt); m.append(mean)
-        while len(m) > 1 and m[-2] >= m[-1]:
-            total = w[-2] + w[-1]
-            m[-2] = (m[-2] * w[-2] + m[-1] * w[-1]) / total
-            w[-2], hi[-2] = total, hi[-1]
-            for side in (lo, hi, w, m):
-                side.pop()
-    return pd.DataFrame({"lo": lo, "hi": hi, "w": w, "m": m, "slot": np.resize(pdf["slot"].to_numpy()[:1], len(lo))})
+    out: list[list] = []
+    for lo, hi, w, m, slot in zip(pdf["lo"], pdf["hi"], pdf["w"], pdf["m"], pdf["slot"]):
+        out.append([lo, hi, w, m, slot])
+        while len(out) > 1 and out[-2][3] >= out[-1][3]:
+            last, into = out.pop(), out[-1]
+            total = into[2] + last[2]
+            into[3] = (into[3] * into[2] + last[3] * last[2]) / total
+            into[1], into[2] = last[1], total
+    return pd.DataFrame(out, columns=["lo", "hi", "w", "m", "slot"])
 
 
 def isotonic_blocks(table: DataFrame) -> DataFrame:
@@ -175,7 +173,10 @@ def isotonic_blocks(table: DataFrame) -> DataFrame:
     schema = "lo double, hi double, w double, m double, slot int"
     count, calm, shift = -1, 0, 0
     while calm < 2:
-        pair = F.floor((F.col("slot") + shift) / 2)
+        # At most one slot per range is left: number them anew, without holes.
+        left = sorted(r[0] for r in blocks.select("slot").distinct().collect())
+        dense = F.array_position(F.array(*[F.lit(v) for v in left]), F.col("slot")).cast("int")
+        pair = F.floor((dense + shift) / 2)
         blocks = cut_lineage(blocks.groupBy(pair.alias("_pair")).applyInPandas(_pool, schema))
         now = blocks.count()
         calm = calm + 1 if now == count else 0
@@ -194,3 +195,19 @@ def calibration_curve(table: DataFrame) -> DataFrame:
     numbered = running_totals(marked, "s", ["start"]).select("s", F.col("upto_start").alias("k"))
     order = running_totals(blocks.withColumn("one", F.lit(1)), "lo", ["one"]).select(F.col("upto_one").alias("k"), "m")
     return numbered.join(order, "k").select(F.col("s").alias("p"), F.col("m").alias("fit"))
+
+
+def signed_rank(diffs: DataFrame, d: str = "d") -> DataFrame:
+    """(v, n, z): signed-rank sum of positive differences, zeros dropped.
+
+    Ranks come from distinct absolute values with counts per sign.
+    """
+    t = diffs.where(F.col(d) != 0).groupBy(F.abs(F.col(d)).alias("a")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col(d) > 0).cast("bigint")).alias("up"))
+    scan = running_totals(t, "a", ["n"])
+    rank = F.col("before_n") + (F.col("n") + 1) / 2
+    c = F.col("n").cast("double")
+    out = scan.agg(F.sum(F.col("up") * rank).cast("double").alias("v"), F.sum("n").alias("n"), F.sum(c * (c * c - 1)).alias("ties"))
+    n = F.col("n").cast("double")
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    return out.select("v", "n", ((F.col("v") - n * (n + 1) / 4 - 0.5) / sd).alias("z"))

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 BLOCK = 2048
 MAX_PIVOTS = 256
 # Slack for bounds computed in floating point.
@@ -131,7 +133,8 @@ def knn(points: DataFrame, k: int, metric: Metric = Metric(), queries: DataFrame
 
     `points` and `queries` hold (id BIGINT, vec ARRAY<DOUBLE>).  Without
     `queries` the points search among themselves and never find themselves.
-    `total`, when the caller knows it, saves a count.
+    `total`, when the caller knows it, saves a count.  The result (points x k
+    rows) is checkpointed: it is far cheaper to read again than to find again.
     """
     same = queries is None
     points = points.select(F.col("id").cast("bigint").alias("id"), "vec")
@@ -144,7 +147,7 @@ def knn(points: DataFrame, k: int, metric: Metric = Metric(), queries: DataFrame
             return pd.concat([_best(pid[lo:lo + 1024], pid, metric.between(x[lo:lo + 1024], x), k, True)
                               for lo in range(0, len(p), 1024)])
 
-        return _rank(points.groupBy(F.lit(0)).applyInPandas(one, "i bigint, j bigint, d double"), k)
+        return cut_lineage(_rank(points.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(one, "i bigint, j bigint, d double"), k))
     cells = _Cells(_choose_pivots(points, total, block), metric)
     placed = points.mapInPandas(_place(cells), "id bigint, vec array<double>, cell int, r double")
     for row in placed.groupBy("cell").agg(F.count("id").alias("n"), F.max("r").alias("hi"),
@@ -169,6 +172,8 @@ def knn(points: DataFrame, k: int, metric: Metric = Metric(), queries: DataFrame
         sizes = {(r["cell"], r["part"]): r["n"] for r in
                  asked_at.groupBy("cell", "part").agg(F.count("id").alias("n")).collect()}
     home = _meet(asked_at.withColumn("slot", slice_of), located, sizes, cells, k, metric, same, block, spark)
+    # Read by the bound, the visits and the merge: written once.
+    home = cut_lineage(home)
     if int(cells.parts.sum()) == 1:
         return _rank(home, k)
     bound = home.groupBy("i").agg(
@@ -181,7 +186,7 @@ def knn(points: DataFrame, k: int, metric: Metric = Metric(), queries: DataFrame
     loads = {(r["cell"], r["part"]): r["n"] for r in
              visits.groupBy("cell", "part").agg(F.count("id").alias("n")).collect()}
     away = _meet(visits, located, loads, cells, k, metric, same, block, spark)
-    return _rank(home.unionByName(away), k)
+    return cut_lineage(_rank(home.unionByName(away), k))
 
 
 def _visits(cells: _Cells):

@@ -16,7 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import parallelism
+from tessera.session import cut_lineage, parallelism
 
 BUCKET = "_range"
 
@@ -160,6 +160,8 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "q", by: Sequence
         suffix = Window.partitionBy(*by, F.col(p).isNotNull()).orderBy(F.col(p).desc()).rangeBetween(
             Window.unboundedPreceding, 0)
         return ranked.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(suffix))).drop("_raw")
+    # Global scope takes several passes over this (small) table of results.
+    df = cut_lineage(df)
     scan = running_totals(value_counts(df, p), p, ["n"]).select(
         p, (F.col(p) * F.col("total_n") / F.col("upto_n")).alias("_raw"))
     ranged = with_ranges(scan, p)
