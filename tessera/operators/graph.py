@@ -164,17 +164,19 @@ def cluster_diagnostics(edges: DataFrame, membership: DataFrame, cluster: str =
 def soft_scores(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """(s_nn, q_soft) of soft memberships (id, u ARRAY<DOUBLE>) with rows summing to one.
 
-    s_nn is the edge-weighted mean of u_i . u_j; q_soft is modularity with
-    shared memberships, from per-factor sums of degree-weighted membership.
+    s_nn is the edge-weighted mean of u_i . u_j.  q_soft subtracts the degree
+    expectation over the same edges, scaled by the mean squared membership.
     """
-    ends = _with_ends(edges, membership, "u")
-    dot = F.aggregate(F.zip_with("c_src", "c_dst", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    facts = ends.agg(F.sum(F.col("w") * dot).alias("wd"), F.sum("w").alias("m"))
-    deg = degrees(edges).join(membership, "id").select("strength", F.posexplode("u").alias("f", "u"))
-    sq = deg.groupBy("f").agg(F.sum(F.col("strength") * F.col("u")).alias("t")).agg(
-        F.sum(F.col("t") * F.col("t"))).scalar()
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    deg = degrees(edges).join(membership, "id").select("id", F.struct("strength", "u").alias("e"))
+    ends = _with_ends(edges, deg, "e")
+    facts = ends.agg(
+        F.sum(F.col("w") * dot("c_src.u", "c_dst.u")).alias("wd"), F.sum("w").alias("m"),
+        F.sum(F.col("c_src.strength") * F.col("c_dst.strength")).alias("kk"))
+    square = membership.agg(F.avg(dot("u", "u"))).scalar()
     m = F.col("m")
-    return facts.select((F.col("wd") / m).alias("s_nn"), (F.col("wd") / m - sq / (4 * m * m)).alias("q_soft"))
+    return facts.select((F.col("wd") / m).alias("s_nn"),
+                        ((F.col("wd") - F.col("kk") * square / (2 * m)) / (2 * m)).alias("q_soft"))
 
 
 def absorb_support(edges: DataFrame, membership: DataFrame, cluster: str = "cluster",

@@ -256,9 +256,10 @@ def ari(spark, root):
 
 @query("i40_soft_scores", f"""
 WITH {_EG}, u AS (SELECT id, [CASE WHEN cluster < 5 THEN 0.8 ELSE 0.3 END, CASE WHEN cluster < 5 THEN 0.2 ELSE 0.7 END]::DOUBLE[] AS u FROM e),
-d AS (SELECT src, dst, w, list_dot_product(a.u, b.u) AS dp, a.u AS ua, b.u AS ub FROM ed JOIN u a ON a.id = src JOIN u b ON b.id = dst),
-t AS (SELECT sum(w) AS m, sum(w * dp) AS wd, sum(w * (ua[1] + ub[1])) AS t1, sum(w * (ua[2] + ub[2])) AS t2 FROM d)
-SELECT round(wd / m, 6) AS s_nn, round(wd / m - (t1*t1 + t2*t2) / (4*m*m), 6) + 0.0 AS q_soft FROM t""")
+bi AS (SELECT src AS id, w FROM ed UNION ALL SELECT dst, w FROM ed), k AS (SELECT id, sum(w) AS k FROM bi GROUP BY id),
+d AS (SELECT sum(w) AS m, sum(w * list_dot_product(a.u, b.u)) AS wd, sum(ka.k * kb.k) AS kk FROM ed JOIN u a ON a.id = src JOIN u b ON b.id = dst JOIN k ka ON ka.id = src JOIN k kb ON kb.id = dst),
+s AS (SELECT avg(list_dot_product(u, u)) AS sq FROM u)
+SELECT round(wd / m, 6) AS s_nn, round((wd - kk * sq / (2 * m)) / (2 * m), 6) + 0.0 AS q_soft FROM d, s""")
 def soft_scores(spark, root):
     u = embedded(spark, root).select("id", F.when(F.col("cluster") < 5, F.array(F.lit(0.8), F.lit(0.2))).otherwise(F.array(F.lit(0.3), F.lit(0.7))).alias("u"))
     return G.soft_scores(embedded_graph(spark, root), u).select(r6("s_nn").alias("s_nn"), r6("q_soft").alias("q_soft"))
