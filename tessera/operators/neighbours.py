@@ -134,7 +134,7 @@ def knn(points: DataFrame, k: int, metric: Metric = Metric(), queries: DataFrame
     `points` and `queries` hold (id BIGINT, vec ARRAY<DOUBLE>).  Without
     `queries` the points search among themselves and never find themselves.
     `total`, when the caller knows it, saves a count.  The result (points x k
-    rows) is checkpointed: it is far cheaper to read again than to find again.
+    rows) is written once: it is far cheaper to read again than to find again.
     """
     same = queries is None
     points = points.select(F.col("id").cast("bigint").alias("id"), "vec")
