@@ -98,6 +98,11 @@ class _Hyper:
         self.hi = min(self.white, self.drawn)
         self.mode = (self.white + 1) * (self.drawn + 1) // (self.total + 2)
 
+    @classmethod
+    def of(cls, white: int, drawn: int, total: int) -> "_Hyper":
+        a = max(0, white + drawn - total)
+        return cls(a, white - a, drawn - a, total - white - drawn + a)
+
     def log_pmf(self, x):
         return log_hyper_pmf(x, self.white, self.drawn, self.total)
 
@@ -292,3 +297,21 @@ def rank_sum_greater(u: pd.Series, n1: pd.Series, n0: pd.Series, ties: pd.Series
         return 0.5 * math.erfc((stat - m * n / 2 - 0.5) / sd / math.sqrt(2)) if sd > 0 else 1.0
 
     return _each(one, u, n1, n0, ties)
+
+
+@F.pandas_udf(T.DoubleType())
+def expected_information(row: pd.Series, column: pd.Series, total: pd.Series) -> pd.Series:
+    """Expected mutual-information term of one cell with fixed margins."""
+
+    def one(r, c, n):
+        h = _Hyper.of(int(r), int(c), int(n))
+        mean = r * c / n
+        sd = math.sqrt(max(1e-12, mean * (1 - r / n) * (n - c) / max(1.0, n - 1)))
+        lo, hi = max(h.lo, 1, int(mean - 14 * sd) - 25), min(h.hi, int(mean + 14 * sd) + 25)
+        if lo > hi:
+            return 0.0
+        ks = np.arange(lo, hi + 1, dtype=float)
+        logs = h.log_pmf(lo) + np.concatenate(([0.0], np.cumsum(np.log(h._up_ratio(ks[:-1])))))
+        return float((np.exp(logs) * ks / n * np.log(n * ks / (r * c))).sum())
+
+    return _each(one, row, column, total)

@@ -208,3 +208,27 @@ def partition_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     expected = F.col("ra") * F.col("rb") / all_
     den = (F.col("ra") + F.col("rb")) / 2 - expected
     return cells.select("n", F.when(den <= 0, 0.0).otherwise((F.col("ij") - expected) / den).alias("ari"))
+
+
+def adjusted_information(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(mi, emi, ami): mutual information against its expectation under fixed margins.
+
+    The normaliser is the larger of the two entropies.
+    """
+    from tessera.functions.exact import expected_information
+
+    t = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    ra = t.groupBy("a").agg(F.sum("n").alias("r"))
+    rb = t.groupBy("b").agg(F.sum("n").alias("c"))
+    total = t.agg(F.sum("n")).scalar()
+    n = total.cast("double")
+    cells = t.join(ra, "a").join(rb, "b").withColumn("t", n)
+    mi = cells.agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("t") * F.col("n") / (F.col("r") * F.col("c"))))).scalar()
+    entropy = lambda m, c: m.withColumn("t", n).agg(-F.sum(F.col(c) / F.col("t") * F.ln(F.col(c) / F.col("t")))).scalar()
+    # Cells with equal margins share their expectation.
+    rows = ra.groupBy("r").agg(F.count(F.lit(1)).alias("kr"))
+    cols = rb.groupBy("c").agg(F.count(F.lit(1)).alias("kc")).agg(F.collect_list(F.struct("c", "kc"))).scalar()
+    grid = rows.select("r", "kr", F.explode(cols).alias("e")).select("r", "kr", "e.c", "e.kc").withColumn("t", n)
+    emi = grid.agg(F.sum(F.col("kr") * F.col("kc") * expected_information("r", "c", "t")).alias("emi"))
+    top = F.greatest(entropy(ra, "r"), entropy(rb, "c"))
+    return emi.select(mi.alias("mi"), "emi", top.alias("h")).select("mi", "emi", ((F.col("mi") - F.col("emi")) / (F.col("h") - F.col("emi"))).alias("ami"))

@@ -349,6 +349,34 @@ def field(spark_rows: DataFrame, grid: DataFrame, labels: Sequence[str], k: int
         F.when(F.col("se") > 0, (F.col("eta") - base) / F.col("se")).alias("z"))
 
 
+def max_z_threshold(rows: DataFrame, labels: Sequence[str], grid: DataFrame, reps: int, k: int = 60, seed: int = 42,
+                    level: float = 0.95) -> DataFrame:
+    """(label, threshold): family-wise quantile of max |z| over a grid under shuffled rows.
+
+    Every draw rearranges the label rows as a whole; the draws are extra
+    responses of one joint fit, so all of them share its scans.
+    """
+    from tessera.operators.ordered import quantiles
+    from tessera.operators.resample import permutation
+
+    moves = permutation(rows.select("id"), reps, seed)
+    sent = moves.join(rows.select(F.col("id").alias("source"), "y"), "source")
+    drawn = sent.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rep", "y"))), lambda e: e["y"])).alias("ys"))
+    both = rows.select("id", "x", "fold").join(drawn, "id").select("id", "x", "fold", F.col("ys").alias("y"))
+    from tessera.session import cut_lineage
+
+    both = cut_lineage(both)
+    names = [f"{r}|{c}" for r in range(reps) for c in labels]
+    m = fit(both, names, surface_basis(rows, k), max_steps=6)
+    pred = predict_points(grid, m)
+    prev = responses(rows, labels).groupBy("label").agg(F.avg("y").alias("prev")).select(
+        F.col("label").alias("name"), F.ln(F.col("prev") / (1 - F.col("prev"))).alias("base"))
+    parts = F.split("label", "[|]")
+    pred = pred.select(parts[0].alias("rep"), parts[1].alias("name"), "eta", "se").join(F.broadcast(prev), "name")
+    top = pred.where("se > 0").groupBy("name", "rep").agg(F.max(F.abs(F.col("eta") - F.col("base")) / F.col("se")).alias("top"))
+    return quantiles(cut_lineage(top), "top", {"threshold": level}, ["name"]).select(F.col("name").alias("label"), "threshold")
+
+
 def predict_points(points: DataFrame, models: Models) -> DataFrame:
     """Predictions that keep the coordinates they belong to."""
     basis, keys, beta, names, cov = models.basis, models.keys, models.beta, models.labels, models.cov
