@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from tessera.functions import exact
 from tessera.functions.scalar import ratio, stars, wilson
 from tessera.operators.ordered import benjamini_hochberg
+from tessera.session import cut_lineage
 
 
 def cells(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:
     """(cluster, label, a, b, c, d, n_in, n): positives in/out, negatives in/out.
 
-    Subjects collapse to (cluster, profile) counts before anything else, so all
-    later steps see at most clusters x distinct profiles rows.
+    Subjects collapse to (cluster, profile) counts before anything else.  Four
+    branches read that small table, so it is written: the subjects are seen once.
     """
-    prof = assigned.groupBy(F.col(cluster).alias("cluster"), "labels").agg(F.count(F.lit(1)).alias("w"))
+    prof = cut_lineage(
+        assigned.groupBy(F.col(cluster).alias("cluster"), "labels").agg(F.count(F.lit(1)).alias("w")))
     sizes = prof.groupBy("cluster").agg(F.sum("w").alias("n_in"))
     inside = prof.select("cluster", "w", F.explode("labels").alias("label")).groupBy("cluster", "label").agg(
         F.sum("w").alias("a"))
@@ -53,7 +55,7 @@ def pearson_residuals(t: DataFrame) -> DataFrame:
 
     The table holds positive counts only: rows are clusters, columns labels.
     """
-    row, colw, all_ = Window.partitionBy("cluster"), Window.partitionBy("label"), None
+    row, colw = Window.partitionBy("cluster"), Window.partitionBy("label")
     total = t.agg(F.sum("a")).scalar()
     r, c, n = F.sum("a").over(row), F.sum("a").over(colw), total.cast("double")
     base = t.select("cluster", "label", F.col("a").alias("obs"), r.alias("_r"), c.alias("_c"), n.alias("_n"))

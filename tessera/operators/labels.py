@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 
 def label_sets(long: DataFrame, id_col: str, label: str) -> DataFrame:
     """(id, labels): one sorted label array per subject."""
@@ -28,6 +30,11 @@ def sets_to_wide(sets: DataFrame, id_col: str, labels: Sequence[str]) -> DataFra
     return sets.select(id_col, *flags)
 
 
+def _weighted(sets: DataFrame) -> DataFrame:
+    """Distinct label sets with counts, written once for the branches that follow."""
+    return cut_lineage(sets.groupBy("labels").agg(F.count(F.lit(1)).alias("w")))
+
+
 def any_label(sets: DataFrame) -> DataFrame:
     """Derived pair: any label at all, and its complement."""
     has = (F.size("labels") > 0).cast("bigint")
@@ -47,7 +54,7 @@ def expand(sets: DataFrame, profile_values: DataFrame) -> DataFrame:
 
 def label_counts(sets: DataFrame) -> DataFrame:
     """n1, n0 and prevalence per label that occurs."""
-    weighted = sets.groupBy("labels").agg(F.count(F.lit(1)).alias("w"))
+    weighted = _weighted(sets)
     total = weighted.agg(F.sum("w")).scalar()
     return (
         weighted.select("w", F.explode("labels").alias("label"))
@@ -80,7 +87,7 @@ def degenerate_switch(sets: DataFrame, target: str) -> str:
 
 def primary_label(sets: DataFrame, id_col: str) -> DataFrame:
     """The most prevalent of each subject's labels; ties go to the first name."""
-    prof = sets.groupBy("labels").agg(F.count(F.lit(1)).alias("w"))
+    prof = _weighted(sets)
     counts = prof.select("w", F.explode("labels").alias("label")).groupBy("label").agg(F.sum("w").alias("n1"))
     best = (
         prof.select("labels", F.explode("labels").alias("label")).join(counts, "label")
@@ -98,7 +105,7 @@ def _reverse_key(label: str) -> Column:
 
 def co_occurrence(sets: DataFrame) -> DataFrame:
     """2x2 counts for every pair of labels, a < b, zero pairs included."""
-    prof = sets.groupBy("labels").agg(F.count(F.lit(1)).alias("w"))
+    prof = _weighted(sets)
     total = prof.agg(F.sum("w")).scalar()
     ones = prof.select("w", F.explode("labels").alias("a")).groupBy("a").agg(F.sum("w").alias("na"))
     both = (

@@ -297,7 +297,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, length: str = "d", max_
 
 def landmarks(ids: DataFrame, n: int = 400) -> DataFrame:
     """A bounded sample of sources, the same on every run."""
-    return ids.select("id").orderBy(F.xxhash64("id"), "id").limit(n)
+    return ids.select("id").orderBy(F.md5(F.col("id").cast("string")), "id").limit(n)
 
 
 def isomap_residual(paths: DataFrame, coords: DataFrame, dims: Sequence[int]) -> DataFrame:

@@ -21,9 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, parallelism
 
-BLOCK = 2048
+ONE_BLOCK = 2048
+SMALLEST, LARGEST = 1024, 8192
 MAX_PIVOTS = 256
 # Slack for bounds computed in floating point.
 SLACK = 1e-9
@@ -74,6 +75,11 @@ class Metric:
         return out / w.sum()
 
 
+def block_size(points: DataFrame, total: int) -> int:
+    """Large blocks move less data; small tables still want one per core."""
+    return min(LARGEST, max(SMALLEST, total // (4 * parallelism(points.sparkSession))))
+
+
 def _matrix(col: pd.Series) -> np.ndarray:
     return np.vstack(col.to_numpy()) if len(col) else np.zeros((0, 1))
 
@@ -128,7 +134,7 @@ def _place(cells: _Cells):
 
 
 def knn(points: DataFrame, k: int, metric: Metric = Metric(), queries: DataFrame | None = None,
-        block: int = BLOCK, total: int | None = None) -> DataFrame:
+        block: int | None = None, total: int | None = None) -> DataFrame:
     """(i, rank, j, d): the k nearest points of each query, ties by id.
 
     `points` and `queries` hold (id BIGINT, vec ARRAY<DOUBLE>).  Without
@@ -140,7 +146,7 @@ def knn(points: DataFrame, k: int, metric: Metric = Metric(), queries: DataFrame
     points = points.select(F.col("id").cast("bigint").alias("id"), "vec")
     asked = points if same else queries.select(F.col("id").cast("bigint").alias("id"), "vec")
     total = points.count() if total is None else total
-    if total <= block and same:
+    if same and total <= (block or ONE_BLOCK):
         # One bounded block: no cells to build.
         def one(p: pd.DataFrame) -> pd.DataFrame:
             x, pid = _matrix(p["vec"]), p["id"].to_numpy()
@@ -148,6 +154,7 @@ def knn(points: DataFrame, k: int, metric: Metric = Metric(), queries: DataFrame
                               for lo in range(0, len(p), 1024)])
 
         return cut_lineage(_rank(points.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(one, "i bigint, j bigint, d double"), k))
+    block = block or block_size(points, total)
     cells = _Cells(_choose_pivots(points, total, block), metric)
     placed = points.mapInPandas(_place(cells), "id bigint, vec array<double>, cell int, r double")
     for row in placed.groupBy("cell").agg(F.count("id").alias("n"), F.max("r").alias("hi"),
@@ -253,15 +260,16 @@ def _rank(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rn).where(F.col("rank") <= k).select("i", "rank", "j", "d")
 
 
-def all_pairs_reduce(left: DataFrame, right: DataFrame, reducer, schema: str, block: int = BLOCK) -> DataFrame:
+def all_pairs_reduce(left: DataFrame, right: DataFrame, reducer, schema: str, block: int | None = None) -> DataFrame:
     """Run `reducer(left_block, right_block) -> rows` over all block pairs.
 
     Both sides are cut by hash into blocks of bounded size; the caller
     aggregates the partial rows.  Work is quadratic, as the measure demands,
     but data moved is blocks x rows and nothing is emitted per pair.
     """
-    nl = max(1, math.ceil(left.count() / block))
-    nr = max(1, math.ceil(right.count() / block))
+    sizes = left.count(), right.count()
+    block = block or block_size(left, max(sizes))
+    nl, nr = (max(1, math.ceil(n / block)) for n in sizes)
     cut = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     a = left.withColumn("_a", cut(nl)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
     b = right.withColumn("_d", cut(nr)).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))))

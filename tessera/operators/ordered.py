@@ -27,6 +27,11 @@ def _split_points(df: DataFrame, value: str, ranges: int) -> list[float]:
     return [v for v in found if not math.isinf(v)]
 
 
+def ranges_for(table: DataFrame, rows_per_range: int = 50_000) -> int:
+    """Enough ranges that one holds a bounded number of rows."""
+    return max(parallelism(table.sparkSession), math.ceil(table.count() / rows_per_range))
+
+
 def _cut(df: DataFrame, value: str, points: Sequence[float], out: str) -> DataFrame:
     if not points:
         return df.withColumn(out, F.lit(0.0))
@@ -34,14 +39,18 @@ def _cut(df: DataFrame, value: str, points: Sequence[float], out: str) -> DataFr
     return Bucketizer(splits=splits, inputCol=value, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def with_ranges(df: DataFrame, value: str, ranges: int | None = None, tie: str | None = None) -> DataFrame:
+def with_ranges(df: DataFrame, value: str, ranges: int | None = None, tie: str | None = None,
+                sketch: DataFrame | None = None) -> DataFrame:
     """Add the index of the value range each row falls in.
 
+    `sketch` is a cheaper table to take the split points from, such as the raw
+    rows behind an aggregate.
+
     With `tie` (a numeric id) rows stay single and equal values are ordered by
     it: a value heavy enough to fill a range gets ranges of its own, cut by id.
     """
     ranges = ranges or parallelism(df.sparkSession)
-    points = _split_points(df, value, ranges)
+    points = _split_points(df if sketch is None else sketch, value, ranges)
     if tie is None:
         return _cut(df, value, points, BUCKET)
     heavy = sorted({v for v in points if points.count(v) > 1})
@@ -58,14 +67,14 @@ def with_ranges(df: DataFrame, value: str, ranges: int | None = None, tie: str |
 
 def running_totals(
     table: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), ranges: int | None = None,
-    tie: str | None = None,
+    tie: str | None = None, sketch: DataFrame | None = None,
 ) -> DataFrame:
     """For one row per (by, value[, tie]): sums strictly before, up to, and in total.
 
     Adds `before_s`, `upto_s` and `total_s` for each column of `sums`.
     """
     by = list(by)
-    ranged = with_ranges(table, value, ranges, tie)
+    ranged = with_ranges(table, value, ranges, tie, sketch)
     per_range = ranged.groupBy(*by, BUCKET).agg(*[F.sum(s).alias(f"_in_{s}") for s in sums])
     over_ranges = Window.partitionBy(*by, F.lit(0)).orderBy(BUCKET)
     earlier = over_ranges.rowsBetween(Window.unboundedPreceding, -1)
@@ -118,7 +127,7 @@ def average_rank(df: DataFrame, value: str, out: str = "rank", by: Sequence[str]
     """Rank of each row, ties sharing their mean rank."""
     by = list(by)
     base = df.withColumn("_v", F.col(value).cast("double"))
-    ranks = running_totals(value_counts(base, "_v", by), "_v", ["n"], by).select(
+    ranks = running_totals(value_counts(base, "_v", by), "_v", ["n"], by, sketch=base.select("_v")).select(
         *by, "_v", (F.col("before_n") + (F.col("n") + 1) / 2).alias(out)
     )
     return base.join(ranks, [*by, "_v"]).drop("_v")
@@ -128,7 +137,8 @@ def quantiles(
     df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Exact interpolated quantiles (type 7), one row per group."""
-    scan = running_totals(value_counts(df, value, by), value, ["n"], list(by))
+    raw = df.select(F.col(value).cast("double").alias(value))
+    scan = running_totals(value_counts(df, value, by), value, ["n"], list(by), sketch=raw)
     picks, names = [], []
     for name, p in probs.items():
         h = (F.col("total_n") - 1) * F.lit(float(p))

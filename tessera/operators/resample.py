@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ordered import BUCKET, quantiles, running_totals, with_ranges
+from tessera.operators.ordered import BUCKET, quantiles, ranges_for, running_totals, with_ranges
 
 # Cumulative Poisson(1) probabilities P(X <= k), k = 0..9.
 POISSON_CDF = np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880)])
@@ -45,7 +45,8 @@ def bootstrap_auc(df: DataFrame, reps: int = 1000, seed: int = 42, by: Sequence[
     weighted totals and inner concordance; ranges then combine by running sums.
     """
     by = list(by)
-    ranged = with_ranges(df.select(*by, "id", "y", F.col("s").cast("double").alias("s")), "s", tie="id")
+    rows = df.select(*by, "id", "y", F.col("s").cast("double").alias("s"))
+    ranged = with_ranges(rows, "s", ranges_for(rows), tie="id")
     schema = ", ".join(f"{n} {t}" for n, t in df.select(*by).dtypes)
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,15 +108,16 @@ def stratified_bootstrap(table: DataFrame, reps: int = 1000, seed: int = 42) ->
     totals go to value ranges first (every task repeats that small draw from the
     same seed), then to the scores inside a range.  Rows are never replicated.
     """
-    ranged = with_ranges(table, "s")
+    ranged = with_ranges(table, "s", ranges_for(table))
     totals = ranged.groupBy("label", BUCKET).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     layout = totals.groupBy("label").agg(F.array_sort(F.collect_list(F.struct(F.col(BUCKET).alias("r"), "p", "n"))).alias("layout"))
-    joined = ranged.join(layout, "label")
+    plan = totals.select(F.col("label").alias("l"), F.col(BUCKET).alias("r")).join(
+        layout.select(F.col("label").alias("l"), "layout"), "l")
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+    def draw(pdf: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("s", ascending=False)
         label, mine = pdf["label"].iloc[0], pdf[BUCKET].iloc[0]
-        layout = pdf["layout"].iloc[0]
+        layout = plan["layout"].iloc[0]
         rng_of = [e["r"] for e in layout]
         p_all = np.array([e["p"] for e in layout], dtype=float)
         n_all = np.array([e["n"] for e in layout], dtype=float)
@@ -152,7 +154,7 @@ def stratified_bootstrap(table: DataFrame, reps: int = 1000, seed: int = 42) ->
             out.append((label, rep, -here, u, ap, brier, area, *ends, h[flat].max() if flat.any() else 0.0, big_p, big_n))
         return pd.DataFrame(out, columns=["label", "rep", "pos", "u", "ap", "b", "area", "x0", "h0", "x1", "h1", "top", "p", "n"])
 
-    parts = joined.groupBy("label", BUCKET).applyInPandas(
+    parts = ranged.groupBy("label", BUCKET).cogroup(plan.groupBy("l", "r")).applyInPandas(
         draw, "label string, rep int, pos int, u double, ap double, b double, area double, x0 double, h0 double, "
         "x1 double, h1 double, top double, p double, n double")
     group = Window.partitionBy("label", "rep")
@@ -192,7 +194,6 @@ def permutation(ids: DataFrame, reps: int, seed: int = 42, strata: Sequence[str]
     strata = list(strata)
     base = ids.select("id", *strata).withColumn("v", F.col("id").cast("double")).withColumn("one", F.lit(1))
     fixed = running_totals(base, "v", ["one"], strata, tie="id").select(*strata, F.col("upto_one").alias("k"), "id")
-    h = F.xxhash64("id", "rep", F.lit(seed)).cast("double")
     drawn = replicated(ids.select(F.col("id").alias("source"), *strata), reps).withColumn(
         "h", F.xxhash64("source", "rep", F.lit(seed)).cast("double")).withColumn("one", F.lit(1))
     random = running_totals(drawn, "h", ["one"], ["rep", *strata], tie="source").select(
@@ -352,3 +353,40 @@ def shuffled_columns(long: DataFrame, ids: DataFrame, rep: int, seed: int = 42)
     cand = cand.withColumn("u", u).where(F.col("u") <= width).withColumn("one", F.lit(1))
     ranked = running_totals(cand, "u", ["one"], ["label"], tie="id")
     return ranked.where("upto_one <= n1").select("id", "label")
+
+
+def hashed_normal(id_col: str, key: int):
+    """A standard normal from two hashes of the id: the same on every retry."""
+    u = lambda k: (F.pmod(F.xxhash64(id_col, F.lit(k)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+    return F.sqrt(-2 * F.ln(u(2 * key + 1001))) * F.cos(2 * np.pi * u(2 * key + 1002))
+
+
+def poisson_counts(df: DataFrame, keys: Sequence[str], reps: int, seed: int = 42) -> DataFrame:
+    """(keys, rep, w): bootstrap weight of each group of rows, summed over its ids.
+
+    Groups are told by a hash inside the tasks, which send one vector of draws
+    per group they meet, not one row per draw.
+    """
+    tagged = df.select(F.col("id").cast("bigint").alias("id"), F.xxhash64(*keys).alias("key"))
+
+    def fold(batches):
+        acc: dict = {}
+        for pdf in batches:
+            for lo in range(0, len(pdf), 20000):
+                part = pdf.iloc[lo:lo + 20000]
+                w = poisson_weights(part["id"].to_numpy(), np.arange(reps), seed)
+                codes, names = pd.factorize(part["key"])
+                order = np.argsort(codes, kind="stable")
+                starts = np.searchsorted(codes[order], np.arange(len(names)))
+                for name, row in zip(names, np.add.reduceat(w[order], starts, axis=0)):
+                    acc[name] = acc.get(name, 0) + row
+                if len(acc) > 50000:
+                    yield pd.DataFrame({"key": list(acc), "w": list(acc.values())})
+                    acc = {}
+        if acc:
+            yield pd.DataFrame({"key": list(acc), "w": list(acc.values())})
+
+    sums = tagged.mapInPandas(fold, "key bigint, w array<double>").select("key", F.posexplode("w").alias("rep", "w"))
+    sums = sums.groupBy("key", "rep").agg(F.sum("w").cast("bigint").alias("w"))
+    names = df.select(*keys).distinct().withColumn("key", F.xxhash64(*keys))
+    return sums.join(names, "key").select(*keys, "rep", "w")
