@@ -169,7 +169,7 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", out: str = "q", by: Sequence
         ranked = df.withColumn("_raw", F.when(valid, F.col(p) * m / rank))
         suffix = Window.partitionBy(*by, F.col(p).isNotNull()).orderBy(F.col(p).desc()).rangeBetween(
             Window.unboundedPreceding, 0)
-        return ranked.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(suffix))).drop("_raw")
+        return ranked.withColumn(out, F.when(valid, F.least(F.lit(1.0), F.min("_raw").over(suffix)))).drop("_raw")
     # Global scope takes several passes over this (small) table of results.
     df = cut_lineage(df)
     scan = running_totals(value_counts(df, p), p, ["n"]).select(

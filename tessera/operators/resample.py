@@ -159,7 +159,8 @@ def stratified_bootstrap(table: DataFrame, reps: int = 1000, seed: int = 42) ->
         "x1 double, h1 double, top double, p double, n double")
     group = Window.partitionBy("label", "rep")
     top = F.max("top").over(group)
-    drawn = ~F.isnan("x0")
+    # A range whose draw has no point right of the origin sends no ends.
+    drawn = F.col("x0").isNotNull() & ~F.isnan("x0")
     earlier = group.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(drawn, F.struct("x1", "h1")), ignorenulls=True).over(earlier)
     bridge = parts.withColumn("_last", last).withColumn("_top", top)
