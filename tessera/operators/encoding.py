@@ -89,3 +89,74 @@ def z_scores(df: DataFrame, id_col: str, items: Sequence[str]) -> DataFrame:
         sd = facts.select(f"s_{c}").scalar()
         cols.append(F.when(sd > 0, (F.col(c) - mean) / sd).alias(f"z_{c}"))
     return df.select(id_col, *cols)
+
+
+def design(df: DataFrame, id_col: str, numeric: Sequence[str], nominal: Sequence[str], max_levels: int = 2000) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """(id, vec) of numbers and indicators, and the (item, column) pair behind each entry.
+
+    The first nominal item keeps all levels, later ones drop their first.  Levels
+    become columns, so their number is checked.
+    """
+    entries, names = [F.col(c).cast("double") for c in numeric], [(c, c) for c in numeric]
+    levels = {}
+    if nominal:
+        sets = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in nominal]).first()
+        levels = {c: list(sets[c]) for c in nominal}
+    if sum(len(v) for v in levels.values()) > max_levels:
+        raise ValueError(f"more than {max_levels} levels; merge rare ones first")
+    for i, c in enumerate(nominal):
+        for level in levels[c][1 if i else 0:]:
+            entries.append((F.col(c).cast("string") == level).cast("double"))
+            names.append((c, f"{c}={level}"))
+    rows = df.dropna(subset=[*numeric, *nominal])
+    return rows.select(F.col(id_col).cast("bigint").alias("id"), F.array(*entries).alias("vec")), names
+
+
+def spread_weights(names: Sequence[tuple[str, str]], weights: dict | None = None) -> list[float]:
+    """Square roots of item weights shared equally by the columns of an item."""
+    items = [item for item, _ in names]
+    return [(max(0.0, (weights or {}).get(i, 1.0)) / items.count(i)) ** 0.5 for i in items]
+
+
+def mixed_factors(df: DataFrame, id_col: str, numeric: Sequence[str], nominal: Sequence[str], target: float = 0.99) -> tuple[DataFrame, int]:
+    """Factor scores of mixed data: numbers standardised, indicators centred and divided
+    by the square root of their share.  Without numbers this is multiple
+    correspondence analysis.  Axes are kept up to the target share of variance.
+    """
+    from tessera.operators import linalg as LA
+
+    entries = [F.col(c).cast("double") for c in numeric]
+    facts = df.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{t}_{c}") for c in numeric for t, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    scaled = [(e - facts[f"m_{c}"]) / (facts[f"s_{c}"] or 1.0) for c, e in zip(numeric, entries)]
+    for c in nominal:
+        for r in df.groupBy(c).agg(F.count(F.lit(1)).alias("k")).orderBy(c).collect():
+            share = r["k"] / facts["n"]
+            scaled.append(((F.col(c) == r[c]).cast("double") - share) / share**0.5)
+    pts = df.select(F.col(id_col).cast("bigint").alias("id"), F.array(*scaled).alias("vec"))
+    cap = 100 if numeric else 80
+    d = len(scaled)
+    mean, axes, _ = LA.principal_axes(pts, d)
+    import numpy as np
+
+    spread = LA.axis_variances(pts, mean, axes)
+    cum = np.cumsum(spread) / max(1e-300, spread.sum())
+    keep = int(max(2, min(np.searchsorted(cum, target) + 1, cap, d)))
+    return LA.project(pts, mean, axes[:, :keep]).select("id", F.col("score").alias("vec")), keep
+
+
+def correlated_to_drop(df: DataFrame, columns: Sequence[str], threshold: float = 0.95) -> list[str]:
+    """Later columns that correlate with an earlier kept one at the threshold or above."""
+    from tessera.operators.linalg import covariance
+
+    rows = covariance(df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("vec")).where(
+        ~F.exists("vec", lambda v: v.isNull()))).collect()
+    cov = {(r["i"], r["j"]): r["cov"] for r in rows}
+    dropped: set[int] = set()
+    for i in range(len(columns)):
+        if i in dropped:
+            continue
+        for j in range(i + 1, len(columns)):
+            scale = (cov[(i, i)] * cov[(j, j)]) ** 0.5
+            if scale > 0 and abs(cov[(i, j)]) >= threshold * scale:
+                dropped.add(j)
+    return [columns[j] for j in sorted(dropped)]

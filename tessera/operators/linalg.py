@@ -73,6 +73,13 @@ def project(df: DataFrame, mean: np.ndarray, axes: np.ndarray, vec: str = "vec",
     return df.withColumn(out, scores(F.col(vec)))
 
 
+def axis_variances(df: DataFrame, mean: np.ndarray, axes: np.ndarray, vec: str = "vec") -> np.ndarray:
+    """Variance of the scores on each axis."""
+    k = axes.shape[1]
+    scored = project(df, mean, axes, vec)
+    return np.array(scored.agg(F.array(*[F.var_samp(F.col("score")[j]) for j in range(k)])).first()[0], dtype=float)
+
+
 def contributions(axes: np.ndarray, shares: np.ndarray, items: Sequence[str]) -> dict[str, float]:
     """Share of kept variance per source item: squared loadings times variance share."""
     part = (axes**2 / (axes**2).sum(0)) @ shares

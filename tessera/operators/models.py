@@ -11,6 +11,7 @@ penalty weight minimises generalised cross-validation.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -31,7 +32,7 @@ class Basis:
     """Columns of a design and the penalty on their coefficients.
 
     kind linear    intercept and coordinates, ridge on the latter
-         surface   thin-plate spline in two coordinates
+         surface   thin-plate spline in all coordinates
          additive  one cubic spline per coordinate
          varying   surface, plus the last coordinate times a second surface
          added     surface, plus the last coordinate as a linear term
@@ -44,7 +45,8 @@ class Basis:
     def _radial(self, x: np.ndarray, knots: np.ndarray) -> np.ndarray:
         gap = x[:, None, :] - knots[None, :, :]
         r2 = (gap * gap).sum(2)
-        if knots.shape[1] == 1:
+        # Cubes of distances need only the linear null space, in any dimension.
+        if knots.shape[1] != 2:
             return r2 ** 1.5
         return np.where(r2 > 0, 0.5 * r2 * np.log(np.where(r2 > 0, r2, 1.0)), 0.0)
 
@@ -72,7 +74,7 @@ class Basis:
                 flat, wavy = self._spline(x[:, [j]], knots[j].reshape(-1, 1))
                 parts += [flat[:, 1:], wavy]
             return np.column_stack(parts)
-        plane = x[:, :2]
+        plane = x[:, : len(self.knots[0][0])]
         flat, wavy = self._spline(plane, knots[0])
         out = [flat, wavy]
         if self.kind == "varying":
@@ -88,8 +90,8 @@ class Basis:
             return np.concatenate([[0.0], np.ones(self.dims)])
         if self.kind == "additive":
             return np.concatenate([[0.0]] + [np.concatenate([[0.0], np.ones(len(k) - 2)]) for k in self.knots])
-        m = len(self.knots[0])
-        one = np.concatenate([np.zeros(3), np.ones(m - 3)])
+        m, free = len(self.knots[0]), len(self.knots[0][0]) + 1
+        one = np.concatenate([np.zeros(free), np.ones(m - free)])
         return {"surface": one, "varying": np.concatenate([one, one]), "added": np.concatenate([one, [0.0]])}[self.kind]
 
 
@@ -108,6 +110,12 @@ def surface_basis(rows: DataFrame, k: int = 60, kind: str = "surface") -> Basis:
     return Basis(kind, 2 if kind == "surface" else 3, (grid,))
 
 
+def volume_basis(rows: DataFrame, dims: int, per_axis: Sequence[int]) -> Basis:
+    """Spline over a lattice with its own number of knots per coordinate."""
+    axes = [quantile_knots(rows, dims, k)[j] for j, k in enumerate(per_axis)]
+    return Basis("surface", dims, (tuple(itertools.product(*axes)),))
+
+
 def additive_basis(rows: DataFrame, dims: int, k: int = 6) -> Basis:
     return Basis("additive", dims, tuple(tuple(q) for q in quantile_knots(rows, dims, k)))
 
