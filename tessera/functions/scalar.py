@@ -62,7 +62,9 @@ def count_of(c, needle: str) -> Column:
 
 
 def estimate_text(est, lo, hi) -> Column:
-    return F.format_string("%.3f [%.3f, %.3f]", col(est), col(lo), col(hi))
+    """`0.123 [0.100, 0.200]`, rounded from the binary value as C does."""
+    num = lambda c: F.replace(F.format_number(col(c), 3), F.lit(","), F.lit(""))
+    return F.concat(num(est), F.lit(" ["), num(lo), F.lit(", "), num(hi), F.lit("]"))
 
 
 def fold_of(id_col, k: int) -> Column:

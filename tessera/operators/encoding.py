@@ -91,6 +91,16 @@ def z_scores(df: DataFrame, id_col: str, items: Sequence[str]) -> DataFrame:
     return df.select(id_col, *cols)
 
 
+def check_levels(df: DataFrame, columns: Sequence[str], limit: int = 2000) -> None:
+    """Raise before levels become columns when a sketch finds too many of them."""
+    if not columns:
+        return
+    seen = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    many = {c: seen[c] for c in columns if seen[c] > limit}
+    if many:
+        raise ValueError(f"too many levels to encode, merge rare ones first: {many}")
+
+
 def design(df: DataFrame, id_col: str, numeric: Sequence[str], nominal: Sequence[str], max_levels: int = 2000) -> tuple[DataFrame, list[tuple[str, str]]]:
     """(id, vec) of numbers and indicators, and the (item, column) pair behind each entry.
 
@@ -99,11 +109,10 @@ def design(df: DataFrame, id_col: str, numeric: Sequence[str], nominal: Sequence
     """
     entries, names = [F.col(c).cast("double") for c in numeric], [(c, c) for c in numeric]
     levels = {}
+    check_levels(df, nominal, max_levels)
     if nominal:
         sets = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in nominal]).first()
         levels = {c: list(sets[c]) for c in nominal}
-    if sum(len(v) for v in levels.values()) > max_levels:
-        raise ValueError(f"more than {max_levels} levels; merge rare ones first")
     for i, c in enumerate(nominal):
         for level in levels[c][1 if i else 0:]:
             entries.append((F.col(c).cast("string") == level).cast("double"))
@@ -125,6 +134,7 @@ def mixed_factors(df: DataFrame, id_col: str, numeric: Sequence[str], nominal: S
     """
     from tessera.operators import linalg as LA
 
+    check_levels(df, nominal)
     entries = [F.col(c).cast("double") for c in numeric]
     facts = df.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{t}_{c}") for c in numeric for t, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     scaled = [(e - facts[f"m_{c}"]) / (facts[f"s_{c}"] or 1.0) for c, e in zip(numeric, entries)]

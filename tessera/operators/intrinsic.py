@@ -168,3 +168,25 @@ def neighbour_r2(nn: DataFrame, values: DataFrame, ks: Sequence[int]) -> DataFra
     wide = per.agg(F.var_samp("yi").alias("v"), *[gap(k).alias(f"e{k}") for k in ks])
     rows = F.array(*[F.struct(F.lit(int(k)).alias("k"), F.greatest(F.lit(0.0), 1 - F.col(f"e{k}") / F.col("v")).alias("r2")) for k in ks])
     return wide.select(F.explode(rows).alias("r")).select("r.k", "r.r2")
+
+
+def spread_start(points: DataFrame, k: int, metric: Metric) -> list[tuple[int, list[float]]]:
+    """k points far from each other: each next one is farthest from those taken."""
+    import numpy as np
+
+    from tessera.operators.neighbours import _matrix
+
+    first = points.orderBy(F.md5(F.col("id").cast("string"))).select("id", "vec").first()
+    taken = [(first["id"], list(first["vec"]))]
+    while len(taken) < k:
+        nodes = np.array([v for _, v in taken], dtype=float)
+
+        def far(batches):
+            for pdf in batches:
+                if len(pdf):
+                    yield pdf.assign(d=metric.between(_matrix(pdf["vec"]), nodes).min(1))
+
+        t = points.select("id", "vec").mapInPandas(far, "id bigint, vec array<double>, d double")
+        r = t.orderBy(F.desc("d"), "id").select("id", "vec").first()
+        taken.append((r["id"], list(r["vec"])))
+    return sorted(taken)

@@ -350,3 +350,31 @@ def closer_counts(pairs: DataFrame, points: DataFrame, metric: Metric = Metric()
 
     partial = all_pairs_reduce(left, points.select("id", "vec"), count, "i bigint, j bigint, n bigint")
     return partial.groupBy("i", "j").agg((F.sum("n") + 1).alias("rank"))
+
+
+def medoid_clusters(points: DataFrame, k: int, metric: Metric = Metric(), rounds: int = 8) -> DataFrame:
+    """(id, vec, cluster): k medoids by turns of assignment and medoid update.
+
+    Medoids travel with the tasks; an update sums distances inside clusters
+    block by block.
+    """
+    from tessera.operators.intrinsic import spread_start
+
+    now = spread_start(points, k, metric)
+    placed = None
+    for _ in range(rounds):
+        nodes = np.array([v for _, v in now], dtype=float)
+
+        def assign(batches):
+            for pdf in batches:
+                if len(pdf):
+                    yield pdf.assign(cluster=metric.between(_matrix(pdf["vec"]), nodes).argmin(1).astype("int64"))
+
+        placed = cut_lineage(points.select("id", "vec").mapInPandas(assign, "id bigint, vec array<double>, cluster bigint"))
+        sums = cluster_distances(placed, metric).where("cluster = other")
+        best = sums.groupBy("cluster").agg(F.min_by("id", F.struct("s", "id")).alias("id"))
+        found = [(r["id"], r["vec"]) for r in best.join(points.select("id", "vec"), "id").orderBy("cluster").collect()]
+        if [i for i, _ in found] == [i for i, _ in now]:
+            break
+        now = found
+    return placed

@@ -21,7 +21,9 @@ from tessera.sources.tables import table
 
 def label_names(spark, root, label="p_type") -> list[str]:
     """The label vocabulary, which is the column list of the wide matrix."""
-    rows = table(spark, root, "part", label).distinct().orderBy(label).collect()
+    part = table(spark, root, "part", label)
+    E.check_levels(part, [label])
+    rows = part.distinct().orderBy(label).collect()
     return [r[0] for r in rows]
 
 
