@@ -105,7 +105,7 @@ def modularity(edges: DataFrame, membership: DataFrame, cluster: str = "cluster"
         F.sum("p.win").alias("win"), F.sum("w").alias("tot"))
     facts = per.agg(F.sum("win").alias("win"), F.sum("tot").alias("two_m"), F.sum(F.col("tot") * F.col("tot")).alias("sq"))
     two_m = F.col("two_m")
-    return facts.select((2 * F.col("win") / two_m - resolution * F.col("sq") / (two_m * two_m)).alias("q"))
+    return facts.where(two_m > 0).select((2 * F.col("win") / two_m - resolution * F.col("sq") / (two_m * two_m)).alias("q"))
 
 
 def assortativity(edges: DataFrame, sets: DataFrame) -> DataFrame:

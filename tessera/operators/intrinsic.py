@@ -24,7 +24,7 @@ def two_ratios(nn: DataFrame, eps: float = 0.0) -> DataFrame:
 def two_nn(nn: DataFrame) -> DataFrame:
     """(n, dim): one over the mean log ratio of the first two distances."""
     return two_ratios(nn).where("mu is not null and mu > 0").agg(
-        F.count(F.lit(1)).alias("n"), (1 / F.avg(F.ln("mu"))).alias("dim"))
+        F.count(F.lit(1)).alias("n"), F.try_divide(F.lit(1.0), F.avg(F.ln("mu"))).alias("dim"))
 
 
 def two_nn_local(nn: DataFrame, membership: DataFrame, k: int) -> DataFrame:
@@ -32,7 +32,7 @@ def two_nn_local(nn: DataFrame, membership: DataFrame, k: int) -> DataFrame:
     per = nn.where(F.col("rank").isin(1, k)).groupBy("i").agg(F.min("d").alias("d1"), F.max("d").alias("dk"))
     own = membership.select(F.col("id").alias("i"), "cluster")
     return per.where("d1 > 0").join(own, "i").groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("n"), (1 / F.avg(F.ln(F.col("dk") / F.col("d1")))).alias("dim"))
+        F.count(F.lit(1)).alias("n"), F.try_divide(F.lit(1.0), F.avg(F.ln(F.col("dk") / F.col("d1")))).alias("dim"))
 
 
 def two_nn_trimmed(nn: DataFrame, eps: float = 1e-8, trim: float = 0.02) -> DataFrame:
@@ -44,7 +44,7 @@ def two_nn_trimmed(nn: DataFrame, eps: float = 1e-8, trim: float = 0.02) -> Data
     # Overlap of this value's ranks with the kept middle.
     kept = F.greatest(F.lit(0), F.least("upto_n", F.col("total_n") - k) - F.greatest("before_n", k))
     return scan.withColumn("kept", kept).agg(
-        F.sum("kept").cast("bigint").alias("n"), (F.sum("kept") / F.sum(F.col("kept") * F.col("x"))).alias("dim"))
+        F.sum("kept").cast("bigint").alias("n"), F.try_divide(F.sum("kept").cast("double"), F.sum(F.col("kept") * F.col("x"))).alias("dim"))
 
 
 def levina_bickel(nn: DataFrame, k_lo: int = 5, k_hi: int = 15) -> DataFrame:
@@ -137,9 +137,9 @@ def density_risk(nn: DataFrame, k: int, dims: int) -> DataFrame:
     med = quantiles(dens, "density", {"m": 0.5}).select("m").scalar()
     dev = dens.withColumn("dev", F.abs(F.col("density") - med))
     mad = quantiles(dev, "dev", {"m": 0.5}).select("m").scalar()
-    z = dens.withColumn("z", F.least(F.greatest((F.col("density") - med) / (1.4826 * mad), F.lit(-6.0)), F.lit(6.0)))
+    z = dens.withColumn("z", F.least(F.greatest(F.try_divide(F.col("density") - med, 1.4826 * mad), F.lit(-6.0)), F.lit(6.0)))
     lo, hi = z.agg(F.min("z")).scalar(), z.agg(F.max("z")).scalar()
-    return z.withColumn("score01", (F.col("z") - lo) / (hi - lo))
+    return z.withColumn("score01", F.try_divide(F.col("z") - lo, hi - lo))
 
 
 def neighbour_overlap(a: DataFrame, b: DataFrame) -> DataFrame:

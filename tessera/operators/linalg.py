@@ -42,7 +42,7 @@ def covariance(df: DataFrame, vec: str = "vec") -> DataFrame:
 
     sums = df.select(vec).mapInPandas(partial, "i bigint, j bigint, g double, si double, sj double, n bigint")
     t = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("g", "si", "sj", "n")])
-    return t.select("i", "j", ((F.col("g") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)).alias("cov"))
+    return t.select("i", "j", F.try_divide(F.col("g") - F.col("si") * F.col("sj") / F.col("n"), F.col("n") - 1.0).alias("cov"))
 
 
 def principal_axes(df: DataFrame, rank: int, vec: str = "vec", scale: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

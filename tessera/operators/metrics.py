@@ -171,16 +171,23 @@ def isotonic_blocks(table: DataFrame) -> DataFrame:
     blocks = ranged.select(F.col("s").alias("lo"), F.col("s").alias("hi"), w.alias("w"),
                            (F.col("pos") / w).alias("m"), F.col(BUCKET).cast("int").alias("slot"))
     schema = "lo double, hi double, w double, m double, slot int"
-    count, calm, shift = -1, 0, 0
+    def held() -> dict[int, int]:
+        """Blocks per slot; there are at most as many slots as ranges."""
+        return {r["slot"]: r["count"] for r in blocks.groupBy("slot").count().collect()}
+
+    before, calm, shift = None, 0, 0
+    sizes = held()
     while calm < 2:
-        # At most one slot per range is left: number them anew, without holes.
-        left = sorted(r[0] for r in blocks.select("slot").distinct().collect())
-        dense = F.array_position(F.array(*[F.lit(v) for v in left]), F.col("slot")).cast("int")
+        # Slots lose their last block now and then: number them anew, without holes.
+        dense = F.array_position(F.array(*[F.lit(v) for v in sorted(sizes)]), F.col("slot")).cast("int")
         pair = F.floor((dense + shift) / 2)
         blocks = cut_lineage(blocks.groupBy(pair.alias("_pair")).applyInPandas(_pool, schema))
-        now = blocks.count()
-        calm = calm + 1 if now == count else 0
-        count, shift = now, 1 - shift
+        sizes = held()
+        now = sum(sizes.values())
+        calm = calm + 1 if now == before else 0
+        before, shift = now, 1 - shift
+        if len(sizes) == 1:
+            break
     return blocks.drop("slot")
 
 

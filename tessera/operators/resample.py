@@ -76,7 +76,7 @@ def bootstrap_auc(df: DataFrame, reps: int = 1000, seed: int = 42, by: Sequence[
     lower = Window.partitionBy(*by, "rep").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     u = F.col("u") + F.col("pos") * F.coalesce(F.sum("neg").over(lower), F.lit(0.0))
     return whole.select(*by, "rep", "pos", "neg", u.alias("u")).groupBy(*by, "rep").agg(
-        (F.sum("u") / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+        F.try_divide(F.sum("u"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def interval(draws: DataFrame, value: str, by: Sequence[str], level: float = 0.95) -> DataFrame:
@@ -259,7 +259,7 @@ def neighbour_mean_r2(nn: DataFrame, values: DataFrame, reps: int, seed: int = 4
     """(r2, p): value against its neighbours' mean, with neighbour rows shuffled among points."""
     pred = nn.join(values.select(F.col("id").alias("j"), "y"), "j").groupBy(F.col("i").alias("id")).agg(F.avg("y").alias("m"))
     both = values.select("id", "y").join(pred, "id")
-    fit = lambda t, *by: t.groupBy(*by).agg(F.greatest(F.lit(0.0), 1 - F.avg(F.pow(F.col("y") - F.col("m"), 2)) / F.var_samp("y")).alias("r2"))
+    fit = lambda t, *by: t.groupBy(*by).agg(F.greatest(F.lit(0.0), 1 - F.try_divide(F.avg(F.pow(F.col("y") - F.col("m"), 2)), F.var_samp("y"))).alias("r2"))
     moves = permutation(both.select("id"), reps, seed)
     shuffled = moves.join(both.select("id", "y"), "id").join(both.select(F.col("id").alias("source"), "m"), "source")
     return monte_carlo_p(fit(both), fit(shuffled, "rep").select("r2"), "r2")
