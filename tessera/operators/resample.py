@@ -224,12 +224,12 @@ def permanova(points: DataFrame, reps: int = 0, seed: int = 42) -> DataFrame:
         """Within and total sums of squares per replicate."""
         long = rows.select(*keys, "cluster", F.posexplode("vec").alias("c", "x"))
         per = long.groupBy(*keys, "cluster", "c").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count(F.lit(1)).alias("n"))
-        groups = per.groupBy(*keys, "cluster").agg(
-            F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("w"), F.max("n").alias("n"))
-        sums = groups.groupBy(*keys).agg(F.sum("w").alias("within"), F.count(F.lit(1)).alias("g"), F.sum("n").alias("n"))
-        total = per.groupBy(*keys, "c").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n")).groupBy(*keys).agg(
-            F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("total"))
-        both = sums.join(total, keys)
+        spread = F.col("q") - F.col("s") * F.col("s") / F.col("n")
+        groups = per.groupBy(*keys, "cluster").agg(F.sum(spread).alias("within"), F.max("n").alias("n")).select(
+            *keys, "within", "n", F.lit(1).alias("g"), F.lit(0.0).alias("total"))
+        axes = per.groupBy(*keys, "c").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n")).select(
+            *keys, F.lit(0.0).alias("within"), F.lit(0).alias("n"), F.lit(0).alias("g"), spread.alias("total"))
+        both = groups.unionByName(axes).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("within", "n", "g", "total")])
         between = F.col("total") - F.col("within")
         return both.select(*keys, (between / (F.col("g") - 1) / (F.col("within") / (F.col("n") - F.col("g")))).alias("f"),
                            (between / F.col("total")).alias("r2"))
@@ -279,7 +279,7 @@ def shuffled_localisation(edges: DataFrame, sets: DataFrame, labels: Sequence[st
     order = running_totals(sets.select("id").withColumn("v", F.col("id").cast("double")).withColumn("one", F.lit(1)), "v", ["one"], tie="id")
     place = spots.join(order.select(F.col("id").alias("source"), F.col("upto_one").alias("k")), "source").select("rep", "id", "k")
     ends = edges.select("src", "dst").join(place.select("rep", F.col("id").alias("src"), F.col("k").alias("ks")), "src").join(
-        place.select(F.col("rep").alias("rep2"), F.col("id").alias("dst"), F.col("k").alias("kd")), "dst").where("rep = rep2")
+        place.select("rep", F.col("id").alias("dst"), F.col("k").alias("kd")), ["rep", "dst"])
     known = {r["label"]: r["n1"] for r in counts.collect()}
     both = [F.sum((F.greatest("ks", "kd") <= known.get(c, 0)).cast("int")).alias(f"b{i}") for i, c in enumerate(labels)]
     some = [F.sum((F.least("ks", "kd") <= known.get(c, 0)).cast("int")).alias(f"s{i}") for i, c in enumerate(labels)]

@@ -236,3 +236,44 @@ def cluster_fields(spark, root):
     y = F.array(*[(F.col("c_mktsegment") == s).cast("double") for s in seg])
     rows = cut_lineage(customer_rows(spark, root).drop("y").join(c, "id").select("id", "x", "fold", y.alias("y")))
     return Md.field(rows, grid(spark, (-1, 1), (-1, 1), 25, 25, 0.05), seg, 30)
+
+
+@query("h15_column_shuffle")
+def column_shuffle(spark, root):
+    """Modularity when every label column is dealt out anew over the subjects, draws in one run."""
+    sets = cut_lineage(order_labels(spark, root))
+    long = sets.select("id", F.explode("labels").alias("label"))
+    names = label_names(spark, root)
+    edges = None
+    for draw in range(2):
+        fake = L.label_sets(Rs.shuffled_columns(long, sets, draw), "id", "label")
+        pr = cut_lineage(L.profiles(fake, "id"))
+        pts, metric = E.label_points(pr, names)
+        part = G.knn_graph(N.knn(pts, 9, metric), "mutual", 2.0, pr.select(F.col("first_id").alias("id"), "mult"))
+        part = part.withColumn("g", F.lit(draw).cast("bigint"))
+        edges = part if edges is None else edges.unionByName(part)
+    edges = cut_lineage(edges)
+    return C.modularity_by_graph(edges, C.louvain(edges)).select("g", "q")
+
+
+@query("j29_delta_auc_table")
+def delta_auc_table(spark, root):
+    """Paired contrasts of base, fibre and stacked models with FDR inside each contrast."""
+    e = embedded(spark, root)
+    rows = cut_lineage(e.select("id", F.slice("vec", 1, 6).alias("x"), fold_of("id", 5).cast("int").alias("fold"),
+                                F.array((F.col("cluster") < 5).cast("double"), (F.col("vec")[7] > 0).cast("double")).alias("y")))
+    oof = cut_lineage(Md.stacked(rows, ["low_label", "sign"], 2))
+    scores = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"p_{m}").alias("s")) for m in ("base", "fibre", "stack")])
+    long = oof.select("id", "label", "y", F.explode(scores).alias("m")).select("id", "label", "y", "m.model", "m.s")
+    draws = cut_lineage(Rs.bootstrap_auc(long, 1000))
+    out = None
+    for a, b in (("base", "stack"), ("fibre", "stack"), ("base", "fibre")):
+        part = Rs.paired_delta(draws, a, b).withColumn("contrast", F.lit(f"{b} - {a}"))
+        out = part if out is None else out.unionByName(part)
+    return O.benjamini_hochberg(cut_lineage(out), "p", "q", ["contrast"])
+
+
+@query("q4_neighbour_auc_labels")
+def neighbour_auc_labels(spark, root):
+    pr = cut_lineage(L.profiles(order_labels(spark, root), "id"))
+    return weighted_auc(pr, label_names(spark, root)).select("label", r6("auc").alias("auc"), (F.col("auc") >= 0.70).cast("bigint").alias("kept"))
