@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import clip, inverse_logit, logit
-from tessera.operators.ordered import BUCKET, running_totals, with_previous, with_ranges
+from tessera.operators.ordered import BUCKET, ranges_for, running_totals, with_previous, with_ranges
 
 
 def score_table(df: DataFrame, y: str = "y", s: str = "s", by: Sequence[str] = (), w: str | None = None) -> DataFrame:
@@ -167,7 +167,7 @@ def isotonic_blocks(table: DataFrame) -> DataFrame:
     from tessera.session import cut_lineage
 
     w = (F.col("pos") + F.col("neg")).cast("double")
-    ranged = with_ranges(table, "s")
+    ranged = with_ranges(table, "s", ranges_for(table))
     blocks = ranged.select(F.col("s").alias("lo"), F.col("s").alias("hi"), w.alias("w"),
                            (F.col("pos") / w).alias("m"), F.col(BUCKET).cast("int").alias("slot"))
     schema = "lo double, hi double, w double, m double, slot int"

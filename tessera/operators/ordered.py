@@ -28,8 +28,9 @@ def _split_points(df: DataFrame, value: str, ranges: int) -> list[float]:
 
 
 def ranges_for(table: DataFrame, rows_per_range: int = 50_000) -> int:
-    """Enough ranges that one holds a bounded number of rows."""
-    return max(parallelism(table.sparkSession), math.ceil(table.count() / rows_per_range))
+    """Enough ranges that one holds a bounded number of rows, few for a small table."""
+    n = table.count()
+    return max(1, min(parallelism(table.sparkSession), math.ceil(n / 64)), math.ceil(n / rows_per_range))
 
 
 def _cut(df: DataFrame, value: str, points: Sequence[float], out: str) -> DataFrame:
