@@ -97,6 +97,17 @@ def word_bounds(buf: np.ndarray, offs: np.ndarray, alphabet: Alphabet) -> tuple[
 def word_hashes(buf: np.ndarray, start: np.ndarray, alphabet: Alphabet) -> np.ndarray:
     if not len(start):
         return np.zeros(0, U)
+    if len(buf) > 4 * PIECE and len(start) > 1:  # a very long text, in parts that begin with a word
+        cuts = np.searchsorted(start, np.arange(0, len(buf), 2 * PIECE))
+        cuts = np.unique(np.r_[0, cuts, len(start)])
+        ends = np.r_[start[1:], len(buf)]
+        return np.concatenate([word_hashes(buf[start[a]:ends[b - 1]], start[a:b] - start[a], alphabet)
+                               if b - a < len(start) else _word_hashes(buf, start, alphabet)
+                               for a, b in zip(cuts[:-1], cuts[1:])])
+    return _word_hashes(buf, start, alphabet)
+
+
+def _word_hashes(buf: np.ndarray, start: np.ndarray, alphabet: Alphabet) -> np.ndarray:
     powers, inverse = alphabet.powers(len(buf))
     weighed = alphabet.value[buf]
     weighed *= powers[:len(buf)]
@@ -131,11 +142,8 @@ def owners(first: np.ndarray) -> np.ndarray:
 
 def whole_windows(first: np.ndarray, k: int) -> np.ndarray:
     """Indices of words where k words of the same text start."""
-    count = np.diff(first)
-    ok = np.ones(int(first[-1] - first[0]), bool)
-    for back in range(1, k):  # the last k - 1 words of a text start none
-        ok[(first[1:] - back)[count >= back] - first[0]] = False
-    return np.flatnonzero(ok)
+    first = np.asarray(first)
+    return np.flatnonzero(~covered(int(first[-1]), np.maximum(first[1:] - (k - 1), first[:-1]), first[1:]))
 
 
 def pack(*columns: np.ndarray) -> bytes:

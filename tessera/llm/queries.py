@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import oracles
 from tessera.llm.substring_dedup import drop_repeated_windows
+from tessera.llm.suffix_dedup import drop_repeated_bytes
 
 QUERIES = {}
 ORACLE = {}
@@ -30,3 +31,9 @@ def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     out = drop_repeated_windows(_table(spark, root, "documents"), window=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    out = drop_repeated_bytes(_table(spark, root, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -44,7 +44,13 @@ def gathered(docs: DataFrame) -> DataFrame:
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
-    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return sizes(docs, text_col)[1]
+
+
+def sizes(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
+    """Rows and bytes of text."""
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
+    return n, size or 0
 
 
 def prime_from(n: int) -> int:
@@ -80,4 +86,4 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: int, fold: Callable) -> Ite
 
 
 __all__ = ["brought_together", "buckets_for", "cut_lineage", "gathered", "keyed", "parallelism", "prime_from",
-           "runs_of", "text_bytes", "with_id"]
+           "runs_of", "sizes", "text_bytes", "with_id"]
