@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import oracles
 from tessera.llm.substring_dedup import drop_repeated_windows
 from tessera.llm.suffix_dedup import drop_repeated_bytes
+from tessera.llm.token_counts import token_counts
+from tessera.llm.token_planes import token_file_digest
+from tessera.session import shared_folder
 
 QUERIES = {}
 ORACLE = {}
@@ -37,3 +43,14 @@ def op2_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     out = drop_repeated_bytes(_table(spark, root, "documents"), length=400)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, root: str) -> DataFrame:
+    return token_counts(_table(spark, root, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_token_planes")
+def op9_token_planes(spark: SparkSession, root: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/planes-{uuid.uuid4().hex}"
+    return token_file_digest(_table(spark, root, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=2)
