@@ -6,7 +6,9 @@ functions of the bytes, equal in every process.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import sys
+import types
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -167,6 +169,14 @@ def unpack_all(blobs: Iterable[bytes], *kinds) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(kinds)]
 
 
+def remembered(key: str, make: Callable):
+    """What `make` gives, once per worker process; functions themselves travel to every task anew."""
+    memory = sys.modules.setdefault("tessera_worker_memory", types.ModuleType("tessera_worker_memory")).__dict__
+    if key not in memory:
+        memory[key] = make()
+    return memory[key]
+
+
 def cut_by(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(value, indices) of each distinct value of an integer key, indices in their order."""
     if not len(key):

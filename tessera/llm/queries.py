@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import oracles
+from tessera.llm.decontaminate import benchmark_matches
+from tessera.llm.mixing import mixed_counts
 from tessera.llm.substring_dedup import drop_repeated_windows
 from tessera.llm.suffix_dedup import drop_repeated_bytes
 from tessera.llm.token_counts import token_counts
@@ -39,6 +41,19 @@ def op2_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op3_decontaminate", oracles.OP3)
+def op3_decontaminate(spark: SparkSession, root: str) -> DataFrame:
+    found = benchmark_matches(_table(spark, root, "documents"), _table(spark, root, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op4_mixing", oracles.OP4)
+def op4_mixing(spark: SparkSession, root: str) -> DataFrame:
+    counts = mixed_counts(_table(spark, root, "documents"), weights=(1, 2, 3), max_copies=3)
+    return counts.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op7_suffix_dedup")
 def op7_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     out = drop_repeated_bytes(_table(spark, root, "documents"), length=400)

@@ -20,7 +20,7 @@ import heapq
 import json
 import re
 import unicodedata
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.arrays import remembered
+
 #: Words and pretokens a worker remembers; beyond it starts afresh.
 REMEMBERED = 600_000
 
@@ -164,14 +166,8 @@ class Counter(dict):
         return n
 
 
-@lru_cache(2)
-def counter(path: str) -> Counter:
-    """One per worker process, kept between its tasks."""
-    return Counter(path)
-
-
 def _count(batches, path):
-    counts = counter(path)
+    counts = remembered(f"counts {path}", lambda: Counter(path))
     for batch in batches:
         texts = batch.column("text").cast(pa.large_binary())
         n = np.fromiter((sum(map(counts.__getitem__, (t.as_py() or b"").split())) for t in texts), np.int64, len(texts))

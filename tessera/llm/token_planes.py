@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -111,14 +111,8 @@ class WordIds:
         return np.insert(ids, ends, np.uint32(end)), np.diff(np.r_[0, ends]) + 1
 
 
-@lru_cache(2)
-def word_ids(path: str) -> WordIds:
-    """One per worker process, kept between its tasks."""
-    return WordIds(path)
-
-
 def _encode(batches, path, end, block, plane):
-    encoder = word_ids(path)
+    encoder = A.remembered(f"ids {path}", lambda: WordIds(path))
     shard, number, first = None, 0, 0
     held, docs, room = [], [], 0  # ids not written yet, and what they are
 
