@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import oracles
 from tessera.llm.decontaminate import benchmark_matches
+from tessera.llm.fertility import fertility_rules
+from tessera.llm.html_text import extract_main_text
 from tessera.llm.mixing import mixed_counts
 from tessera.llm.substring_dedup import drop_repeated_windows
 from tessera.llm.suffix_dedup import drop_repeated_bytes
@@ -69,3 +71,13 @@ def op8_token_counts(spark: SparkSession, root: str) -> DataFrame:
 def op9_token_planes(spark: SparkSession, root: str) -> DataFrame:
     path = f"{shared_folder(spark)}/planes-{uuid.uuid4().hex}"
     return token_file_digest(_table(spark, root, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=2)
+
+
+@query("op1_fertility")
+def op1_fertility(spark: SparkSession, root: str) -> DataFrame:
+    return fertility_rules(_table(spark, root, "documents"))
+
+
+@query("op10_html_text")
+def op10_html_text(spark: SparkSession, root: str) -> DataFrame:
+    return extract_main_text(_table(spark, root, "pages"))
