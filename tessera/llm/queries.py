@@ -12,6 +12,7 @@ from tessera.llm import oracles
 from tessera.llm.decontaminate import benchmark_matches
 from tessera.llm.fertility import fertility_rules
 from tessera.llm.html_text import extract_main_text
+from tessera.llm.jaccard_groups import linked_components
 from tessera.llm.mixing import mixed_counts
 from tessera.llm.substring_dedup import drop_repeated_windows
 from tessera.llm.suffix_dedup import drop_repeated_bytes
@@ -81,3 +82,8 @@ def op1_fertility(spark: SparkSession, root: str) -> DataFrame:
 @query("op10_html_text")
 def op10_html_text(spark: SparkSession, root: str) -> DataFrame:
     return extract_main_text(_table(spark, root, "pages"))
+
+
+@query("op6_jaccard_join", oracles.OP6)
+def op6_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
+    return linked_components(_table(spark, root, "documents"), k=4, percent=85)
