@@ -21,9 +21,11 @@ from __future__ import annotations
 import os
 import zlib
 from functools import partial
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,7 +34,12 @@ from tessera.llm import arrays as A
 from tessera.llm.rows import keyed, parallelism, with_id
 
 BLOCK = 1 << 16  # ids in a block
-REMEMBERED = 500_000  # words whose ids a worker remembers
+REMEMBERED = 1_000_000  # words whose ids a worker remembers
+_CODES = np.arange(256)
+_LOWER = np.where((_CODES >= 65) & (_CODES <= 90), _CODES + 32, _CODES).astype(np.uint8)
+_LETTER = (_CODES >= 97) & (_CODES <= 122)
+_WHITE = np.isin(_CODES, list(A.BLANKS))
+_STOP = np.isin(_CODES, list(b".,"))
 _FILE = ("shard int, block int, first bigint, n_ids int, plane string, crc bigint, planes array<binary>, "
          "docs array<struct<rid: bigint, at: int, n: int, from: bigint>>")
 
@@ -66,44 +73,64 @@ def from_planes(planes: list[bytes], n: int, plane: str = "byte") -> np.ndarray:
 
 
 class WordIds:
-    """Ids of texts by a tokenizers file that treats words between white space apart; words are encoded once."""
+    """Ids of texts by a tokenizers file that lower-cases and treats words between white space apart.
+
+    Each word is encoded once per worker.  So that there are fewer, ASCII is
+    lower-cased beforehand and a full stop or comma after a letter is a word of
+    its own, which such a file cuts there anyway.  Texts that may hold special
+    tokens are taken as they are.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode_batch
-        self.known: dict[bytes, int] = {}
         self._clear()
 
     def _clear(self):
-        self.known.clear()
-        self.flat, self.start, self.used = np.zeros(1 << 20, np.uint32), np.zeros(REMEMBERED + 1, np.int64), 0
-
-    def learn(self, words: set[bytes]) -> None:
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self._clear()
-            fresh = list(words)
-        if len(fresh) > len(self.start) - 1 - len(self.known):
-            self.start = np.r_[self.start, np.zeros(len(fresh), np.int64)]
-        found = self.encode([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
+        self.known: dict[str, int] = {}
+        self.flat, self.start, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1, np.int64), 0
+
+    def _learn(self, fresh: list[str]) -> None:
+        found = self.encode(fresh, add_special_tokens=False)
         ids = [e.ids for e in found]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter((x for i in ids for x in i), np.uint32, int(lengths.sum()))
+        new = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         if self.used + len(new) > len(self.flat):
             self.flat = np.r_[self.flat[:self.used], np.zeros(max(len(new), len(self.flat)), np.uint32)]
         self.flat[self.used:self.used + len(new)] = new
-        n = len(self.known)
-        self.start[n + 1:n + 1 + len(ids)] = self.used + np.cumsum(lengths)
+        self.start = np.r_[self.start, self.used + np.cumsum(lengths)]
         self.used += len(new)
-        self.known.update(zip(fresh, range(n, n + len(fresh))))
-
-    def __call__(self, texts: list[list[bytes]], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of some texts, given as words, one after the other, and how many each has, with the end id."""
-        self.learn({w for words in texts for w in words})
-        counts = np.fromiter(map(len, texts), np.int64, len(texts))
-        word = np.fromiter((self.known[w] for words in texts for w in words), np.int64, int(counts.sum()))
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+
+    def _number(self, words: list[str]) -> np.ndarray:
+        """Numbers of distinct words, after encoding those not known."""
+        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            if len(self.known) and len(self.known) + len(new) > REMEMBERED:
+                self._clear()
+                return self._number(words)
+            number[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._learn([words[i] for i in new])
+        return number
+
+    def __call__(self, buf: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts one after the other, and how many each has, with the end id."""
+        if b"<|" not in buf.tobytes():
+            buf = _LOWER[buf]
+            white = np.r_[_WHITE[buf[1:]], True] if len(buf) else np.zeros(0, bool)
+            white[offs[1:][offs[1:] > 0] - 1] = True
+            letter = np.r_[False, _LETTER[buf[:-1]]] if len(buf) else white
+            stops = np.flatnonzero(_STOP[buf] & letter & white)
+            buf, offs = np.insert(buf, stops, np.uint8(32)), offs + np.searchsorted(stops, offs)
+        texts = pa.Array.from_buffers(pa.large_string(), len(offs) - 1, [
+            None, pa.py_buffer(np.ascontiguousarray(offs, np.int64)), pa.py_buffer(np.ascontiguousarray(buf))])
+        split = pc.ascii_split_whitespace(texts)
+        counts = pc.list_value_length(split).to_numpy()
+        coded = split.flatten().dictionary_encode()
+        word = self._number(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         length = self.start[word + 1] - self.start[word]
         total = np.r_[0, np.cumsum(length)]
         ids = self.flat[np.repeat(self.start[word] - total[:-1], length) + np.arange(total[-1])]
@@ -134,23 +161,15 @@ def _encode(batches, path, end, block, plane):
         return pa.RecordBatch.from_pylist([row], _SCHEMA)
 
     for batch in batches:
-        shards = batch.column("shard").to_numpy()
-        if shard is not None and len(shards) and shards[0] != shard:
+        shards = batch.column(2).to_numpy()
+        if len(shards) and shard not in (None, shards[0]):
             raise ValueError("a task writes one shard")
-        rids, texts = batch.column("rid").to_pylist(), batch.column("text").cast(pa.large_binary())
-        lo = 0
-        while lo < len(rids):
-            shard, group, size, hi = int(shards[0]), [], 0, lo
-            while hi < len(rids) and size < A.PIECE:
-                text = texts[hi].as_py() or b""
-                group.append(text.split())
-                size += len(text)
-                hi += 1
-            ids, counts = encoder(group, end)
+        for rids, buf, offs in A.text_pieces([batch], 4 * A.PIECE):
+            shard = int(shards[0])
+            ids, counts = encoder(buf, offs, end)
             held.append(ids)
-            docs += [(r, int(c), 0) for r, c in zip(rids[lo:hi], counts)]
+            docs += zip(rids.tolist(), counts.tolist(), repeat(0))
             room += len(ids)
-            lo = hi
             while room >= block:
                 yield write(block)
     if room:
