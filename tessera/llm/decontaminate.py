@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import Alphabet, word_bounds
-from tessera.llm.rows import cut_lineage, keyed, with_id
+from tessera.llm.rows import cut_lineage, keyed, numbered, unique, with_id
 
 SHARD_WORDS = 400_000  # words of items in one automaton, about 250 MB in a task
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -259,10 +259,10 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     return with_id(found.select("rid", "n_words", _n_hit().alias("n_hit"), "items", "spans"), rows, plain, id_col)
 
 
-def _without(batches):
+def _without(batches, text_col, names):
     for batch in batches:
         out = []
-        for text, spans in zip(batch.column("text").cast(pa.large_binary()), batch.column("spans").to_pylist()):
+        for text, spans in zip(batch.column(text_col).cast(pa.large_binary()), batch.column("_spans").to_pylist()):
             text = text.as_py()
             if spans:
                 raw = np.frombuffer(text, np.uint8)
@@ -273,20 +273,26 @@ def _without(batches):
                     at = int(end[s["to"] - 1])
                 text = b"".join([*keep, text[at:]])
             out.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(out, pa.binary()).cast(pa.string())], ["rid", "text"])
+        cut = pa.array(out, pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([cut if n == text_col else batch.column(n) for n in names], names)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    item_col: str = "item_id", item_text: str = "text", window: int = 10, max_share: float = 0.5,
                    per_pass: int = 2) -> DataFrame:
-    """(id, text): texts without the spans that tests hold; texts hit over `max_share` of their words go.
+    """The rows of `docs`, all columns, without the spans of their texts that tests hold.
 
-    A span is at least `window` words, or a whole shorter item.  What stands
-    around a span stays as it is.
+    A span is at least `window` words, or a whole shorter item; what stands around
+    it stays as it is.  Texts hit over `max_share` of their words go altogether.
     """
-    rows, plain = keyed(docs, id_col, text_col)
+    key = id_col
+    names = docs.columns
+    if not unique(docs, id_col):
+        docs, key = numbered(docs, id_col, text_col, "_row"), "_row"
+    rows = docs.select(F.col(key).cast("bigint").alias("rid"), F.col(text_col).alias("text"))
     found = cut_lineage(_matches(rows, items, item_col, item_text, window, per_pass).where(F.size("spans") > 0).select(
-        "rid", "spans", (_n_hit() > F.lit(max_share) * F.col("n_words")).alias("over")))
-    joined = rows.join(found, "rid", "left").where("over IS NULL OR NOT over")
-    cut = joined.select("rid", "text", "spans").mapInArrow(_without, "rid bigint, text string")
-    return with_id(cut, rows, plain, id_col)
+        F.col("rid").alias("_rid"), F.col("spans").alias("_spans"),
+        (_n_hit() > F.lit(max_share) * F.col("n_words")).alias("_over")))
+    joined = docs.join(found, F.col(key) == F.col("_rid"), "left").where("_over IS NULL OR NOT _over")
+    schema = docs.select(*names).schema
+    return joined.select(*names, "_spans").mapInArrow(partial(_without, text_col=text_col, names=names), schema)

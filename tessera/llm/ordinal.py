@@ -5,22 +5,23 @@ Each document has hashed text features x; all thresholds share their weights:
     P(grade <= j) = sigmoid(threshold_j - w.x),  threshold_1 < threshold_2 < ...
 
 Thresholds are kept in order by writing them as a first one and exponentials of
-gaps.  Weights are fitted by full-gradient steps with per-coordinate scaling
-(Adam) and an L2 penalty; each step is one job, in which tasks add up gradients
-of their rows, so that only one vector per task reaches the driver.
+gaps.  The likelihood with an L2 penalty is maximised by limited-memory
+quasi-Newton steps; each evaluation is one job, in which tasks add up gradients
+of their rows, so that one vector per task reaches the driver.
 
-Features are hashed words, hashed word shapes (runs of letters, digits and marks
-collapsed, case kept), and hashed pairs of equal neighbours, by presence or by
-logarithm of count, scaled to unit length, next to a few dense statistics.  Words
-in the sense of the contracts.
+Features are hashed words and beginnings of words, by presence, and hashed word
+shapes (runs of letters, digits and marks collapsed, case kept) and repeats of
+the word before, by their share of the words.  Features in fewer than
+`least_docs` rated rows are left out of the fit.
 
 The fit uses at most `max_rows` rated rows, chosen by a hash of their ids; all
 documents are scored.
 
 Defined cases: null and empty texts have no features and get the grade of the
 thresholds alone; rows that share an id are scored each, ratings that share an id
-count as their lowest grade; without ratings the fit raises; an empty table gives
-no rows; other columns are ignored or, in `accepted`, kept.
+count as their lowest grade; without rated documents every grade is taken to be
+the highest; an empty table gives no rows; other columns are ignored or, in
+`accepted`, kept.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ from tessera.llm.rows import cut_lineage
 
 DIMS = 1 << 17
 MAX_ROWS = 20_000  # rated rows the fit uses at most
-ROUNDS, RATE, PENALTY = 40, 0.3, 2e-6
+ROUNDS, PENALTY = 40, 1e-3
+LEAST_DOCS = 10  # rated rows a feature must occur in
+PREFIX = 5
 _WORDS = A.Alphabet(fold=True, seed=51)
 _CLASS = np.array([ord("a") if 97 <= c <= 122 or c >= 128 else ord("A") if 65 <= c <= 90 else ord("9") if 48 <= c <= 57 else c
                    for c in range(256)], np.uint8)
@@ -51,7 +54,7 @@ class Model(NamedTuple):
 
 
 def features(buf: np.ndarray, offs: np.ndarray, dims: int = DIMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, value, bounds): sparse features of some texts; each text's squares add up to one per kind."""
+    """(place, value, bounds): sparse features of some texts."""
     start, end, first = A.word_bounds(buf, offs, _WORDS)
     text = A.owners(first)
     words = A.word_hashes(buf, start, _WORDS)
@@ -67,10 +70,16 @@ def features(buf: np.ndarray, offs: np.ndarray, dims: int = DIMS) -> tuple[np.nd
         flat = kind[at]
         powers, inverse = _SHAPES.powers(len(flat))
         shapes = A.mix(np.add.reduceat(_SHAPES.value[flat] * powers[:len(flat)], base) * inverse[base])
+    heads = np.zeros(len(start), A.U)
+    if len(start):  # the first bytes of each word
+        reach = np.minimum(end, start + PREFIX)
+        powers, inverse = _WORDS.powers(len(buf))
+        total = np.r_[A.U(0), np.cumsum(_WORDS.value[buf] * powers[:len(buf)])]
+        heads = A.mix((total[reach] - total[start]) * inverse[start])
     same = np.zeros(len(words), bool)
     same[1:] = (words[1:] == words[:-1]) & (text[1:] == text[:-1])
     out_place, out_value, out_text = [], [], []
-    for salt, keys, own, counted in ((1, words, text, False), (2, shapes, text, True),
+    for salt, keys, own, counted in ((1, words, text, False), (4, heads, text, False), (2, shapes, text, True),
                                      (3, np.full(int(same.sum()), A.U(99)), text[same], True)):
         place = (A.mix(keys + A.U(salt * 0x9E37)) % A.U(dims)).astype(np.int64)
         pair, count = np.unique(own * dims + place, return_counts=True)
@@ -78,8 +87,7 @@ def features(buf: np.ndarray, offs: np.ndarray, dims: int = DIMS) -> tuple[np.nd
         if counted:  # the share of the words
             value = count / np.maximum(np.diff(first)[own], 1)
         else:
-            value = 1 / np.sqrt(np.maximum(np.bincount(own, minlength=len(offs) - 1)[own], 1) / 64.0)
-            value = np.minimum(value, 1.0)
+            value = np.ones(len(own))
         out_place.append(place)
         out_value.append(value)
         out_text.append(own)
@@ -128,14 +136,24 @@ def _examples(batches, dims):
             at += len(ids)
 
 
-def _gradient(batches, state, dims):
+def _occurrences(batches, dims):
+    counts = np.zeros(dims, np.int32)
+    for batch in batches:
+        for blob in batch.column("features").to_pylist():
+            counts[A.unpack(blob, np.int32, np.float32)[0]] += 1  # a row names a place once per kind
+    yield pa.RecordBatch.from_arrays([pa.array([A.pack(counts)], pa.binary())], ["counts"])
+
+
+def _gradient(batches, state, dims, least):
     weights, raw = state.value
+    known = least.value
     total, cuts, loss, n = np.zeros(dims), np.zeros(len(raw)), 0.0, 0
     for batch in batches:
         parts = [A.unpack(b, np.int32, np.float32) for b in batch.column("features").to_pylist()]
         grade = batch.column("grade").to_numpy()
         bounds = np.r_[0, np.cumsum([len(p[0]) for p in parts])].astype(int)
         place, value = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        value = np.where(known[place], value, 0)
         own, slope, by_raw = log_likelihood(_row_sums(weights[place] * value, bounds), grade, raw)
         total += np.bincount(place, value * np.repeat(slope, np.diff(bounds)), dims)
         cuts += by_raw.sum(0)
@@ -147,7 +165,8 @@ def _gradient(batches, state, dims):
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text",
-        grade_col: str = "grade", max_rows: int = MAX_ROWS, dims: int = DIMS, rounds: int = ROUNDS) -> Model:
+        grade_col: str = "grade", max_rows: int = MAX_ROWS, dims: int = DIMS, rounds: int = ROUNDS,
+        penalty: float = PENALTY, least_docs: int = LEAST_DOCS) -> Model:
     """Fit on documents with ratings 0 .. grades - 1."""
     spark = docs.sparkSession
     rated = ratings.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("rated_id")).agg(
@@ -160,26 +179,65 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id"
     held = {r.grade: r["count"] for r in examples.groupBy("grade").count().collect()}
     n = sum(held.values())
     if not n:
-        raise ValueError("no document has a rating")
+        return Model(np.zeros(dims, np.float32), np.full(grades - 1, -40.0))
     below = np.cumsum([held.get(g, 0) for g in range(grades)])[:-1]
     share = np.clip(below / n, 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
     raw = np.r_[start[:1], np.log(np.maximum(np.diff(start), 1e-2))]
-    x = np.r_[np.zeros(dims), raw]
-    m, v = np.zeros_like(x), np.zeros_like(x)
     examples = examples.coalesce(tasks)
-    for step in range(1, rounds + 1):
+    often = examples.mapInArrow(partial(_occurrences, dims=dims), "counts binary").collect()
+    least = spark.sparkContext.broadcast(sum(A.unpack(r.counts, np.int32)[0] for r in often) >= least_docs)  # a byte a feature
+
+    def evaluate(x):
         state = spark.sparkContext.broadcast((x[:dims], x[dims:]))
-        parts = examples.mapInArrow(partial(_gradient, state=state, dims=dims), "n bigint, loss double, weights binary, cuts binary").collect()
-        g = np.r_[sum(np.frombuffer(p.weights) for p in parts), sum(np.frombuffer(p.cuts) for p in parts)] / -n
-        g[:dims] += PENALTY * x[:dims]
-        m, v = 0.9 * m + 0.1 * g, 0.98 * v + 0.02 * g * g
-        rate = RATE * min(1.0, 2 * (1 - (step - 1) / rounds))
-        x = x - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.98 ** step)) + 1e-7)
+        parts = examples.mapInArrow(partial(_gradient, state=state, dims=dims, least=least),
+                                    "n bigint, loss double, weights binary, cuts binary").collect()
         state.unpersist()
+        slope = np.r_[sum(np.frombuffer(p.weights) for p in parts), sum(np.frombuffer(p.cuts) for p in parts)] / -n
+        slope[:dims] += penalty * x[:dims]
+        return sum(p.loss for p in parts) / n + penalty / 2 * float(x[:dims] @ x[:dims]), slope
+
+    x = minimised(evaluate, np.r_[np.zeros(dims), raw], rounds)
     return Model(x[:dims].astype(np.float32), _thresholds(x[dims:]))
 
 
+def minimised(evaluate, x: np.ndarray, rounds: int, memory: int = 8, close: float = 1e-5) -> np.ndarray:
+    """Limited-memory quasi-Newton steps with backtracking; `evaluate` gives value and slope."""
+    value, slope = evaluate(x)
+    past = []
+    for _ in range(rounds):
+        step = -slope
+        kept = []
+        for dx, dg in reversed(past):
+            a = (dx @ step) / (dx @ dg)
+            step = step - a * dg
+            kept.append(a)
+        if past:
+            dx, dg = past[-1]
+            step = step * ((dx @ dg) / (dg @ dg))
+        for (dx, dg), a in zip(past, reversed(kept)):
+            step = step + dx * (a - (dg @ step) / (dx @ dg))
+        size, drop = 1.0, slope @ step
+        if not past:
+            size = 1 / max(1.0, float(np.abs(step).sum()))
+        while True:
+            to = x + size * step
+            new, new_slope = evaluate(to)
+            if new <= value + 1e-4 * size * drop or size < 1e-6:
+                break
+            size /= 2
+        if size < 1e-6:
+            break
+        dx, dg = to - x, new_slope - slope
+        if dx @ dg > 1e-12:
+            past = [*past[1 - memory:], (dx, dg)]
+        settled = value - new < close * max(abs(value), 1e-6)
+        x, value, slope = to, new, new_slope
+        if settled:
+            break
+    return x
+
+
 def _score(batches, shared, dims):
     weights, cuts = shared.value
     for batch in batches:
@@ -204,6 +262,25 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return out.withColumnRenamed("id", id_col)
 
 
+def _accept(batches, shared, id_col, text_col, above, least):
+    weights, cuts = shared.value
+    for batch in batches:
+        some = pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(text_col)], ["id", "text"])
+        keep = []
+        for _, buf, offs in A.text_pieces([some]):
+            place, value, bounds = features(buf, offs, len(weights))
+            keep.append(1 - _sigmoid(cuts[above] - _row_sums(weights[place] * value, bounds)) >= least)
+        if keep:
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+
+def accepted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", above: int = 1,
+             least: float = 0.5) -> DataFrame:
+    """The rows of `docs`, all columns, whose probability of a grade over `above` is at least `least`."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
+    return docs.mapInArrow(partial(_accept, shared=shared, id_col=id_col, text_col=text_col, above=above, least=least), docs.schema)
+
+
 def quality_grade(quality: Column, toxic: Column) -> Column:
     """Grades from the two labels: 0 toxic, 1 poor, 2 good; null without both."""
     return F.when(toxic == 1, 0).when(quality == 0, 1).when((quality == 1) & (toxic == 0), 2).cast("int")

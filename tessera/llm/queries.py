@@ -14,6 +14,7 @@ from tessera.llm.fertility import fertility_rules
 from tessera.llm.html_text import extract_main_text
 from tessera.llm.jaccard_groups import linked_components
 from tessera.llm.mixing import mixed_counts
+from tessera.llm.ordinal import fit, quality_grade, scored
 from tessera.llm.substring_dedup import drop_repeated_windows
 from tessera.llm.suffix_dedup import drop_repeated_bytes
 from tessera.llm.token_counts import token_counts
@@ -87,3 +88,13 @@ def op10_html_text(spark: SparkSession, root: str) -> DataFrame:
 @query("op6_jaccard_join", oracles.OP6)
 def op6_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     return linked_components(_table(spark, root, "documents"), k=4, percent=85)
+
+
+@query("op5_ordinal_quality")
+def op5_ordinal_quality(spark: SparkSession, root: str) -> DataFrame:
+    docs, labels = _table(spark, root, "documents"), _table(spark, root, "labels")
+    ratings = labels.select("doc_id", quality_grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    out = scored(docs, fit(docs, ratings, grades=3))
+    good = F.element_at("tails", 2)
+    return out.select("doc_id", "expected_grade", F.element_at("tails", 1).alias("p_not_toxic"), good.alias("p_good"),
+                      (good >= 0.5).alias("kept"))

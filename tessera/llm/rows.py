@@ -8,24 +8,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.scans import running_sum
 from tessera.session import cut_lineage, parallelism
 
 
+def unique(docs: DataFrame, id_col: str) -> bool:
+    """Whether ids are whole numbers, all different, and never null."""
+    ids = docs.select(F.col(id_col).alias("rid"))
+    return dict(ids.dtypes)["rid"] in ("bigint", "int", "smallint", "tinyint") and ids.groupBy("rid").count().where(
+        "rid IS NULL OR count > 1").isEmpty()
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
+    """Add `out`: a number of its own for each row, ascending in the id (null first), then in a hash of the text."""
+    order = [F.col(id_col).asc_nulls_first(), F.xxhash64(text_col)]
+    placed = docs.repartitionByRange(parallelism(docs.sparkSession), *order).sortWithinPartitions(*order, F.col(text_col))
+    return cut_lineage(placed.withColumn(out, F.monotonically_increasing_id()))
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
     """(rid long, text) and whether rid is the id itself.
 
-    Ids that are long, unique and not null are used as they are.  Otherwise rid
-    numbers the rows in the order of (id, text), so repeated and null ids still
-    are rows of their own, and the same on every run.
+    Ids that are whole numbers, unique and not null are used as they are.
+    Otherwise rid numbers the rows in the order of id and text hash, so that
+    repeated and null ids still are rows of their own.
     """
-    ids = docs.select(F.col(id_col).alias("rid"))
-    plain = dict(ids.dtypes)["rid"] in ("bigint", "int", "smallint", "tinyint")
-    if plain and ids.groupBy("rid").count().where("rid IS NULL OR count > 1").isEmpty():
+    if unique(docs, id_col):
         return docs.select(F.col(id_col).cast("bigint").alias("rid"), F.col(text_col).alias("text")), True
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).withColumn("_one", F.lit(1))
-    ranked = running_sum(base, [], [F.col("_id").asc_nulls_first(), F.col("text").asc_nulls_first()], "_one", "rid")
-    return ranked.select("rid", "text", "_id"), False
+    return numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")), "_id", "text", "rid"), False
 
 
 def with_id(result: DataFrame, rows: DataFrame, plain: bool, id_col: str) -> DataFrame:
@@ -85,5 +94,5 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: int, fold: Callable) -> Ite
         yield from fold(now, held)
 
 
-__all__ = ["brought_together", "buckets_for", "cut_lineage", "gathered", "keyed", "parallelism", "prime_from",
-           "runs_of", "sizes", "text_bytes", "with_id"]
+__all__ = ["brought_together", "buckets_for", "cut_lineage", "gathered", "keyed", "numbered", "parallelism", "prime_from",
+           "runs_of", "sizes", "text_bytes", "unique", "with_id"]
