@@ -16,15 +16,22 @@ from tessera.session import cut_lineage
 
 
 def noise_rank(x: np.ndarray, cap: int = 4, shrink: float = 0.9) -> int:
-    """Eigenvalues above the shrunken edge of the noise spectrum, at most `cap`."""
-    n, p = x.shape
-    if n < 5 or p < 2:
+    """How many principal variances stand out of noise, at most `cap`.
+
+    Pure noise of variance s spreads its sample variances up to s (1 + sqrt(p / n))^2
+    (Marchenko and Pastur), n counting degrees of freedom.  s is read off the lower
+    half of the spectrum, which signals leave alone; `shrink` lowers the edge.
+    """
+    rows, columns = x.shape
+    if rows < 5 or columns < 2:
         return 0
-    lam = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2 / max(n - 1, 1)
-    tail = lam[max(0, int(np.ceil(len(lam) / 2)) - 1):]
-    sigma2 = np.median(tail) if np.median(tail) > 0 else np.median(lam)
-    edge = shrink * sigma2 * (1 + np.sqrt(p / max(n - 1, 1))) ** 2
-    return int(min((lam > edge).sum(), cap))
+    centred = x - x.mean(0)
+    freedom = rows - 1
+    gram = centred @ centred.T if rows < columns else centred.T @ centred
+    spectrum = np.clip(np.linalg.eigvalsh(gram / freedom), 0, None)  # ascending
+    noise = next((m for m in (np.median(spectrum[: len(spectrum) // 2 + 1]), np.median(spectrum)) if m > 1e-12 * spectrum[-1]), 0.0)
+    above = np.searchsorted(spectrum, shrink * noise * (1 + np.sqrt(columns / freedom)) ** 2, "right")
+    return min(cap, len(spectrum) - int(above))
 
 
 def frames(points: DataFrame, lattice: DataFrame, k: int = 40, cap: int = 4, min_n: int = 15) -> DataFrame:

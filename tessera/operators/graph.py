@@ -71,6 +71,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components still merge after {max_rounds} rounds")
     roots = state.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return state.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots).distinct()
 

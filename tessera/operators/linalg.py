@@ -285,7 +285,7 @@ def pair_agreement(points: DataFrame, coords: DataFrame, metric: Metric = Metric
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, length: str = "d", max_rounds: int = 500) -> DataFrame:
-    """(source, id, d) from a bounded set of sources, by rounds of relaxation.
+    """(source, id, d) from a bounded set of sources, by rounds of relaxation until nothing falls.
 
     Only vertices whose distance fell in the last round send messages.
     """
@@ -298,31 +298,74 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, length: str = "d", max_
         best = pool.groupBy("source", "id").agg(F.min(F.struct("d", "fresh")).alias("b")).select("source", "id", "b.d", "b.fresh")
         known = cut_lineage(best)
         if known.where("fresh").isEmpty():
-            break
-    return known.select("source", "id", "d")
+            return known.select("source", "id", "d")
+    raise RuntimeError(f"paths still shorten after {max_rounds} rounds")
+
+
+def geodesics(edges: DataFrame, ids: DataFrame, length: str = "d", batch: int = 2_000) -> DataFrame:
+    """(source, id, d) from every vertex to all it reaches, sources in batches over one edge table."""
+    ids = cut_lineage(ids.select("id").distinct())
+    parts = max(1, -(-ids.count() // batch))
+    edges = cut_lineage(edges)
+    out = None
+    for part in range(parts):
+        some = shortest_paths(edges, ids.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part), length)
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
-def landmarks(ids: DataFrame, n: int = 400) -> DataFrame:
-    """A bounded sample of sources, the same on every run."""
-    return ids.select("id").orderBy(F.md5(F.col("id").cast("string")), "id").limit(n)
+def geodesic_scaling(paths: DataFrame, ids: DataFrame, dims: int, rounds: int = 60, tol: float = 1e-7, spare: int = 8) -> DataFrame:
+    """(id, v): classical scaling of the path lengths between all vertices.
+
+    Vertices without a path are ten times the longest path apart.  The matrix is
+    the path table: a product with it is one join and one sum.
+    """
+    m = dims + spare
+    apart = 100.0 * (paths.agg(F.max("d")).first()[0] or 0.0) ** 2
+
+    def apply(v: DataFrame) -> DataFrame:
+        means = v.agg(F.array(*[F.avg(F.col("v")[j]) for j in range(m)])).first()[0]
+        centred = v.select("id", F.array(*[F.col("v")[j] - F.lit(float(means[j])) for j in range(m)]).alias("o"))
+        # As the columns sum to nothing, a constant for all pairs adds nothing: only its lack on paths does.
+        weight = F.col("d") * F.col("d") - F.lit(apart)
+        sums = cut_lineage(paths.join(centred, "id").groupBy(F.col("source").alias("id")).agg(
+            F.array(*[F.sum(weight * F.col("o")[j]) for j in range(m)]).alias("s")))
+        centre = sums.agg(F.array(*[F.avg(F.col("s")[j]) for j in range(m)])).first()[0]
+        return sums.select("id", F.array(*[-0.5 * (F.col("s")[j] - F.lit(float(centre[j]))) for j in range(m)]).alias("a"))
+
+    out, val = _subspace(_seeded(ids, m), apply, m, dims, rounds, tol)
+    return _signed(out.withColumn("v", _combine("v", np.diag(np.sqrt(np.maximum(val, 0.0))))), dims)
 
 
 def isomap_residual(paths: DataFrame, coords: DataFrame, dims: Sequence[int]) -> DataFrame:
-    """(m, resvar): 1 - corr^2 of path lengths and distances in the first m coordinates.
+    """(m, resvar): 1 - corr^2 of path lengths and distances in the first m coordinates, over all ordered pairs.
 
-    Unreachable pairs count as ten times the longest path.
+    Vertices without a path count as in `geodesic_scaling`, a vertex and itself as zero.
     """
-    ids = coords.select("id")
-    longest = paths.agg(F.max("d")).scalar()
-    src = coords.select(F.col("id").alias("source"), F.col("v").alias("vs"))
-    grid = paths.select("source").distinct().join(src, "source")
-    # Sources are few by construction; every vertex meets each of them once.
-    names = grid.agg(F.collect_list(F.struct("source", "vs"))).scalar()
-    pairs = coords.select("id", "v", F.explode(names).alias("s")).select("id", "v", "s.source", "s.vs").where("id <> source")
-    full = pairs.join(paths, ["source", "id"], "left").withColumn("d", F.coalesce("d", 10 * longest))
-    gap = lambda m: F.sqrt(sum(((F.col("v")[j] - F.col("vs")[j]) ** 2 for j in range(m)), F.lit(0.0)))
-    wide = full.agg(*[F.corr("d", gap(m)).alias(f"r{m}") for m in dims])
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(int(m)).alias("m"), (1 - F.col(f"r{m}") ** 2).alias("resvar")) for m in dims])).alias("e")).select("e.*")
+    apart = 10.0 * (paths.agg(F.max("d")).first()[0] or 0.0)
+    gap = lambda m, a, b: F.sqrt(sum(((F.col(a)[j] - F.col(b)[j]) ** 2 for j in range(m)), F.lit(0.0)))
+    own = coords.select("id", "v")
+    met = paths.join(own, "id").join(own.select(F.col("id").alias("source"), F.col("v").alias("vs")), "source")
+    found = met.agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("d"), F.sum(F.col("d") * F.col("d")).alias("dd"),
+                    *[f for m in dims for f in (F.sum(gap(m, "v", "vs")).alias(f"g{m}"), F.sum(gap(m, "v", "vs") * F.col("d")).alias(f"dg{m}"))]).first()
+
+    def moments(x, y):
+        a, b = _matrix(x["v"]), _matrix(y["v"])
+        g = [Metric().between(a[:, :m], b[:, :m]) for m in dims]
+        return pd.DataFrame({"g": [[float(k.sum()) for k in g]], "gg": [[float((k * k).sum()) for k in g]]})
+
+    blocks = all_pairs_reduce(own, own, moments, "g array<double>, gg array<double>")
+    every = blocks.agg(*[f for j in range(len(dims)) for f in (F.sum(F.col("g")[j]).alias(f"g{j}"), F.sum(F.col("gg")[j]).alias(f"gg{j}"))]).first()
+    n = coords.count() ** 2
+    lacking = n - found["n"]
+    sd, sdd = found["d"] + lacking * apart, found["dd"] + lacking * apart * apart
+    out = []
+    for j, m in enumerate(dims):
+        g, gg = every[f"g{j}"], every[f"gg{j}"]
+        dg = found[f"dg{m}"] + apart * (g - found[f"g{m}"])
+        spread = (n * sdd - sd * sd) * (n * gg - g * g)
+        out.append((int(m), float(1 - (n * dg - sd * g) ** 2 / spread) if spread > 0 else None))
+    return paths.sparkSession.createDataFrame(out, "m int, resvar double")
 
 
 def kernel_density(points: DataFrame, grid: DataFrame, x: str, y: str, hx: float, hy: float) -> DataFrame:

@@ -36,7 +36,7 @@ def _nearest_group(points: DataFrame, eps: float, metric: Metric) -> DataFrame:
         "cluster", F.col("b.other").alias("other"), F.col("b.h").alias("h"))
 
 
-def complete_groups(points: DataFrame, eps: float, metric: Metric = Metric(), rounds: int = 50) -> DataFrame:
+def complete_groups(points: DataFrame, eps: float, metric: Metric = Metric()) -> DataFrame:
     """(id, cluster): complete linkage cut at eps; a group is named by its smallest id.
 
     Exact copies collapse first.  Then mutual nearest groups merge, all at once:
@@ -46,7 +46,7 @@ def complete_groups(points: DataFrame, eps: float, metric: Metric = Metric(), ro
     """
     distinct = cut_lineage(points.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec", F.col("id").alias("cluster")))
     now = distinct
-    for _ in range(rounds):
+    while True:  # each round merges the nearest pair at least
         near = cut_lineage(_nearest_group(now, eps, metric))
         back = near.select(F.col("other").alias("cluster"), F.col("cluster").alias("other"))
         merge = cut_lineage(near.join(back, ["cluster", "other"]).where("other < cluster").select("cluster", F.col("other").alias("to")))

@@ -208,7 +208,7 @@ def _fit_sums(p, pen, fixed, binomial, slack):
             if best is None or score < best[0]:
                 best = (score, beta, inv, lam, edf, rss)
         if best is None:
-            best = (np.inf, np.zeros(p), np.eye(p), 0.0, 0.0, zz)
+            raise ValueError(f"model {m} cannot be solved with any penalty")
         _, beta, inv, lam, edf, rss = best
         phi = 1.0 if binomial else rss / max(1.0, n - edf)
         return pd.DataFrame({"model": [m], "beta": [beta], "cov": [(phi * inv).ravel()], "lam": [lam], "edf": [edf]})

@@ -23,11 +23,10 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage, parallelism
 
-ONE_BLOCK = 2048
 SMALLEST, LARGEST = 1024, 8192
 MAX_PIVOTS = 256
-# Slack for bounds computed in floating point.
-SLACK = 1e-9
+# Relative slack for bounds computed from distances kept to 40 bits.
+SLACK = 2.0**-36
 
 
 @dataclass(frozen=True)
@@ -146,14 +145,6 @@ def knn(points: DataFrame, k: int, metric: Metric = Metric(), queries: DataFrame
     points = points.select(F.col("id").cast("bigint").alias("id"), "vec")
     asked = points if same else queries.select(F.col("id").cast("bigint").alias("id"), "vec")
     total = points.count() if total is None else total
-    if same and total <= (block or ONE_BLOCK):
-        # One bounded block: no cells to build.
-        def one(p: pd.DataFrame) -> pd.DataFrame:
-            x, pid = _matrix(p["vec"]), p["id"].to_numpy()
-            return pd.concat([_best(pid[lo:lo + 1024], pid, metric.between(x[lo:lo + 1024], x), k, True)
-                              for lo in range(0, len(p), 1024)])
-
-        return cut_lineage(_rank(points.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(one, "i bigint, j bigint, d double"), k))
     block = block or block_size(points, total)
     cells = _Cells(_choose_pivots(points, total, block), metric)
     placed = points.mapInPandas(_place(cells), "id bigint, vec array<double>, cell int, r double")
@@ -208,7 +199,9 @@ def _visits(cells: _Cells):
             low = np.maximum(d - cells.far[None, :], cells.near[None, :] - d)
             # Points of another cell lie beyond the bisector of the two pivots.
             low = np.maximum(low, (d - mine[:, None]) / 2)
-            open_ = (low <= pdf["theta"].to_numpy()[:, None] + SLACK) & (cells.counts > 0)[None, :]
+            theta = pdf["theta"].to_numpy()[:, None]
+            slack = SLACK * (d + mine[:, None] + cells.far[None, :])
+            open_ = (low <= theta * (1 + SLACK) + slack) & (cells.counts > 0)[None, :]
             qi, cj = np.nonzero(open_)
             reps = cells.parts[cj]
             qi, cj = np.repeat(qi, reps), np.repeat(cj, reps)

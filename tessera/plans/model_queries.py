@@ -51,35 +51,33 @@ def pca_scores(spark, root):
 
 @query("i17_classical_scaling")
 def scaling(spark, root):
-    v = LA.classical_scaling(embedded(spark, root), 2, rounds=4)
+    v = LA.classical_scaling(embedded(spark, root), 2)
     return v.select("id", r6(F.col("v")[0]).alias("m1"), r6(F.col("v")[1]).alias("m2"))
 
 
 @query("i15_laplacian_eigenmaps")
 def eigenmaps(spark, root):
-    v = LA.laplacian_eigenmaps(embedded_graph(spark, root), 3, rounds=2, degree=8)
+    v = LA.laplacian_eigenmaps(embedded_graph(spark, root), 3)
     return v.select("id", *[F.col("v")[j].alias(f"le{j + 1}") for j in range(3)])
 
 
 @query("i13_geodesics", f"""
 WITH RECURSIVE {R.embedded_nn(10)}, bi AS (SELECT DISTINCT * FROM (SELECT i AS a, j AS b, d FROM nn UNION ALL SELECT j, i, d FROM nn)),
 ev AS (SELECT a, b, min(d) AS d FROM bi GROUP BY 1, 2),
-src AS (SELECT id FROM e ORDER BY md5(id::VARCHAR), id LIMIT 400),
-walk AS (SELECT id AS source, id, 0.0::DOUBLE AS d, 0 AS hops FROM src UNION
-  SELECT source, b, min(walk.d + ev.d), hops + 1 FROM walk JOIN ev ON a = walk.id WHERE hops < 12 GROUP BY source, b, hops)
-SELECT source, id, round(min(d), 6) AS d FROM walk GROUP BY 1, 2""")
+walk(source, id, d) USING KEY (source, id) AS (SELECT id, id, 0.0::DOUBLE FROM e UNION
+  SELECT w.source, ev.b, min(w.d + ev.d) FROM walk w JOIN ev ON ev.a = w.id LEFT JOIN recurring.walk k ON k.source = w.source AND k.id = ev.b
+  WHERE k.d IS NULL OR w.d + ev.d < k.d GROUP BY w.source, ev.b)
+SELECT source, id, round(d, 6) AS d FROM walk""")
 def geodesics(spark, root):
-    g = cut_lineage(G.knn_graph(N.knn(embedded(spark, root), 10), weighted=False))
-    return LA.shortest_paths(g, LA.landmarks(embedded(spark, root), 400)).select("source", "id", r6("d").alias("d"))
+    e = embedded(spark, root)
+    return LA.geodesics(G.knn_graph(N.knn(e, 10), weighted=False), e).select("source", "id", r6("d").alias("d"))
 
 
 @query("i18_isomap_residual")
 def isomap(spark, root):
     e = embedded(spark, root)
-    g = cut_lineage(G.knn_graph(N.knn(e, 10), weighted=False))
-    paths = LA.shortest_paths(g, LA.landmarks(e, 400))
-    mean, axes, _ = LA.principal_axes(e, 3)
-    coords = LA.project(e, mean, axes, out="v").select("id", "v")
+    paths = cut_lineage(LA.geodesics(G.knn_graph(N.knn(e, 10), weighted=False), e))
+    coords = cut_lineage(LA.geodesic_scaling(paths, e, 3))
     return LA.isomap_residual(paths, coords, [1, 2, 3]).select("m", r6("resvar").alias("resvar"))
 
 

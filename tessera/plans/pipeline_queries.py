@@ -31,15 +31,18 @@ _UNIT = "WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embedding
 
 @query("q5_majors", f"""
 WITH {R.cells('p_brand')},
-a AS (SELECT DISTINCT label FROM cell WHERE a + b >= 10 AND a >= 5 AND b >= 5 AND {R.fisher_greater()} <= 0.05),
+t AS (SELECT *, a::DOUBLE / n_in AS prev_in, CASE WHEN b > 0 AND c > 0 THEN (a::DOUBLE * d) / (b::DOUBLE * c) END AS orr,
+  {R.fisher_greater()} AS p FROM cell WHERE a + b >= 10 AND a >= 5 AND b >= 5),
+u AS (SELECT *, {R.raw_bh('p', 'cluster')} AS raw FROM t),
+w AS (SELECT *, {R.bh('p', 'cluster')} AS q FROM u),
+a AS (SELECT DISTINCT label FROM w WHERE q <= 0.05 AND prev_in >= 0.10 AND orr >= 2),
 g AS (SELECT label FROM lb, tot WHERE n_pos::DOUBLE / n >= 0.03 OR n_pos >= 5)
 SELECT label FROM a JOIN g USING (label)""")
 def majors(spark, root):
-    """Labels that pass a pillar and the prevalence gate; here the pillar is nominal enrichment."""
-    t = A.cells(assigned_orders(spark, root, "p_brand"))
-    p = A.with_lifts(t.where(A.guarded(t))).withColumn("p", exact.fisher_greater("a", "b", "c", "d"))
+    """Labels enriched in a cluster after false-discovery control, with prevalence and odds limits, inside the gate."""
+    t = A.enrichment(A.cells(assigned_orders(spark, root, "p_brand")))
     gate = (F.col("prev_all") >= 0.03) | (F.col("a") + F.col("b") >= 5)
-    return p.where((F.col("p") <= 0.05) & gate).select("label").distinct()
+    return t.where((F.col("major") == 1) & gate).select("label").distinct()
 
 
 @query("q5_majors_three_pillars")

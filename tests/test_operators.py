@@ -360,3 +360,50 @@ def test_constant_item_leaves_the_neighbours_alone(spark):
 def test_constant_columns_are_dropped(spark):
     df = spark.createDataFrame([(1, 1.0, "x", 2), (2, 1.0, "x", 3), (3, None, "y", 4)], "id int, a double, b string, c int")
     assert E.complete_cases(df, ["a", "b", "c"]).columns == ["id", "c"]
+
+
+def test_neighbours_of_far_apart_points(spark):
+    """Cells and bounds at large coordinates: exact against whole numbers."""
+    n = 300
+    p = spark.createDataFrame([(i, [float(i * 10_000_000)]) for i in range(n)], "id bigint, vec array<double>")
+    got = {r["i"]: r["j"] for r in N.knn(p, 1, block=16).collect()}
+    assert got == {i: 1 if i == 0 else i - 1 for i in range(n)}
+
+
+def test_isomap_against_dense_solver(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3)) * [3, 1, 0.3]
+    p = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, vec array<double>")
+    edges = G.knn_graph(N.knn(p, 5), weighted=False)
+    d = np.full((60, 60), np.inf)
+    for r in edges.collect():
+        d[r["src"], r["dst"]] = d[r["dst"], r["src"]] = r["d"]
+    np.fill_diagonal(d, 0)
+    for k in range(60):
+        d = np.minimum(d, d[:, k][:, None] + d[k][None])
+    paths = LA.geodesics(edges, p, batch=25)
+    got = {(r["source"], r["id"]): r["d"] for r in paths.collect()}
+    assert len(got) == np.isfinite(d).sum() and all(abs(v - d[k]) < 1e-9 for k, v in got.items())
+    d[~np.isfinite(d)] = 10 * d[np.isfinite(d)].max()
+    j = np.eye(60) - 1 / 60
+    val, vec = np.linalg.eigh(-0.5 * j @ d**2 @ j)
+    found = {r["m"]: r["resvar"] for r in LA.isomap_residual(paths, LA.geodesic_scaling(paths, p, 2), [1, 2]).collect()}
+    for m in (1, 2):
+        y = vec[:, ::-1][:, :m] * np.sqrt(val[::-1][:m])
+        e = np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1))
+        assert abs(found[m] - (1 - np.corrcoef(d.ravel(), e.ravel())[0, 1] ** 2)) < 1e-4
+
+
+def test_noise_rank_counts_what_stands_out():
+    from tessera.operators.bundle import noise_rank
+
+    rng = np.random.default_rng(5)
+    noise = rng.normal(size=(200, 12))
+    signal = rng.normal(size=(200, 2)) @ rng.normal(size=(2, 12)) * 4
+    assert noise_rank(noise + signal, shrink=1.6) == 2 and noise_rank(noise, shrink=1.6) == 0 and noise_rank(noise[:4]) == 0 and noise_rank(np.zeros((20, 5))) == 0
+
+
+def test_survivors_are_the_heaviest():
+    w = {"a": 1.0, "b": 1.0, "c": 0.9, "d": 0.85, "e": 0.1, "f": 0.05, "g": 0.0}
+    assert W.survivors(w, k_min=1) == ["a", "b", "c", "d", "e"] and W.survivors(w) == list(w)
+    assert W.survivors({"a": 1.0, "b": 0.0}, k_min=1) == ["a"] and W.survivors({"a": 1.0, "b": 0.4, "c": 0.2}, k_min=1) == ["a", "b"]
