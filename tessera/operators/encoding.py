@@ -34,24 +34,25 @@ def item_kinds(df: DataFrame, items: Sequence[str]) -> DataFrame:
 def gower_points(
     df: DataFrame, id_col: str, numeric: Sequence[str], nominal: Sequence[str], weights: dict | None = None
 ) -> tuple[DataFrame, Metric]:
-    """(id, vec) plus the metric; ranges and rows come from complete cases.
+    """(id, vec) plus the metric; every row stays, a missing item stays NULL in `vec`.
 
-    Nominal values become 48-bit hashes: equal values keep equal codes and no
-    dictionary has to be collected.
+    Ranges come from the values there are.  Nominal values become 48-bit hashes:
+    equal values keep equal codes and no dictionary has to be collected.
     """
     items = [*numeric, *nominal]
-    rows = df.select(id_col, *items).dropna()
-    facts = rows.agg(*[f(c).cast("double").alias(f"{t}_{c}") for c in numeric
-                       for t, f in (("lo", F.min), ("hi", F.max))]).first() if numeric else None
+    rows = df.select(id_col, *items)
+    facts = rows.agg(*[f(c).cast("double").alias(f"{t}_{c}") for c in numeric for t, f in (("lo", F.min), ("hi", F.max))],
+                     F.count_if(F.greatest(F.lit(False), *[F.col(c).isNull() for c in items])).alias("_gaps")).first()
     vec = []
     for c in numeric:
         lo, hi = facts[f"lo_{c}"], facts[f"hi_{c}"]
         vec.append(F.col(c).cast("double") / F.lit(float(hi - lo) if lo is not None and hi > lo else 1.0))
     for c in nominal:
-        vec.append(F.shiftrightunsigned(F.xxhash64(F.col(c).cast("string")), 16).cast("double"))
+        code = F.shiftrightunsigned(F.xxhash64(F.col(c).cast("string")), 16).cast("double")
+        vec.append(F.when(F.col(c).isNotNull(), code))
     w = tuple(float((weights or {}).get(c, 1.0)) for c in items)
     points = rows.select(F.col(id_col).cast("bigint").alias("id"), F.array(*vec).alias("vec"))
-    return points, Metric("gower", len(numeric), w)
+    return points, Metric("gower", len(numeric), w, gaps=facts["_gaps"] > 0)
 
 
 def label_points(profiles: DataFrame, labels: Sequence[str], id_col: str = "first_id") -> tuple[DataFrame, Metric]:

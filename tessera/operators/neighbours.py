@@ -35,13 +35,17 @@ class Metric:
 
     euclid   plain L2
     gower    weighted mean over items: numeric items (scaled to range 1) first,
-             then nominal codes; `weights` has one entry per item
+             then nominal codes; `weights` has one entry per item.  With `gaps`
+             an item that either side lacks (NULL) leaves the mean; without any
+             item in common the distance is infinite.  Gaps void the triangle
+             inequality, so that no cell is ruled out.
     jaccard  on 0/1 vectors; two empty vectors are at distance 0
     """
 
     kind: str = "euclid"
     n_numeric: int = 0
     weights: tuple = field(default=())
+    gaps: bool = False
 
     def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """All distances, kept to 40 bits so that equal distances compare equal
@@ -66,6 +70,15 @@ class Metric:
             return np.where(either > 0, 1.0 - both / np.where(either > 0, either, 1.0), 0.0)
         w = np.asarray(self.weights, dtype=float)
         out = np.zeros((len(a), len(b)))
+        if self.gaps:
+            shared = np.zeros((len(a), len(b)))
+            for j in range(a.shape[1]):
+                x, y = a[:, j][:, None], b[:, j][None, :]
+                both = ~np.isnan(x) & ~np.isnan(y)
+                apart = np.abs(np.where(both, x - y, 0.0)) if j < self.n_numeric else both & (x != y)
+                out += w[j] * apart
+                shared += w[j] * both
+            return np.where(shared > 0, out / np.where(shared > 0, shared, 1.0), np.inf)
         for j in range(a.shape[1]):
             if j < self.n_numeric:
                 out += w[j] * np.abs(a[:, j][:, None] - b[:, j][None, :])
@@ -201,7 +214,8 @@ def _visits(cells: _Cells):
             low = np.maximum(low, (d - mine[:, None]) / 2)
             theta = pdf["theta"].to_numpy()[:, None]
             slack = SLACK * (d + mine[:, None] + cells.far[None, :])
-            open_ = (low <= theta * (1 + SLACK) + slack) & (cells.counts > 0)[None, :]
+            within = np.ones(d.shape, bool) if cells.metric.gaps else low <= theta * (1 + SLACK) + slack
+            open_ = within & (cells.counts > 0)[None, :]
             qi, cj = np.nonzero(open_)
             reps = cells.parts[cj]
             qi, cj = np.repeat(qi, reps), np.repeat(cj, reps)

@@ -67,6 +67,20 @@ def weighted_gower(spark, root):
     return _gower(spark, root, {"p_size": 1.0, "p_retailprice": 0.5, "p_brand": 0.25, "p_type": 0.75})
 
 
+@query("b12_gower_rare_levels", """
+WITH lv AS (SELECT p_brand FROM part GROUP BY 1 HAVING count(*) >= 0.04 * (SELECT count(*) FROM part)),
+pt AS (SELECT p_partkey AS id, p_size::DOUBLE / (SELECT max(p_size) - min(p_size) FROM part) AS x, lv.p_brand AS b FROM part LEFT JOIN lv USING (p_brand)),
+nn AS (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY round(d, 11), j) AS rank FROM (
+  SELECT u.id AS i, v.id AS j, CASE WHEN u.b IS NULL OR v.b IS NULL THEN abs(u.x - v.x) ELSE (abs(u.x - v.x) + (u.b <> v.b)::INT) / 2.0::DOUBLE END AS d
+  FROM pt u JOIN pt v ON u.id <> v.id) z QUALIFY rank <= 5)
+SELECT i, rank::BIGINT AS rank, j, round(d, 6) AS d FROM nn""")
+def gower_rare_levels(spark, root):
+    """Rare levels become missing and leave the mean of the pairs they are in; all rows stay."""
+    p = E.rare_levels_to_null(table(spark, root, "part", "p_partkey", "p_size", "p_brand"), "p_brand", 0.04)
+    pts, metric = E.gower_points(p, "p_partkey", ["p_size"], ["p_brand"])
+    return N.knn(pts, 5, metric).select("i", F.col("rank").cast("bigint").alias("rank"), "j", r6("d").alias("d"))
+
+
 @query("i3_jaccard_neighbours", f"WITH {R.jaccard_nn(5)} SELECT i, rank::BIGINT AS rank, j, round(d, 6) AS d FROM nn")
 def jaccard(spark, root):
     _, nn = profile_nn(spark, root, 5)
