@@ -21,8 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.rows import cut_lineage, cut_small
 from tessera.llm.scans import running_sum
-from tessera.session import cut_lineage
 
 SEED = "mix-1"
 
@@ -33,7 +33,7 @@ def n_words(text: Column) -> Column:
     return F.coalesce((F.char_length(text) - F.char_length(rest)).cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def targets(sources: DataFrame, budget: Column, max_copies: int) -> DataFrame:
+def targets(sources: DataFrame, budget: Column, max_copies: int, rows: int) -> DataFrame:
     """Add `target` to (source_size, weight, rank): shares by weight, at most max_copies times the size.
 
     Sources are met in the order in which a growing share per weight fills them;
@@ -42,9 +42,9 @@ def targets(sources: DataFrame, budget: Column, max_copies: int) -> DataFrame:
     cap = (F.lit(max_copies) * F.col("source_size")).cast("double")
     known = sources.withColumn("cap", cap).withColumn("level", F.col("cap") / F.col("weight"))
     order = [F.col("level"), F.col("rank")]
-    known = running_sum(known, [], order, "source_size", "upto_size")
-    known = running_sum(known, [], order, "weight_units", "upto_units")
-    known = cut_lineage(known.withColumn("budget", budget))
+    known = running_sum(known, [], order, "source_size", "upto_size", rows)
+    known = running_sum(known, [], order, "weight_units", "upto_units", rows)
+    known = cut_small(known.withColumn("budget", budget), rows)
     all_units = F.lit(known.agg(F.sum("weight_units")).first()[0])
     full = (F.lit(max_copies) * (F.col("upto_size") - F.col("source_size"))
             + F.col("level") * (all_units - F.col("upto_units") + F.col("weight_units"))) <= F.col("budget")
@@ -66,23 +66,26 @@ def mixed_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     base = base.withColumn("draw", F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"))))
     base = cut_lineage(base.withColumn("one", F.lit(1)))
-    base = running_sum(base, [], [F.col("draw"), F.col("id"), F.col("size"), F.col("source").asc_nulls_last()], "one", "row")
-    base = cut_lineage(base)
+    rows = base.count()
+    base = running_sum(base, [], [F.col("draw"), F.col("id"), F.col("size"), F.col("source").asc_nulls_last()], "one", "row", rows)
+    base = cut_small(base, rows)
     sources = base.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1))
-    sources = running_sum(sources, [], [F.col("source").asc_nulls_last()], "one", "rank")
+    sources = cut_small(sources, rows)
+    n_sources = sources.count()
+    sources = running_sum(sources, [], [F.col("source").asc_nulls_last()], "one", "rank", n_sources)
     units = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
     sources = sources.withColumn("weight_units", units.cast("bigint")).withColumn("weight", units.cast("double"))
     total = F.lit(int(budget)) if budget is not None else F.lit(base.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
-    sources = cut_lineage(targets(sources, total, max_copies).select(
-        F.col("source").alias("s"), "source_size", "weight", "rank", "target"))
-    known = running_sum(base, ["source"], [F.col("row")], "size", "sent")
+    sources = cut_small(targets(sources, total, max_copies, n_sources).select(
+        F.col("source").alias("s"), "source_size", "weight", "rank", "target"), n_sources)
+    known = running_sum(base, ["source"], [F.col("row")], "size", "sent", rows)
     known = known.join(sources, F.col("source").eqNullSafe(F.col("s")))
-    known = cut_lineage(known.select("row", "id", "source", "size", "sent", "source_size", "weight", "rank", "target"))
+    known = cut_small(known.select("row", "id", "source", "size", "sent", "source_size", "weight", "rank", "target"), rows)
     copies = known.select("row", "size", "rank", "weight", "sent", "source_size", F.explode(
         F.sequence(F.lit(0), F.when(F.col("size") > 0, F.lit(max_copies - 1)).otherwise(F.lit(0)))).alias("copy"))
     copies = copies.select("row", "size", "rank", "copy", (
         (F.col("copy") * F.col("source_size") + F.col("sent")).cast("double") / F.col("weight")).alias("finish"))
-    queue = running_sum(copies, [], [F.col("finish"), F.col("rank"), F.col("copy"), F.col("row")], "size", "total")
+    queue = running_sum(copies, [], [F.col("finish"), F.col("rank"), F.col("copy"), F.col("row")], "size", "total", max_copies * rows)
     taken = queue.where(F.col("total") <= total).groupBy("row").agg(
         F.sum("size").alias("taken"), F.count(F.lit(1)).alias("copies"))
     zero = F.lit(0).cast("bigint")

@@ -13,21 +13,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage, parallelism
+from tessera.llm.rows import cut_small, parallelism
 
 RANGE = "_scan_range"
 
 
-def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: str, out: str) -> DataFrame:
+def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: str, out: str, rows: int) -> DataFrame:
     """Add `out`: the sum of `value` over the rows of the same `by` up to this one in `order`.
 
     Rows equal in `by` and `order` are taken one after the other in an arbitrary
     but, as they are written first, fixed sequence.  Null keys form a group.
+    `rows` is about how many there are; it only sizes the files between.
     """
     spark = df.sparkSession
     keys = [F.col(b).asc_nulls_first() for b in by]
     ranged = df.repartitionByRange(parallelism(spark), *keys, *order).withColumn(RANGE, F.spark_partition_id())
-    ranged = cut_lineage(ranged)
+    ranged = cut_small(ranged, rows)
     totals = ranged.groupBy(*by, RANGE).agg(F.sum(value).alias("_in"))
     earlier = Window.partitionBy(*by).orderBy(RANGE) if by else Window.orderBy(RANGE)
     totals = totals.select(*by, RANGE, F.coalesce(F.sum("_in").over(
