@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import arrays as A
+from tessera.llm.rows import bounded_batches
 from tessera.session import cut_lineage
 
 VOCABULARIES = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
@@ -183,6 +184,7 @@ def _measure(batches, names):
 
 def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, vocabularies=VOCABULARIES) -> DataFrame:
     """(rid_, base counts, per vocabulary v: n_tokens_v and the measures, band_group)."""
+    bounded_batches(docs.sparkSession)
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("rid_"), F.col(text_col).alias("text"), lang.alias("lang_"))
     kind = rows.schema["rid_"].dataType.simpleString()

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import arrays as A
-from tessera.llm.rows import cut_lineage
+from tessera.llm.rows import bounded_batches, cut_lineage
 
 DIMS = 1 << 17
 MAX_ROWS = 20_000  # rated rows the fit uses at most
@@ -254,6 +254,7 @@ def _score(batches, shared, dims):
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, expected_grade, tails): tails[j] is the probability of a grade above j."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))  # 4 bytes per feature
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -277,6 +278,7 @@ def _accept(batches, shared, id_col, text_col, above, least):
 def accepted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", above: int = 1,
              least: float = 0.5) -> DataFrame:
     """The rows of `docs`, all columns, whose probability of a grade over `above` is at least `least`."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     return docs.mapInArrow(partial(_accept, shared=shared, id_col=id_col, text_col=text_col, above=above, least=least), docs.schema)
 

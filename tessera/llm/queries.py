@@ -15,6 +15,7 @@ from tessera.llm.html_text import extract_main_text
 from tessera.llm.jaccard_groups import linked_components
 from tessera.llm.mixing import mixed_counts
 from tessera.llm.ordinal import fit, quality_grade, scored
+from tessera.llm.rows import few_files
 from tessera.llm.substring_dedup import drop_repeated_windows
 from tessera.llm.suffix_dedup import drop_repeated_bytes
 from tessera.llm.token_counts import token_counts
@@ -41,7 +42,7 @@ def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 @query("op2_substring_dedup", oracles.OP2)
 def op2_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
-    out = drop_repeated_windows(_table(spark, root, "documents"), window=20)
+    out = few_files(drop_repeated_windows(_table(spark, root, "documents"), window=20))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -54,13 +55,13 @@ def op3_decontaminate(spark: SparkSession, root: str) -> DataFrame:
 
 @query("op4_mixing", oracles.OP4)
 def op4_mixing(spark: SparkSession, root: str) -> DataFrame:
-    counts = mixed_counts(_table(spark, root, "documents"), weights=(1, 2, 3), max_copies=3)
+    counts = few_files(mixed_counts(_table(spark, root, "documents"), weights=(1, 2, 3), max_copies=3))
     return counts.select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op7_suffix_dedup")
 def op7_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
-    out = drop_repeated_bytes(_table(spark, root, "documents"), length=400)
+    out = few_files(drop_repeated_bytes(_table(spark, root, "documents"), length=400))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -72,7 +73,7 @@ def op8_token_counts(spark: SparkSession, root: str) -> DataFrame:
 @query("op9_token_planes")
 def op9_token_planes(spark: SparkSession, root: str) -> DataFrame:
     path = f"{shared_folder(spark)}/planes-{uuid.uuid4().hex}"
-    return token_file_digest(_table(spark, root, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return few_files(token_file_digest(_table(spark, root, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=2))
 
 
 @query("op1_fertility")
@@ -87,7 +88,7 @@ def op10_html_text(spark: SparkSession, root: str) -> DataFrame:
 
 @query("op6_jaccard_join", oracles.OP6)
 def op6_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
-    return linked_components(_table(spark, root, "documents"), k=4, percent=85)
+    return few_files(linked_components(_table(spark, root, "documents"), k=4, percent=85))
 
 
 @query("op5_ordinal_quality")

@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 from tessera.session import cut_lineage, parallelism
 
 
+#: What Spark gives for the batch limit where a session does not say: 64 MB.
+NOT_SAID = "67108864b"
+
+
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Have Arrow batches bounded by bytes, not only by rows, unless the session says how."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == NOT_SAID:
+        spark.conf.set(name, size)
+
+
 def unique(docs: DataFrame, id_col: str) -> bool:
     """Whether ids are whole numbers, all different, and never null."""
     ids = docs.select(F.col(id_col).alias("rid"))
@@ -32,6 +43,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]
     Otherwise rid numbers the rows in the order of id and text hash, so that
     repeated and null ids still are rows of their own.
     """
+    bounded_batches(docs.sparkSession)
     if unique(docs, id_col):
         return docs.select(F.col(id_col).cast("bigint").alias("rid"), F.col(text_col).alias("text")), True
     return numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")), "_id", "text", "rid"), False
@@ -46,10 +58,26 @@ def with_id(result: DataFrame, rows: DataFrame, plain: bool, id_col: str) -> Dat
     return result.join(known, "rid").select(id_col, *rest)
 
 
+def tasks_for(spark: SparkSession, parts: int | None = None) -> int:
+    """About two tasks per core, or one for 32 partitions where there are very many."""
+    parts = parallelism(spark) if parts is None else parts
+    return max(2 * spark.sparkContext.defaultParallelism, -(-parts // 32))
+
+
 def gathered(docs: DataFrame) -> DataFrame:
-    """The same rows in about two tasks per core, for tasks that carry a state of fixed size."""
+    """The same rows in a few tasks per core, for tasks that carry a state of fixed size."""
     parts = docs.rdd.getNumPartitions()
-    return docs.coalesce(max(1, min(parts, max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-parts // 32)))))
+    return docs.coalesce(max(1, min(parts, tasks_for(docs.sparkSession, parts))))
+
+
+def cut_small(df: DataFrame, rows: int) -> DataFrame:
+    """`cut_lineage` of a table of few columns and about `rows` rows, half a million to a file."""
+    return cut_lineage(df.repartition(max(1, rows // 500_000)))
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """The same rows in a few tasks per core, to be written as so many files."""
+    return df.coalesce(tasks_for(df.sparkSession))
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
@@ -94,5 +122,5 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: int, fold: Callable) -> Ite
         yield from fold(now, held)
 
 
-__all__ = ["brought_together", "buckets_for", "cut_lineage", "gathered", "keyed", "numbered", "parallelism", "prime_from",
-           "runs_of", "sizes", "text_bytes", "unique", "with_id"]
+__all__ = ["bounded_batches", "brought_together", "buckets_for", "cut_lineage", "cut_small", "few_files", "gathered", "keyed", "numbered", "parallelism", "prime_from",
+           "runs_of", "sizes", "tasks_for", "text_bytes", "unique", "with_id"]

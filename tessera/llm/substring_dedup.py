@@ -28,7 +28,7 @@ from tessera.llm import arrays as A
 from tessera.llm.rows import brought_together, buckets_for, keyed, runs_of, text_bytes, with_id
 from tessera.llm.sketch import Sketch, count_repeats
 
-BLOCK = 1_500_000  # candidate windows a task groups at a time
+BLOCK = 1_000_000  # candidate windows a task groups at a time
 PER_BUCKET = 500_000
 TEXT_BLOCK = 8 << 20  # bytes of text handled together in the last step
 _KIND = (np.uint64, np.uint32, np.int64, np.int32)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import remembered
+from tessera.llm.rows import bounded_batches
 
 #: Words and pretokens a worker remembers; beyond it starts afresh.
 REMEMBERED = 600_000
@@ -178,6 +179,7 @@ def _count(batches, path):
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                  limit: int = 2048) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) by the vocabulary file at `path`, which every executor has."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(partial(_count, path=path), f"id {kind}, n_bytes bigint, n_tokens bigint")
