@@ -27,6 +27,7 @@ from tessera.llm.decontaminate import decontaminated
 from tessera.llm.jaccard_groups import one_of_each
 from tessera.llm.mixing import mixed
 from tessera.llm.ordinal import accepted, fit, quality_grade
+from tessera.llm.rows import few_files
 from tessera.llm.token_planes import token_file_digest
 from tessera.session import shared_folder
 
@@ -38,22 +39,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs, k=5, percent=80)
+    return few_files(one_of_each(docs, k=5, percent=80))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    clean = decontaminated(docs, items, window=10, max_share=0.5)
+    clean = few_files(decontaminated(docs, items, window=10, max_share=0.5))
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed(docs, weights=(1, 2, 3), max_copies=3)
+    return few_files(mixed(docs, weights=(1, 2, 3), max_copies=3))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/planes-{uuid.uuid4().hex}"
-    return token_file_digest(docs, path, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return few_files(token_file_digest(docs, path, public_tokenizers.path("word_bpe_49k.json"), end=2))
 
 
 STAGES = [
