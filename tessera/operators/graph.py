@@ -66,7 +66,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low, "u").select(
             F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), F.col("m")))).alias("e")
         ).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        state = cut_lineage(small)
+        # A file holds about half a million rows, by the size of the round before.
+        state = cut_lineage(small if seen is None else small.repartition(max(1, seen[0] // 500_000)))
         mark = state.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == seen:
             break
