@@ -12,8 +12,9 @@ has an automaton of its own, made in one task and broadcast, at most
 `SHARD_WORDS` words each, and the documents stream through a few shards per pass.
 
 Defined cases: null and empty documents and items have no words; items that share
-an id count as one, items without an id are left out; rows of documents that share an id, or have none, count as
-rows of their own; with no items nothing is hit; other columns are ignored.
+an id count as one, and so do items without an id, whose name is null; rows of
+documents that share an id, or have none, count as rows of their own; with no
+items nothing is hit; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def normalised(text: bytes) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton over word sequences, with the items that hold each window."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.code: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -166,8 +167,13 @@ def _pack_items(batches):
                                          pa.schema([("shard", pa.int32()), ("rows", pa.binary())]))
 
 
+def _null_last(name: str | None) -> tuple[bool, str]:
+    return name is None, name or ""
+
+
 def _make(table, window):
-    rows = sorted((n, t) for b in table.column("rows").to_pylist() for n, t in pickle.loads(b))
+    rows = sorted(((n, t) for b in table.column("rows").to_pylist() for n, t in pickle.loads(b)),
+                  key=lambda r: (_null_last(r[0]), r[1]))
     made = Automaton([(n, normalised((t or "").encode())) for n, t in rows], window)
     return pa.table({"automaton": pa.array([pickle.dumps(vars(made), 5)], pa.binary())})
 
@@ -175,7 +181,7 @@ def _make(table, window):
 def automata(items: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
     """(automaton) one row per shard of items."""
     rows = items.select(F.col(item_col).cast("string").alias("name"), F.col(text_col).alias("text")).where(
-        "name IS NOT NULL AND text IS NOT NULL")
+        "text IS NOT NULL")
     words = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-words // (3 * SHARD_WORDS)))
     placed = rows.select(F.pmod(F.xxhash64("name", "text"), F.lit(shards)).cast("int").alias("shard"), "name", "text")
@@ -194,7 +200,7 @@ def _scan(batches, shared):
                 some, own = machine.scan(words)
                 spans += some
                 items.update(machine.names[i] for i in own)
-            out.append({"rid": rid, "n_words": len(words), "spans": merged(spans), "items": sorted(items)})
+            out.append({"rid": rid, "n_words": len(words), "spans": merged(spans), "items": sorted(items, key=_null_last)})
         yield pa.RecordBatch.from_pylist(out, _FOUND)
 
 
@@ -218,7 +224,7 @@ _JOINED = "rid bigint, n_words bigint, items array<string>, spans array<struct<f
 
 def _join_passes(batches):
     for batch in batches:
-        out = [{"rid": r["rid"], "n_words": r["n_words"], "items": sorted(set(r["items"])),
+        out = [{"rid": r["rid"], "n_words": r["n_words"], "items": sorted(set(r["items"]), key=_null_last),
                 "spans": merged([(s["from"], s["to"]) for s in r["spans"]])} for r in batch.to_pylist()]
         yield pa.RecordBatch.from_pylist(out, _FOUND)
 
@@ -251,8 +257,8 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
                       per_pass: int = 2) -> DataFrame:
     """(id, n_words, n_hit, items, spans): words of documents inside windows of test items.
 
-    spans [from, to) count words; items are ids as strings, sorted.  `per_pass`
-    automata are held by a task at a time.
+    spans [from, to) count words; items are ids as strings, sorted, and a null last
+    for items without an id.  `per_pass` automata are held by a task at a time.
     """
     rows, plain = keyed(docs, id_col, text_col)
     found = _matches(rows, items, item_col, item_text, window, per_pass)

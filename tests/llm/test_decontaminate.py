@@ -80,3 +80,26 @@ def test_automaton_accepts_runs_of_items_only():
     assert made.scan([b"a", b"b", b"c", b"d"]) == ([(0, 3), (1, 4)], {0, 1})
     assert made.scan([b"a", b"b", b"d"]) == ([], set())
     assert normalised(b"A-b C9\xc3\xa9!") == [b"a", b"b", b"c9\xc3\xa9"]
+
+
+@pytest.mark.parametrize("shard_words", [400_000, 2])
+def test_items_without_id(spark, monkeypatch, tmp_path, shard_words):
+    import duckdb
+
+    from tessera.llm import decontaminate, oracles
+    from tessera.llm.queries import QUERIES
+
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard_words)
+    items = [(None, "n1 n2 n3"), (None, "n4 n5"), (None, None), (7, "n4 n5"), (8, "n6"), (None, "n6")]
+    values = ["x n1 N2, n3 y", "n4 n5 n1 n2 n3", "n6 z", "clean n1", None]
+    for name, table in ("documents", enumerated(spark, values)), ("benchmark", spark.createDataFrame(items, "item_id bigint, text string")):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    duck = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = sorted(duck.execute(oracles.OP3).fetchall())
+    got = sorted(tuple(r) for r in QUERIES["op3_decontaminate"](spark, str(tmp_path)).collect())
+    assert got == want
+    assert [r[2:4] for r in got] == [(3, 1), (5, 2), (1, 2), (0, 0), (0, 0)]
+    cut = by_id(decontaminated(enumerated(spark, ["a b c d n1 n2 n3 e", *values]), spark.createDataFrame(items, "item_id bigint, text string")))
+    assert {i: r["text"] for i, r in cut.items()} == {0: "a b c d  e", 3: " z", 4: "clean n1", 5: None}
