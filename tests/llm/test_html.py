@@ -36,6 +36,20 @@ def test_deep_and_long():
     assert main_text("<article>" + "<p>w" * 50_000) == "\n".join(["w"] * 50_000)
 
 
+@pytest.mark.parametrize("attributes", [
+    'style="overflow:hidden"', 'aria-hidden="false"', "data-hidden=0", 'data-id="sidebar"', "data-class='ad'", 'data-role="banner"',
+    'title="class=ad id=menu hidden"', 'alt = \'role="form"\'', "data-x=hidden", "=hidden", 'data-hidden id="body-text"'])
+def test_other_attributes_keep_text(attributes):
+    assert main_text(f"<article {attributes}><p>one, two</p></article>") == "one, two"
+    assert main_text(f"<main><div {attributes}><p>one, two</p></div><p>three</p></main>") == "one, two\nthree"
+
+
+@pytest.mark.parametrize("attributes", [
+    "hidden", "HIDDEN=''", "data-x=1 hidden", 'title="a"hidden', 'data-class="x" Class = "ad"', "id=sidebar/", "role='Banner'"])
+def test_named_attributes_set_aside(attributes):
+    assert main_text(f"<main><div {attributes}><p>one, two</p></div><p>three</p></main>") == "three"
+
+
 def test_table(spark):
     rows = [(i, f"u{i}", h, "x") for i, (h, _) in enumerate(PAGES)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
