@@ -12,10 +12,12 @@ Bands of what is usual are taken per language (for a null language, per script)
 and length class (doublings of the token count) over all documents: the median,
 less and plus `width` times its distance to the quartiles, at least a floor.  A
 text below its band of characters per token, above that of byte shares, or
-outside that of entropy is rejected.  Groups with fewer than `least_docs` texts
-use the bands of all languages in the length class, or of all texts; texts with
-fewer than `least_tokens` tokens are too short for a verdict and are judged by
-the base rules alone.
+outside that of entropy is rejected.  A length class with fewer than `least_docs`
+texts is joined with its neighbours in the same language until there are enough,
+measures moved along the usual change per doubling of the length; languages with
+fewer texts in all use the classes of all languages, joined the same way.  Texts
+with fewer than `least_tokens` tokens are too short for a verdict and are judged
+by the base rules alone.
 
 Base rules: fewer than 10 words, or more than a fifth of the words in repeated
 5-word windows.
@@ -34,7 +36,7 @@ from functools import partial
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import arrays as A
@@ -198,23 +200,104 @@ def _size_class():
     return F.floor(F.log2(F.greatest("n_tokens_0", F.lit(1)))).cast("int")
 
 
+def length_runs(counts: list[tuple[int, int]], least: int) -> list[tuple[int, list[int], list[int]]]:
+    """(key, classes judged, classes pooled) of one language, from its (length class, texts) pairs.
+
+    A class with `least` texts stands alone; smaller ones that follow each other are joined until they have as
+    many.  What is left over is pooled with the nearest of these.  Nothing where all texts are fewer.
+    """
+    full, rest, held, n = [], [], [], 0
+    for size, texts in sorted(counts):
+        if texts >= least:
+            if held:
+                rest.append(held)
+            full.append([size])
+            held, n = [], 0
+            continue
+        held, n = [*held, size], n + texts
+        if n >= least:
+            full.append(held)
+            held, n = [], 0
+    if held:
+        rest.append(held)
+    if not full:
+        return []
+    near = [min(full, key=lambda f: min(abs(a - b) for a in f for b in r)) for r in rest]
+    return [(f[0], f, f) for f in full] + [(r[0], r, sorted(r + f)) for r, f in zip(rest, near)]
+
+
+def _runs(table, least, whole):
+    counts = list(zip(table.column("size_class").to_pylist(), table.column("n").to_pylist()))
+    runs = length_runs(counts, least)
+    if whole and not runs:
+        every = [s for s, _ in counts]
+        runs = [(min(every), every, every)]
+    group = table.column("scope")[0].as_py()
+    return pa.Table.from_pylist([{"scope": group, "run": k, "judged": j, "pooled": p} for k, j, p in runs], _RUNS)
+
+
+_RUNS = pa.schema([("scope", pa.string()), ("run", pa.int32()), ("judged", pa.list_(pa.int32())), ("pooled", pa.list_(pa.int32()))])
+
+
 def bands(found: DataFrame, vocabularies: int, width: float, least_docs: int, least_tokens: int) -> DataFrame:
-    """(band_group, size_class, lo and hi of each measure): a row per language and length class, per length
-    class (null language), and for all texts (both null)."""
-    judged = found.where((F.col("n_tokens_0") >= least_tokens) & ~base_failed()).withColumn("size_class", _size_class())
+    """(band_group, size_class, slope, lo and hi of each measure): a row per language and length class.
+
+    Where classes are pooled, lo and hi are of measures less their slope times the logarithm of the length.
+    """
+    some = found.where(F.col("n_tokens_0") >= least_tokens).withColumn("size_class", _size_class())
     columns = [f"{m}_{v}" for v in range(vocabularies) for m in MEASURES]
-    quart = [F.count(F.lit(1)).alias("n"),
-             *[F.percentile_approx(c, F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)]), 2000).alias(c) for c in columns]]
-    no_group, no_class = F.lit(None).cast("string"), F.lit(None).cast("int")
-    out = judged.groupBy("band_group", "size_class").agg(*quart).where(F.col("n") >= least_docs).unionByName(
-        judged.groupBy("size_class").agg(*quart).where(F.col("n") >= least_docs).withColumn("band_group", no_group)).unionByName(
-        judged.agg(*quart).withColumn("band_group", no_group).withColumn("size_class", no_class))
+    clean, spots = ~base_failed(), F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])
+    classes = cut_lineage(some.groupBy("band_group", "size_class").agg(
+        F.count_if(clean).alias("n"), *[F.percentile_approx(F.when(clean, F.col(c)), spots, 2000).alias(c) for c in columns]))
+    slopes = _slopes(classes.where(F.col("n") >= least_docs), columns)
+    runs = "scope string, run int, judged array<int>, pooled array<int>"
+    own = classes.select(F.col("band_group").alias("scope"), "size_class", "n").groupBy("scope").applyInArrow(
+        lambda table: _runs(table, least_docs, False), runs)
+    # The classes of all languages together have the null scope.
+    common = classes.groupBy("size_class").agg(F.sum("n").alias("n")).withColumn("scope", F.lit(None).cast("string")).groupBy(
+        "scope").applyInArrow(lambda table: _runs(table, least_docs, True), runs)
+    keys = ["band_group", "size_class"]
+    owned = own.select(F.col("scope").alias("band_group"), F.explode("judged").alias("size_class"), "scope", "run", "pooled")
+    shared = common.select(F.explode("judged").alias("size_class"), "scope", "run", "pooled")
+    lone = classes.select(*keys).join(owned, keys, "left_anti").join(shared, "size_class").select(
+        *keys, "scope", "run", "pooled")
+    # One row per language and class: whose run judges it.
+    taken = cut_lineage(owned.unionByName(lone))
+    alone = F.col("scope").isNotNull() & (F.size("pooled") == 1)
+    pools = taken.where(~alone).select("scope", "run", F.explode("pooled").alias("size_class")).distinct()
+    members = classes.select(*keys).join(pools.where("scope IS NOT NULL").withColumnRenamed("scope", "band_group"), keys).select(
+        *keys, F.col("band_group").alias("scope"), "run").unionByName(
+        classes.select(*keys).join(pools.where("scope IS NULL"), "size_class").select(*keys, "scope", "run"))
+    # A text is in at most three pools of its language and three of all languages.
+    moved = [(F.col(c) - F.lit(slopes[c]) * _log_size()).alias(c) for c in columns]
+    pooled = some.where(clean).select(*keys, *moved).join(members, keys).groupBy("scope", "run").agg(
+        *[F.percentile_approx(c, spots, 2000).alias(c) for c in columns])
+    out = taken.where(alone).select(*keys).join(classes, keys).select(*keys, F.lit(False).alias("moved"), *columns).unionByName(
+        taken.where(~alone).withColumnRenamed("scope", "of").withColumnRenamed("run", "at").join(
+            pooled, F.col("of").eqNullSafe(F.col("scope")) & (F.col("at") == F.col("run"))).select(
+            *keys, F.lit(True).alias("moved"), *columns))
     for c in columns:
         floor = F.lit(FLOORS[MEASURES.index(c.rsplit("_", 1)[0])])
         lo, mid, hi = (F.element_at(c, i) for i in (1, 2, 3))
         out = out.withColumn(f"lo_{c}", mid - F.greatest(floor, F.lit(width) * (mid - lo))).withColumn(
-            f"hi_{c}", mid + F.greatest(floor, F.lit(width) * (hi - mid)))
-    return out.select("band_group", "size_class", *[f"{e}_{c}" for c in columns for e in ("lo", "hi")])
+            f"hi_{c}", mid + F.greatest(floor, F.lit(width) * (hi - mid))).withColumn(
+            f"slope_{c}", F.when(F.col("moved"), F.lit(slopes[c])).otherwise(F.lit(0.0)))
+    return out.select(*keys, *[f"{e}_{c}" for c in columns for e in ("lo", "hi", "slope")])
+
+
+def _log_size():
+    return F.log2(F.greatest("n_tokens_0", F.lit(1)))
+
+
+def _slopes(classes: DataFrame, columns: list[str]) -> dict[str, float]:
+    """The usual change of each measure per doubling: medians over neighbouring classes of the same language."""
+    order = Window.partitionBy("band_group").orderBy("size_class")
+    steps = classes.select(
+        F.least("n", F.lead("n").over(order)).alias("w"),
+        *[((F.element_at(F.lead(c).over(order), 2) - F.element_at(c, 2))
+           / (F.lead("size_class").over(order) - F.col("size_class"))).alias(c) for c in columns]).where("w IS NOT NULL")
+    row = steps.agg(*[F.expr(f"percentile({c}, 0.5D, w)").alias(c) for c in columns]).first()
+    return {c: row[c] or 0.0 for c in columns}
 
 
 def base_failed():
@@ -228,18 +311,12 @@ def fertility_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = cut_lineage(measured(docs, id_col, text_col, lang_col, vocabularies))
     limits = cut_lineage(bands(found, len(vocabularies), width, least_docs, least_tokens))
     columns = [f"{m}_{v}" for v in range(len(vocabularies)) for m in MEASURES]
-    edges = [f"{e}_{c}" for c in columns for e in ("lo", "hi")]
-    own = limits.where("band_group IS NOT NULL")
-    class_wide = limits.where("band_group IS NULL AND size_class IS NOT NULL").select(
-        "size_class", *[F.col(e).alias(f"class_{e}") for e in edges])
-    every = limits.where("band_group IS NULL AND size_class IS NULL").first()
     # A few rows per language: Catalyst broadcasts them.
-    joined = found.withColumn("size_class", _size_class()).join(own, ["band_group", "size_class"], "left").join(
-        class_wide, "size_class", "left")
-    edge = {e: F.coalesce(e, f"class_{e}", F.lit(every[e]).cast("double")) for e in edges}
+    joined = found.withColumn("size_class", _size_class()).join(limits, ["band_group", "size_class"], "left")
+    place = {c: F.col(c) - F.col(f"slope_{c}") * _log_size() for c in columns}
     judged = F.col("n_tokens_0") >= least_tokens
-    low = [F.when(F.col(c) < edge[f"lo_{c}"], F.lit(c)) for c in columns if not c.startswith("byte_share")]
-    high = [F.when(F.col(c) > edge[f"hi_{c}"], F.lit(c)) for c in columns if not c.startswith("chars_per_token")]
+    low = [F.when(place[c] < F.col(f"lo_{c}"), F.lit(c)) for c in columns if not c.startswith("byte_share")]
+    high = [F.when(place[c] > F.col(f"hi_{c}"), F.lit(c)) for c in columns if not c.startswith("chars_per_token")]
     outside = F.array_compact(F.array(*low, *high))
     rejected = F.when(judged, outside).otherwise(F.array().cast("array<string>"))
     return joined.select(

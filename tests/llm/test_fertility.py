@@ -9,7 +9,7 @@ import sentencepiece
 from fixtures import by_id, enumerated, texts
 from public_tokenizers import path
 
-from tessera.llm.fertility import fertility_rules, script_of
+from tessera.llm.fertility import fertility_rules, length_runs, script_of
 
 
 def base(text):
@@ -68,6 +68,34 @@ def test_bands_reject_junk(spark):
     assert all(not got[i]["kept"] and got[i]["rejected_by"] for i in range(120, 124))
 
 
+def test_sparse_classes_stay_in_their_language(spark):
+    """A rare length class of a language is judged by the language, not by all texts of its length."""
+    import random
+
+    from fixtures import documents
+
+    rnd = random.Random(1)
+    common = "the of and to in is that for it was on are as with they at be this from have or by one had not but what all".split()
+    noise = lambda n: " ".join("".join(rnd.choices("qxzjkvw#%", k=8)) for _ in range(n))
+    usual = [(" ".join(rnd.choices(common, k=k)), "en") for k in [*range(45, 60)] * 6 + [*range(70, 120)] * 2 + [200] * 6]
+    other = [(noise(rnd.randint(40, 80)), "zz") for _ in range(120)]
+    junk = [(noise(60), "en") for _ in range(3)]
+    rows = usual + other + junk
+    docs = documents(spark, [(i, t) for i, (t, _) in enumerate(rows)]).drop("lang")
+    langs = spark.createDataFrame([(i, lang) for i, (_, lang) in enumerate(rows)], "doc_id bigint, lang string")
+    got = by_id(fertility_rules(docs.join(langs, "doc_id")))
+    assert all(got[i]["kept"] for i in range(len(usual) + len(other)) if not got[i]["base_failed"])
+    assert any(not got[i]["base_failed"] for i in range(190, 196))
+    assert all(got[i]["rejected_by"] for i in range(len(usual) + len(other), len(rows)))
+
+
+def test_length_runs():
+    assert length_runs([(6, 20), (7, 90), (8, 3), (9, 30), (10, 25), (11, 2)], 50) == [
+        (7, [7], [7]), (8, [8, 9, 10], [8, 9, 10]), (6, [6], [6, 7]), (11, [11], [8, 9, 10, 11])]
+    assert length_runs([(5, 20), (6, 29)], 50) == []
+    assert length_runs([(5, 20), (6, 0), (9, 30)], 50) == [(5, [5, 6, 9], [5, 6, 9])]
+
+
 def test_scripts_and_empty(spark):
     assert [script_of(t) for t in ("abc é", "αβγ a", "дом", "漢字", "12 #")] == ["latin", "greek", "cyrillic", "han", "none"]
     assert fertility_rules(enumerated(spark, [])).count() == 0
