@@ -15,9 +15,9 @@ text below its band of characters per token, above that of byte shares, or
 outside that of entropy is rejected.  A length class with fewer than `least_docs`
 texts is joined with its neighbours in the same language until there are enough,
 measures moved along the usual change per doubling of the length; languages with
-fewer texts in all use the classes of all languages, joined the same way.  Texts
-with fewer than `least_tokens` tokens are too short for a verdict and are judged
-by the base rules alone.
+fewer texts in all use the classes of all languages, joined the same way.  Bands
+are wider for texts with fewer than `least_tokens` tokens, by what a few tokens
+change in so short a text; texts without tokens have no verdict.
 
 Base rules: fewer than 10 words, or more than a fifth of the words in repeated
 5-word windows.
@@ -48,6 +48,9 @@ REMEMBERED = 250_000  # words whose tokens a worker remembers, per vocabulary
 WIDTH, LEAST_DOCS, LEAST_TOKENS = 6.0, 50, 40
 #: Least half-widths of the bands: characters per token, byte share, relative entropy.
 FLOORS = (0.1, 0.05, 0.05)
+#: How much wider the least half-widths of short texts are: times the root of 1 / tokens for characters per token,
+#: times 1 / tokens for the others (two characters in bytes, some repeated tokens), less the same at LEAST_TOKENS.
+SHORT = (12.0, 8.0, 2.0)
 REPEAT_WINDOW = 5
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 _ALPHABET = A.Alphabet(seed=31)
@@ -239,12 +242,12 @@ def _runs(table, least, whole):
 _RUNS = pa.schema([("scope", pa.string()), ("run", pa.int32()), ("judged", pa.list_(pa.int32())), ("pooled", pa.list_(pa.int32()))])
 
 
-def bands(found: DataFrame, vocabularies: int, width: float, least_docs: int, least_tokens: int) -> DataFrame:
-    """(band_group, size_class, slope, lo and hi of each measure): a row per language and length class.
+def bands(found: DataFrame, vocabularies: int, width: float, least_docs: int) -> DataFrame:
+    """(band_group, size_class, slope, lo, mid and hi of each measure): a row per language and length class.
 
-    Where classes are pooled, lo and hi are of measures less their slope times the logarithm of the length.
+    Where classes are pooled, lo, mid and hi are of measures less their slope times the logarithm of the length.
     """
-    some = found.where(F.col("n_tokens_0") >= least_tokens).withColumn("size_class", _size_class())
+    some = found.where("n_tokens_0 > 0").withColumn("size_class", _size_class())
     columns = [f"{m}_{v}" for v in range(vocabularies) for m in MEASURES]
     clean, spots = ~base_failed(), F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])
     classes = cut_lineage(some.groupBy("band_group", "size_class").agg(
@@ -280,15 +283,24 @@ def bands(found: DataFrame, vocabularies: int, width: float, least_docs: int, le
         floor = F.lit(FLOORS[MEASURES.index(c.rsplit("_", 1)[0])])
         lo, mid, hi = (F.element_at(c, i) for i in (1, 2, 3))
         out = out.withColumn(f"lo_{c}", mid - F.greatest(floor, F.lit(width) * (mid - lo))).withColumn(
-            f"hi_{c}", mid + F.greatest(floor, F.lit(width) * (hi - mid))).withColumn(
+            f"hi_{c}", mid + F.greatest(floor, F.lit(width) * (hi - mid))).withColumn(f"mid_{c}", mid).withColumn(
             f"slope_{c}", F.when(F.col("moved"), F.lit(slopes[c])).otherwise(F.lit(0.0)))
-    return out.select(*keys, *[f"{e}_{c}" for c in columns for e in ("lo", "hi", "slope")])
+    return out.select(*keys, *[f"{e}_{c}" for c in columns for e in ("lo", "mid", "hi", "slope")])
 
 
 def _log_size():
     return F.log2(F.greatest("n_tokens_0", F.lit(1)))
 
 
+def _least_half(column: str, least_tokens: int):
+    """The least half-width of a band for a text of its length."""
+    measure, v = column.rsplit("_", 1)
+    i = MEASURES.index(measure)
+    power = 0.5 if measure == "chars_per_token" else 1.0
+    n = F.least(F.greatest(f"n_tokens_{v}", F.lit(1)), F.lit(max(least_tokens, 1)))
+    return F.lit(FLOORS[i]) + F.lit(SHORT[i]) * (F.pow(n, F.lit(-power)) - F.lit(max(least_tokens, 1) ** -power))
+
+
 def _slopes(classes: DataFrame, columns: list[str]) -> dict[str, float]:
     """The usual change of each measure per doubling: medians over neighbouring classes of the same language."""
     order = Window.partitionBy("band_group").orderBy("size_class")
@@ -309,14 +321,15 @@ def fertility_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """(id, base counts, base_failed, kept, rejected_by, measures): one row per document."""
     found = cut_lineage(measured(docs, id_col, text_col, lang_col, vocabularies))
-    limits = cut_lineage(bands(found, len(vocabularies), width, least_docs, least_tokens))
+    limits = cut_lineage(bands(found, len(vocabularies), width, least_docs))
     columns = [f"{m}_{v}" for v in range(len(vocabularies)) for m in MEASURES]
     # A few rows per language: Catalyst broadcasts them.
     joined = found.withColumn("size_class", _size_class()).join(limits, ["band_group", "size_class"], "left")
     place = {c: F.col(c) - F.col(f"slope_{c}") * _log_size() for c in columns}
-    judged = F.col("n_tokens_0") >= least_tokens
-    low = [F.when(place[c] < F.col(f"lo_{c}"), F.lit(c)) for c in columns if not c.startswith("byte_share")]
-    high = [F.when(place[c] > F.col(f"hi_{c}"), F.lit(c)) for c in columns if not c.startswith("chars_per_token")]
+    judged = F.col("n_tokens_0") > 0
+    half = {c: _least_half(c, least_tokens) for c in columns}
+    low = [F.when(place[c] < F.least(f"lo_{c}", F.col(f"mid_{c}") - half[c]), F.lit(c)) for c in columns if not c.startswith("byte_share")]
+    high = [F.when(place[c] > F.greatest(f"hi_{c}", F.col(f"mid_{c}") + half[c]), F.lit(c)) for c in columns if not c.startswith("chars_per_token")]
     outside = F.array_compact(F.array(*low, *high))
     rejected = F.when(judged, outside).otherwise(F.array().cast("array<string>"))
     return joined.select(

@@ -89,6 +89,22 @@ def test_sparse_classes_stay_in_their_language(spark):
     assert all(got[i]["rejected_by"] for i in range(len(usual) + len(other), len(rows)))
 
 
+def test_short_texts_are_judged(spark):
+    """Texts of 10 to 39 tokens: usual ones stay, in classes of their own or beside longer ones, and junk goes."""
+    import random
+
+    rnd = random.Random(2)
+    common = ("morning people water another school because little should number always before through between country "
+              "thought example together important children without family always second enough almost above").split()
+    junk = [" ".join(rnd.choices("#*$%&|<>", k=k)) + " q" for k in (11, 18, 25)]
+    for sizes in ([*range(11, 36)] * 8, [*range(45, 75)] * 4 + [12, 20, 30]):
+        usual = [" ".join(rnd.choices(common, k=k)) for k in sizes]
+        got = by_id(fertility_rules(enumerated(spark, usual + junk)))
+        assert all(got[i]["kept"] for i in range(len(usual)) if not got[i]["base_failed"])
+        for i in range(len(usual), len(got)):
+            assert got[i]["n_tokens_0"] < 40 and got[i]["rejected_by"] and not got[i]["kept"]
+
+
 def test_length_runs():
     assert length_runs([(6, 20), (7, 90), (8, 3), (9, 30), (10, 25), (11, 2)], 50) == [
         (7, [7], [7]), (8, [8, 9, 10], [8, 9, 10]), (6, [6], [6, 7]), (11, [11], [8, 9, 10, 11])]
