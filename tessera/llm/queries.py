@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.llm import oracles
 from tessera.llm.decontaminate import benchmark_matches
 from tessera.llm.fertility import fertility_rules
+from tessera.llm.fill_middle import fill_in_middle, restored
 from tessera.llm.html_text import extract_main_text
 from tessera.llm.jaccard_groups import linked_components
 from tessera.llm.mixing import mixed_counts
@@ -99,3 +100,10 @@ def op5_ordinal_quality(spark: SparkSession, root: str) -> DataFrame:
     good = F.element_at("tails", 2)
     return out.select("doc_id", "expected_grade", F.element_at("tails", 1).alias("p_not_toxic"), good.alias("p_good"),
                       (good >= 0.5).alias("kept"))
+
+
+@query("op11_fill_middle", oracles.OP11)
+def op11_fill_middle(spark: SparkSession, root: str) -> DataFrame:
+    out = fill_in_middle(_table(spark, root, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
