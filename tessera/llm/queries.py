@@ -16,6 +16,7 @@ from tessera.llm.html_text import extract_main_text
 from tessera.llm.jaccard_groups import linked_components
 from tessera.llm.mixing import mixed_counts
 from tessera.llm.ordinal import fit, quality_grade, scored
+from tessera.llm.pivot_index import near_vectors
 from tessera.llm.rows import few_files
 from tessera.llm.substring_dedup import drop_repeated_windows
 from tessera.llm.suffix_dedup import drop_repeated_bytes
@@ -107,3 +108,8 @@ def op11_fill_middle(spark: SparkSession, root: str) -> DataFrame:
     out = fill_in_middle(_table(spark, root, "documents"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                       F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
+
+
+@query("op12_pivot_near_dup")
+def op12_pivot_near_dup(spark: SparkSession, root: str) -> DataFrame:
+    return few_files(near_vectors(_table(spark, root, "embeddings"), cosine=0.9))
