@@ -22,6 +22,7 @@ from tessera.llm.substring_dedup import drop_repeated_windows
 from tessera.llm.suffix_dedup import drop_repeated_bytes
 from tessera.llm.token_counts import token_counts
 from tessera.llm.token_planes import token_file_digest
+from tessera.llm.turn_repair import damaged, repair_summary
 from tessera.session import shared_folder
 
 QUERIES = {}
@@ -113,3 +114,8 @@ def op11_fill_middle(spark: SparkSession, root: str) -> DataFrame:
 @query("op12_pivot_near_dup")
 def op12_pivot_near_dup(spark: SparkSession, root: str) -> DataFrame:
     return few_files(near_vectors(_table(spark, root, "embeddings"), cosine=0.9))
+
+
+@query("op13_turn_repair")
+def op13_turn_repair(spark: SparkSession, root: str) -> DataFrame:
+    return few_files(repair_summary(damaged(_table(spark, root, "conversations")), stands=F.col("stands")))
