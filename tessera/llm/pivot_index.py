@@ -65,8 +65,10 @@ def separated(sample: np.ndarray, most: int, cosine: float) -> np.ndarray:
     return kept[:n]
 
 
-def permutations(v: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
-    """The nearest pivots of each row, nearest first, ties by number."""
+def permutations(v: np.ndarray, pivots: np.ndarray, nearest: int, rows: int = 512) -> np.ndarray:
+    """The nearest pivots of each row, nearest first, ties by number; some rows at a time."""
+    if len(v) > rows:
+        return np.concatenate([permutations(v[a:a + rows], pivots, nearest) for a in range(0, len(v), rows)])
     near = v @ pivots.T
     if nearest < len(pivots):
         some = np.argpartition(-near, nearest - 1, axis=1)[:, :nearest]
@@ -81,8 +83,7 @@ def _describe(batches, pivots, nearest, width):
     matrix = pivots.value
     for batch in batches:
         if len(batch):
-            near = np.concatenate([permutations(units(batch.column(2).slice(a, 1024), width), matrix, nearest)
-                                   for a in range(0, len(batch), 1024)]).astype(np.int32)
+            near = permutations(units(batch.column(2), width), matrix, nearest).astype(np.int32)
             listed = pa.ListArray.from_arrays(np.arange(0, near.size + 1, nearest, dtype=np.int32), near.ravel())
             yield pa.RecordBatch.from_arrays([*batch.columns, listed], ["cid", "copies", "v", "near"])
 
