@@ -1,4 +1,7 @@
-"""Main text of small pages."""
+"""Main text of small pages, and of the pages table against a second reader."""
+
+import time
+from html.parser import HTMLParser
 
 import pytest
 from fixtures import by_id
@@ -58,3 +61,84 @@ def test_table(spark):
         if "Head" not in (h or ""):
             assert (got[i]["text"], got[i]["n_chars"], got[i]["url"]) == (want, len(want), f"u{i}")
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+PARTS = "<h1>Title</h1><p>One, two, three.</p><p>Four, five.</p>"
+LINES = "Title\nOne, two, three.\nFour, five."
+
+
+@pytest.mark.parametrize("around", [
+    'div class="content has-sidebar"', 'div class="layout no-ads"', 'div class="post share-enabled"', 'div class="wrapper header-fixed"',
+    'div id="page" class="with-comments"', "form", 'div class="widget"', 'section class="main-content ad-free"', 'div class="header"'])
+def test_wrappers_keep_the_article(around):
+    tag = around.split()[0]
+    menu = "<nav><a href=/>Menu, menu, menu</a></nav>"
+    assert main_text(f"<body>{menu}<{around}><article>{PARTS}</article></{tag}></body>") == LINES
+    assert main_text(f"<body>{menu}<{around}><div>{PARTS}</div></{tag}><footer>f, f</footer></body>") == LINES
+
+
+def test_headers_of_the_container_stay():
+    page = ("<body><div class='header'><h1>Site</h1></div><main><header><h1>Title</h1><nav>n, n, n</nav><p hidden>no</p></header>"
+            "<div class='post-header'><h2>Part</h2></div><p>One, two, three, four.</p><header>date</header></main></body>")
+    assert main_text(page) == "Title\nPart\nOne, two, three, four."
+
+
+def test_long_comments_and_forms_go():
+    said = "".join(f"<div class='comment'><p>I, for one, say, {i}, so.</p></div>" for i in range(30))
+    assert main_text(f"<body><article>{PARTS}</article><div id='comments'>{said}</div><form>Name, mail, <input></form></body>") == LINES
+    assert main_text(f"<body><div>{PARTS}<div class='comments'>{said}</div></div></body>") == LINES
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a '\">", "<a '", "<!", "<!--", "</", "<p", "<b>", "</x>", "<b></i><p>", '<a ">x', "<script>", "<"])
+def test_broken_pages_take_one_pass(piece):
+    start = time.process_time()
+    main_text("<article><p>one, two</p>" + piece * (1_000_000 // len(piece)))
+    assert time.process_time() - start < 8
+    if "<" in piece and '"' in piece:
+        assert "one, two" in main_text("<article><p>one, two</p>" + piece * 100)
+
+
+class Reader(HTMLParser):
+    """Text of the article element without scripts, styles and adverts, block by block."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks = [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.blocks[-1] += " "
+            return
+        if tag in ("meta", "link", "img", "input", "hr"):
+            return
+        if tag == "p" and "p" in self.open:
+            self.handle_endtag("p")
+        self.open.append("aside" if ("class", "ad") in attrs else tag)
+        if tag != "b" and tag != "a":
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
+            if tag != "b" and tag != "a":
+                self.blocks.append("")
+        elif tag == "div" and "aside" in self.open:
+            while self.open.pop() != "aside":
+                pass
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if "article" in self.open and not {"script", "style", "aside", "footer", "nav"} & set(self.open):
+            self.blocks[-1] += data
+
+
+def test_pages_against_a_second_reader(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = by_id(extract_main_text(pages), "page_id")
+    for row in pages.collect():
+        reader = Reader()
+        reader.feed(row.html or "")
+        reader.close()
+        want = "\n".join(x for x in (" ".join(b.split()) for b in reader.blocks) if x)
+        assert got[row.page_id]["text"] == want, row.page_id
