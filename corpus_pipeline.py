@@ -17,8 +17,6 @@ An empty table passes through as one; null texts are documents without words.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +25,8 @@ from tessera.llm.decontaminate import decontaminated
 from tessera.llm.jaccard_groups import one_of_each
 from tessera.llm.mixing import mixed
 from tessera.llm.ordinal import accepted, fit, quality_grade
-from tessera.llm.rows import few_files
+from tessera.llm.rows import few_files, temporary
 from tessera.llm.token_planes import token_file_digest
-from tessera.session import shared_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +50,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/planes-{uuid.uuid4().hex}"
-    return few_files(token_file_digest(docs, path, public_tokenizers.path("word_bpe_49k.json"), end=2))
+    return few_files(token_file_digest(docs, temporary(spark, "planes"), public_tokenizers.path("word_bpe_49k.json"), end=2))
 
 
 STAGES = [
@@ -73,7 +69,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages from the documents table, each written and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+        path = temporary(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

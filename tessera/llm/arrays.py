@@ -64,8 +64,25 @@ class Alphabet:
         return self._powers, self._inverse
 
 
+def hand_back() -> None:
+    """Give memory that arrays of this process no longer hold back to the system, as workers outlive their tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_pieces(batches: Iterable[pa.RecordBatch], limit: int = PIECE) -> Iterator[tuple]:
     """(ids, bytes, offsets) of a few texts at a time; first column id, second text; null text is empty."""
+    hand_back()
+    yield from pieces(batches, limit)
+    hand_back()
+
+
+def pieces(batches: Iterable[pa.RecordBatch], limit: int = PIECE) -> Iterator[tuple]:
+    """The same in the midst of a task."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         column = pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")
@@ -170,9 +187,14 @@ def unpack_all(blobs: Iterable[bytes], *kinds) -> list[np.ndarray]:
 
 
 def remembered(key: str, make: Callable):
-    """What `make` gives, once per worker process; functions themselves travel to every task anew."""
+    """What `make` gives, once per worker process; functions themselves travel to every task anew.
+
+    What is kept under a key with another first word goes: its operator has ended.
+    """
     memory = sys.modules.setdefault("tessera_worker_memory", types.ModuleType("tessera_worker_memory")).__dict__
     if key not in memory:
+        for other in [k for k in memory if not k.startswith("__") and k.split()[0] != key.split()[0]]:
+            del memory[other]
         memory[key] = make()
     return memory[key]
 

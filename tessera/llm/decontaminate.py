@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import Alphabet, word_bounds
-from tessera.llm.rows import cut_lineage, keyed, numbered, unique, with_id
+from tessera.llm.rows import cut_lineage, keyed, numbered, spare, unique, with_id
 
 SHARD_WORDS = 400_000  # words of items in one automaton, about 250 MB in a task
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -265,10 +265,11 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     return with_id(found.select("rid", "n_words", _n_hit().alias("n_hit"), "items", "spans"), rows, plain, id_col)
 
 
-def _without(batches, text_col, names):
+def _without(batches, text_at, names):
+    """Cut the spans in the last column out of the text in column `text_at`."""
     for batch in batches:
         out = []
-        for text, spans in zip(batch.column(text_col).cast(pa.large_binary()), batch.column("_spans").to_pylist()):
+        for text, spans in zip(batch.column(text_at).cast(pa.large_binary()), batch.column(len(names)).to_pylist()):
             text = text.as_py()
             if spans:
                 raw = np.frombuffer(text, np.uint8)
@@ -280,7 +281,7 @@ def _without(batches, text_col, names):
                 text = b"".join([*keep, text[at:]])
             out.append(text)
         cut = pa.array(out, pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([cut if n == text_col else batch.column(n) for n in names], names)
+        yield pa.RecordBatch.from_arrays([cut if i == text_at else batch.column(i) for i in range(len(names))], names)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -294,11 +295,13 @@ def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     key = id_col
     names = docs.columns
     if not unique(docs, id_col):
-        docs, key = numbered(docs, id_col, text_col, "_row"), "_row"
+        key = spare("_row", names)
+        docs = numbered(docs, id_col, text_col, key)
     rows = docs.select(F.col(key).cast("bigint").alias("rid"), F.col(text_col).alias("text"))
+    rid, cuts, over = (spare(c, docs.columns) for c in ("_rid", "_spans", "_over"))
     found = cut_lineage(_matches(rows, items, item_col, item_text, window, per_pass).where(F.size("spans") > 0).select(
-        F.col("rid").alias("_rid"), F.col("spans").alias("_spans"),
-        (_n_hit() > F.lit(max_share) * F.col("n_words")).alias("_over")))
-    joined = docs.join(found, F.col(key) == F.col("_rid"), "left").where("_over IS NULL OR NOT _over")
+        F.col("rid").alias(rid), F.col("spans").alias(cuts),
+        (_n_hit() > F.lit(max_share) * F.col("n_words")).alias(over)))
+    joined = docs.join(found, F.col(key) == F.col(rid), "left").where(F.col(over).isNull() | ~F.col(over))
     schema = docs.select(*names).schema
-    return joined.select(*names, "_spans").mapInArrow(partial(_without, text_col=text_col, names=names), schema)
+    return joined.select(*names, cuts).mapInArrow(partial(_without, text_at=names.index(text_col), names=names), schema)

@@ -73,7 +73,7 @@ def _rearrange(batches, seed, plain_from, spm_under):
     for batch in batches:
         ids = batch.column(0).to_pylist()
         rows, at = [], 0
-        for _, buf, offs in A.text_pieces([batch]):
+        for _, buf, offs in A.pieces([batch]):
             for i in range(len(offs) - 1):
                 raw = buf[offs[i]:offs[i + 1]].tobytes()
                 rows.append((ids[at], *rearranged(raw, ids[at], seed, plain_from, spm_under)))

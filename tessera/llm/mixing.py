@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.rows import cut_lineage, cut_small
+from tessera.llm.rows import cut_lineage, cut_small, unique
 from tessera.llm.scans import running_sum
 
 SEED = "mix-1"
@@ -97,11 +97,15 @@ def mixed_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of `docs` that the mix takes, each as many times as it takes it, with all their columns."""
     counts = mixed_counts(docs, id_col, text_col, source_col, **how)
-    order = [F.col("_size"), F.col("_source").asc_nulls_last()]
-    takes = counts.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col(source_col).alias("_source"), "copies")
-    takes = takes.withColumn("_k", F.row_number().over(Window.partitionBy("_id").orderBy(*order)))
-    own = docs.withColumn("_size", n_words(F.col(text_col))).withColumn("_source", F.col(source_col))
-    own = own.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(*order)))
-    joined = own.join(takes.where("copies > 0").select("_id", "_k", "copies"),
-                      F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_k")))
-    return joined.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*docs.columns)
+    takes = counts.select(F.col(id_col).alias("id"), "size", F.col(source_col).alias("source"), "copies")
+    own = docs.select(F.struct(*docs.columns).alias("whole"), F.col(id_col).alias("id"))
+    if unique(docs, id_col):
+        joined = own.join(takes.where("copies > 0").select("id", "copies"), "id")
+    else:  # rows of one id, size and source can stand for each other
+        alike = ["id", "size", "source"]
+        takes = takes.withColumn("k", F.row_number().over(Window.partitionBy(*alike).orderBy("copies"))).where("copies > 0")
+        own = own.withColumn("size", n_words(F.col("whole")[text_col])).withColumn("source", F.col("whole")[source_col])
+        own = own.withColumn("n", F.row_number().over(Window.partitionBy(*alike).orderBy(F.xxhash64(F.col("whole")[text_col]))))
+        same = [own[c].eqNullSafe(takes[c]) for c in alike] + [own["n"] == takes["k"]]
+        joined = own.join(takes, same).select("whole", "copies")
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("whole.*")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +15,12 @@ from tessera.llm.jaccard_groups import linked_components
 from tessera.llm.mixing import mixed_counts
 from tessera.llm.ordinal import fit, quality_grade, scored
 from tessera.llm.pivot_index import near_vectors
-from tessera.llm.rows import few_files
+from tessera.llm.rows import few_files, temporary
 from tessera.llm.substring_dedup import drop_repeated_windows
 from tessera.llm.suffix_dedup import drop_repeated_bytes
 from tessera.llm.token_counts import token_counts
 from tessera.llm.token_planes import token_file_digest
 from tessera.llm.turn_repair import damaged, repair_summary
-from tessera.session import shared_folder
 
 QUERIES = {}
 ORACLE = {}
@@ -75,8 +72,7 @@ def op8_token_counts(spark: SparkSession, root: str) -> DataFrame:
 
 @query("op9_token_planes")
 def op9_token_planes(spark: SparkSession, root: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/planes-{uuid.uuid4().hex}"
-    return few_files(token_file_digest(_table(spark, root, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=2))
+    return few_files(token_file_digest(_table(spark, root, "documents"), temporary(spark, "planes"), public_tokenizers.path("word_bpe_49k.json"), end=2))
 
 
 @query("op1_fertility")

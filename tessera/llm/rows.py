@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage, parallelism
+from tessera.session import cut_lineage, parallelism, shared_folder
 
 
 #: What Spark gives for the batch limit where a session does not say: 64 MB.
@@ -58,6 +59,22 @@ def with_id(result: DataFrame, rows: DataFrame, plain: bool, id_col: str) -> Dat
     return result.join(known, "rid").select(id_col, *rest)
 
 
+def spare(name: str, taken: list[str]) -> str:
+    """The name, or one like it that is no column yet."""
+    known = {c.lower() for c in taken}
+    while name in known:
+        name = "_" + name
+    return name
+
+
+def temporary(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that goes when the session ends."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def tasks_for(spark: SparkSession, parts: int | None = None) -> int:
     """About two tasks per core, or one for 32 partitions where there are very many."""
     parts = parallelism(spark) if parts is None else parts
@@ -123,4 +140,4 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: int, fold: Callable) -> Ite
 
 
 __all__ = ["bounded_batches", "brought_together", "buckets_for", "cut_lineage", "cut_small", "few_files", "gathered", "keyed", "numbered", "parallelism", "prime_from",
-           "runs_of", "sizes", "tasks_for", "text_bytes", "unique", "with_id"]
+           "runs_of", "sizes", "spare", "tasks_for", "temporary", "text_bytes", "unique", "with_id"]

@@ -25,7 +25,6 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,11 +34,13 @@ from tessera.llm.rows import keyed, parallelism, with_id
 
 BLOCK = 1 << 16  # ids in a block
 REMEMBERED = 1_000_000  # words whose ids a worker remembers
+TOGETHER = 32  # new words encoded as one text
 _CODES = np.arange(256)
 _LOWER = np.where((_CODES >= 65) & (_CODES <= 90), _CODES + 32, _CODES).astype(np.uint8)
 _LETTER = (_CODES >= 97) & (_CODES <= 122)
 _WHITE = np.isin(_CODES, list(A.BLANKS))
 _STOP = np.isin(_CODES, list(b".,"))
+_HASHES = A.Alphabet(seed=101), A.Alphabet(seed=202)
 _FILE = ("shard int, block int, first bigint, n_ids int, plane string, crc bigint, planes array<binary>, "
          "docs array<struct<rid: bigint, at: int, n: int, from: bigint>>")
 
@@ -75,10 +76,12 @@ def from_planes(planes: list[bytes], n: int, plane: str = "byte") -> np.ndarray:
 class WordIds:
     """Ids of texts by a tokenizers file that lower-cases and treats words between white space apart.
 
-    Each word is encoded once per worker.  So that there are fewer, ASCII is
-    lower-cased beforehand and a full stop or comma after a letter is a word of
-    its own, which such a file cuts there anyway.  Texts that may hold special
-    tokens are taken as they are.
+    Each word is encoded once per worker, and found again by a hash of 64 bits,
+    a second of which must agree; a word that shares only the first is encoded
+    each time.  So that there are fewer words, ASCII is lower-cased beforehand and
+    a full stop or comma after a letter is a word of its own, which such a file
+    cuts there anyway.  Texts that may hold special tokens are taken as they are.
+    A word takes some 50 bytes here; when there are too many, all are forgotten.
     """
 
     def __init__(self, path: str):
@@ -86,35 +89,59 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode_batch
+        one = lambda text: self.encode([text], add_special_tokens=False)[0].ids
+        for whole, parts in (("Ab", ["ab"]), ("ab  c\n\td ", ["ab", "c", "d"]), ("ab. c", ["ab", ".", "c"]), ("ab, c", ["ab", ",", "c"])):
+            if one(whole) != [i for p in parts for i in one(p)]:
+                raise ValueError(f"{path} does not lower-case and encode words one by one")
         self._clear()
 
     def _clear(self):
-        self.known: dict[str, int] = {}
-        self.flat, self.start, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1, np.int64), 0
+        #: Of the known words in the order of their hash: hash, second hash, number.
+        self.hash, self.second, self.number = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.flat, self.start, self.used = np.zeros(1 << 16, np.uint16), np.zeros(1, np.int64), 0
 
-    def _learn(self, fresh: list[str]) -> None:
-        found = self.encode(fresh, add_special_tokens=False)
+    def _learn(self, fresh: list[str]) -> np.ndarray:
+        """The numbers under which the ids of new words stand."""
+        found = self.encode([" ".join(fresh[i:i + TOGETHER]) for i in range(0, len(fresh), TOGETHER)], add_special_tokens=False)
         ids = [e.ids for e in found]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        new = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        # Where each id begins in its text, and so the word that it is of.
+        begins = np.fromiter((at for e in found for at, _ in e.offsets), np.int64, len(new))
+        ends = np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)) + 1)
+        begins += np.repeat(np.r_[0, ends[TOGETHER - 1::TOGETHER]][:len(ids)], sizes)
+        lengths = np.bincount(np.searchsorted(ends, begins, "right"), minlength=len(fresh))
+        if len(new) and new.max() > np.iinfo(self.flat.dtype).max:
+            self.flat = self.flat.astype(np.uint32)
         if self.used + len(new) > len(self.flat):
-            self.flat = np.r_[self.flat[:self.used], np.zeros(max(len(new), len(self.flat)), np.uint32)]
+            self.flat = np.r_[self.flat[:self.used], np.zeros(max(len(new), len(self.flat) // 2), self.flat.dtype)]
         self.flat[self.used:self.used + len(new)] = new
+        at = len(self.start) - 1 + np.arange(len(fresh))
         self.start = np.r_[self.start, self.used + np.cumsum(lengths)]
         self.used += len(new)
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-
-    def _number(self, words: list[str]) -> np.ndarray:
-        """Numbers of distinct words, after encoding those not known."""
-        number = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(number < 0)
+        return at
+
+    def _numbers(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A number of each word, after encoding those not known."""
+        one, two = (A.word_hashes(buf, start, alphabet) for alphabet in _HASHES)
+        distinct, first, which = np.unique(one, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hash, distinct)
+        new = np.flatnonzero(self.hash[np.minimum(place, len(self.hash) - 1)] != distinct) if len(self.hash) else np.arange(len(distinct))
+        if len(self.hash) and len(self.start) + len(new) > REMEMBERED:
+            self._clear()
+            return self._numbers(buf, start, end)
+        raw = buf.tobytes()
+        learned = lambda at: self._learn([raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist())])
         if len(new):
-            if len(self.known) and len(self.known) + len(new) > REMEMBERED:
-                self._clear()
-                return self._number(words)
-            number[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self._learn([words[i] for i in new])
-        return number
+            numbers = learned(first[new])
+            self.hash = np.insert(self.hash, place[new], distinct[new])
+            self.second = np.insert(self.second, place[new], two[first[new]])
+            self.number = np.insert(self.number, place[new], numbers)
+            place = np.searchsorted(self.hash, distinct)
+        out, other = self.number[place][which], np.flatnonzero(self.second[place][which] != two)
+        if len(other):
+            out[other] = learned(other)
+        return out
 
     def __call__(self, buf: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some texts one after the other, and how many each has, with the end id."""
@@ -125,16 +152,12 @@ class WordIds:
             letter = np.r_[False, _LETTER[buf[:-1]]] if len(buf) else white
             stops = np.flatnonzero(_STOP[buf] & letter & white)
             buf, offs = np.insert(buf, stops, np.uint8(32)), offs + np.searchsorted(stops, offs)
-        texts = pa.Array.from_buffers(pa.large_string(), len(offs) - 1, [
-            None, pa.py_buffer(np.ascontiguousarray(offs, np.int64)), pa.py_buffer(np.ascontiguousarray(buf))])
-        split = pc.ascii_split_whitespace(texts)
-        counts = pc.list_value_length(split).to_numpy()
-        coded = split.flatten().dictionary_encode()
-        word = self._number(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        start, stop, first = A.word_bounds(buf, offs, _HASHES[0])
+        word = self._numbers(buf, start, stop) if len(start) else np.zeros(0, np.int64)
         length = self.start[word + 1] - self.start[word]
         total = np.r_[0, np.cumsum(length)]
-        ids = self.flat[np.repeat(self.start[word] - total[:-1], length) + np.arange(total[-1])]
-        ends = total[np.cumsum(counts)]
+        ids = self.flat[np.repeat(self.start[word] - total[:-1], length) + np.arange(total[-1])].astype(np.uint32)
+        ends = total[first[1:]]
         return np.insert(ids, ends, np.uint32(end)), np.diff(np.r_[0, ends]) + 1
 
 
@@ -142,6 +165,7 @@ def _encode(batches, path, end, block, plane):
     encoder = A.remembered(f"ids {path}", lambda: WordIds(path))
     shard, number, first = None, 0, 0
     held, docs, room = [], [], 0  # ids not written yet, and what they are
+    A.hand_back()
 
     def write(n):
         nonlocal held, docs, room, number, first
@@ -164,7 +188,7 @@ def _encode(batches, path, end, block, plane):
         shards = batch.column(2).to_numpy()
         if len(shards) and shard not in (None, shards[0]):
             raise ValueError("a task writes one shard")
-        for rids, buf, offs in A.text_pieces([batch], 4 * A.PIECE):
+        for rids, buf, offs in A.pieces([batch], A.PIECE):
             shard = int(shards[0])
             ids, counts = encoder(buf, offs, end)
             held.append(ids)
@@ -174,6 +198,7 @@ def _encode(batches, path, end, block, plane):
                 yield write(block)
     if room:
         yield write(room)
+    A.hand_back()
 
 
 _SCHEMA = pa.schema([

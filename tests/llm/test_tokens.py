@@ -10,6 +10,7 @@ import pytest
 from fixtures import by_id, documents, enumerated, texts
 from tokenizers import Tokenizer
 
+from tessera.llm import token_planes
 from tessera.llm.rows import keyed
 from tessera.llm.token_counts import Counter, token_counts
 from tessera.llm.token_planes import (
@@ -85,6 +86,23 @@ def test_digest(spark, library, tmp_path):
         start += len(want)
 
 
+def test_words_that_share_a_hash(library, monkeypatch):
+    """Few values of the first hash: only the second tells words apart."""
+    whole = token_planes.A.word_hashes
+
+    def poor(buf, start, alphabet):
+        h = whole(buf, start, alphabet)
+        return h % 7 if alphabet is token_planes._HASHES[0] else h
+
+    monkeypatch.setattr(token_planes.A, "word_hashes", poor)
+    monkeypatch.setattr(token_planes, "REMEMBERED", 50)
+    encoder = token_planes.WordIds(PATH)
+    for t in [*texts(7), *AWKWARD] * 2:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        ids, counts = encoder(raw, np.array([0, len(raw)]), 2)
+        assert ids.tolist() == library.encode(t or "", add_special_tokens=False).ids + [2] and counts.tolist() == [len(ids)]
+
+
 def test_repeated_ids_and_empty(spark, tmp_path):
     rows = token_file_digest(documents(spark, [(1, "b"), (1, "a"), (None, "c")]), str(tmp_path / "h"), PATH).collect()
     assert sorted((str(r.doc_id), r.start, r.n_tokens) for r in rows) == [("1", 2, 2), ("1", 4, 2), ("None", 0, 2)]
