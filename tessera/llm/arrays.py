@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,17 @@ def hand_back() -> None:
         trim(0)
 
 
+def trimmed(stream: Callable) -> Callable:
+    """A task's function that hands memory back where it begins and ends."""
+    @wraps(stream)
+    def run(batches, *args, **how):
+        hand_back()
+        yield from stream(batches, *args, **how)
+        hand_back()
+
+    return run
+
+
 def text_pieces(batches: Iterable[pa.RecordBatch], limit: int = PIECE) -> Iterator[tuple]:
     """(ids, bytes, offsets) of a few texts at a time; first column id, second text; null text is empty."""
     hand_back()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import Alphabet, word_bounds
+from tessera.llm.arrays import Alphabet, trimmed, word_bounds
 from tessera.llm.rows import cut_lineage, keyed, numbered, spare, unique, with_id
 
 SHARD_WORDS = 400_000  # words of items in one automaton, about 250 MB in a task
@@ -189,6 +189,7 @@ def automata(items: DataFrame, item_col: str, text_col: str, window: int) -> Dat
     return packed.groupBy("shard").applyInArrow(lambda table: _make(table, window), "automaton binary")
 
 
+@trimmed
 def _scan(batches, shared):
     machines = [Automaton.from_state(pickle.loads(b)) for b in shared.value]
     for batch in batches:
@@ -222,6 +223,7 @@ def merged(spans: list[tuple[int, int]]) -> list[dict]:
 _JOINED = "rid bigint, n_words bigint, items array<string>, spans array<struct<from: bigint, to: bigint>>"
 
 
+@trimmed
 def _join_passes(batches):
     for batch in batches:
         out = [{"rid": r["rid"], "n_words": r["n_words"], "items": sorted(set(r["items"]), key=_null_last),
@@ -265,6 +267,7 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     return with_id(found.select("rid", "n_words", _n_hit().alias("n_hit"), "items", "spans"), rows, plain, id_col)
 
 
+@trimmed
 def _without(batches, text_at, names):
     """Cut the spans in the last column out of the text in column `text_at`."""
     for batch in batches:

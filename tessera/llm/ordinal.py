@@ -136,6 +136,7 @@ def _examples(batches, dims):
             at += len(ids)
 
 
+@A.trimmed
 def _occurrences(batches, dims):
     counts = np.zeros(dims, np.int32)
     for batch in batches:
@@ -144,6 +145,7 @@ def _occurrences(batches, dims):
     yield pa.RecordBatch.from_arrays([pa.array([A.pack(counts)], pa.binary())], ["counts"])
 
 
+@A.trimmed
 def _gradient(batches, state, dims, least):
     weights, raw = state.value
     known = least.value
