@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import graph as G
 from tessera.operators.neighbours import _matrix, knn
 from tessera.session import cut_lineage
 
@@ -65,25 +66,6 @@ def common_rank(framed: DataFrame, cap: int = 4) -> int:
     return max(1, min(cap, row["rank"])) if row else 1
 
 
-def anchored(framed: DataFrame, k: int) -> DataFrame:
-    """Frames turned, inside their own span, towards one anchor frame: a common gauge."""
-    width = len(framed.first()["mu"])
-    target = np.array(framed.orderBy("node").first()["q"], dtype=float).reshape(-1, width)[:k].T
-
-    def turn(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            out = []
-            for q in pdf["q"]:
-                frame = np.asarray(q, dtype=float).reshape(-1, width)[:k].T
-                u, _, vt = np.linalg.svd(frame.T @ target)
-                out.append((frame @ (u @ vt)).T.ravel())
-            yield pdf.assign(q=out)
-
-    return cut_lineage(framed.mapInPandas(turn, framed.schema))
-
-
 def _rotation(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     u, s, vt = np.linalg.svd(a.T @ b)
     if np.linalg.det(u @ vt) < 0:
@@ -97,7 +79,7 @@ def _log_norm(r: np.ndarray) -> float:
 
 
 def connection(framed: DataFrame, k: int) -> DataFrame:
-    """(src, dst, theta_rms, angle_like, fro_log, rot) for lattice edges."""
+    """(src, dst, theta_rms, unlike, angle_like, fro_log, rot) for lattice edges; unlike: one less the mean cosine."""
     width = len(framed.first()["mu"])
     a = framed.select(F.col("node").alias("src"), "ix", "iy", F.col("q").alias("qa"))
     step = lambda dx, dy: framed.select(F.col("node").alias("dst"), (F.col("ix") - dx).alias("ix"), (F.col("iy") - dy).alias("iy"), F.col("q").alias("qb"))
@@ -109,10 +91,61 @@ def connection(framed: DataFrame, k: int) -> DataFrame:
             for s, t, qa, qb in zip(pdf["src"], pdf["dst"], pdf["qa"], pdf["qb"]):
                 r, sv = _rotation(np.asarray(qa).reshape(-1, width)[:k].T, np.asarray(qb).reshape(-1, width)[:k].T)
                 norm = _log_norm(r)
-                out.append((s, t, float(np.sqrt((np.arccos(sv) ** 2).mean())), norm / np.sqrt(2), norm, r.ravel()))
-            yield pd.DataFrame(out, columns=["src", "dst", "theta_rms", "angle_like", "fro_log", "rot"])
+                out.append((s, t, float(np.sqrt((np.arccos(sv) ** 2).mean())), float(1 - sv.mean()), norm / np.sqrt(2), norm, r.ravel()))
+            yield pd.DataFrame(out, columns=["src", "dst", "theta_rms", "unlike", "angle_like", "fro_log", "rot"])
+
+    return cut_lineage(pairs.mapInPandas(edge, "src bigint, dst bigint, theta_rms double, unlike double, angle_like double, fro_log double, rot array<double>"))
+
+
+def _frames_of(column, width: int, k: int) -> list[np.ndarray]:
+    return [np.asarray(q, dtype=float).reshape(-1, width)[:k].T for q in column]
+
+
+def along_tree(framed: DataFrame, k: int) -> DataFrame:
+    """Frames turned, inside their own span, to follow each other along a spanning tree: a common gauge.
+
+    The tree takes the lattice edges whose frames are most alike; in each of its
+    parts the node nearest the middle keeps its frame.  The turn of a node is the
+    product of the turns on its path, found by doubling: after each round a node
+    knows the product up to an ancestor twice as far away.
+    """
+    width = len(framed.first()["mu"])
+    edges = connection(framed, k)
+    tree = cut_lineage(G.spanning_tree(edges.select("src", "dst", F.col("unlike").alias("d"))))
+    middle = framed.agg(F.expr("percentile(gx, 0.5)"), F.expr("percentile(gy, 0.5)")).first()
+    off = (F.col("gx") - F.lit(middle[0])) ** 2 + (F.col("gy") - F.lit(middle[1])) ** 2
+    parts = G.components(tree)
+    roots = framed.join(parts, framed["node"] == parts["id"]).groupBy("component").agg(
+        F.min_by("node", F.struct(off, "node")).alias("id")).select("id")
+    levels = cut_lineage(G.tree_levels(tree, roots))
+    deepest = levels.agg(F.max("level")).first()[0] or 0
+
+    def steps(batches):
+        for pdf in batches:
+            turn = [_rotation(c, p)[0].ravel() for c, p in zip(_frames_of(pdf["q"], width, k), _frames_of(pdf["qp"], width, k))]
+            yield pd.DataFrame({"node": pdf["id"], "up": pdf["parent"], "turn": turn})
+
+    frame = framed.select("node", "q")
+    above = levels.where("level > 0").join(frame.withColumnRenamed("node", "id"), "id").join(
+        frame.select(F.col("node").alias("parent"), F.col("q").alias("qp")), "parent")
+    path = cut_lineage(above.select("id", "parent", "q", "qp").mapInPandas(steps, "node bigint, up bigint, turn array<double>"))
+
+    def joined(batches):
+        for pdf in batches:
+            turn = [t if u is None else (np.reshape(t, (k, k)) @ np.reshape(u, (k, k))).ravel() for t, u in zip(pdf["turn"], pdf["next"])]
+            yield pd.DataFrame({"node": pdf["node"], "up": pdf["up"], "turn": turn})
+
+    for _ in range(int(deepest).bit_length()):
+        ahead = path.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("turn").alias("next"))
+        both = path.join(ahead, "up", "left").select("node", F.coalesce("far", "up").alias("up"), "turn", "next")
+        path = cut_lineage(both.mapInPandas(joined, path.schema))
+
+    def turned(batches):
+        for pdf in batches:
+            own = [(f if t is None else f @ np.reshape(t, (k, k))).T.ravel() for f, t in zip(_frames_of(pdf["q"], width, k), pdf["turn"])]
+            yield pdf.drop(columns="turn").assign(q=own)
 
-    return cut_lineage(pairs.mapInPandas(edge, "src bigint, dst bigint, theta_rms double, angle_like double, fro_log double, rot array<double>"))
+    return cut_lineage(framed.join(path.select("node", "turn"), "node", "left").select(*framed.columns, "turn").mapInPandas(turned, framed.schema))
 
 
 def node_angles(edges: DataFrame, framed: DataFrame) -> DataFrame:

@@ -78,6 +78,47 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return state.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots).distinct()
 
 
+def spanning_tree(edges: DataFrame, length: str = "d", max_rounds: int = 60) -> DataFrame:
+    """(src, dst, length) of the edges of the least spanning tree, of each component one.
+
+    Rounds after Boruvka: every component names its shortest edge (ties by the
+    ends), components that an edge joins become one, and edges inside go.
+    Components halve at least, so rounds grow with the logarithm of the graph.
+    """
+    ends = F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
+    live = edges.where("src <> dst").select(*ends, F.col(length).alias("len")).groupBy("src", "dst").agg(F.min("len").alias("len"))
+    live = cut_lineage(live.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.struct("len", "src", "dst").alias("e")))
+    tree = live.limit(0)
+    for _ in range(max_rounds):
+        if live.isEmpty():
+            return tree.select("e.src", "e.dst", F.col("e.len").alias(length))
+        sides = live.select(F.explode(F.array("a", "b")).alias("c"), F.struct("e", "a", "b").alias("e"))
+        named = cut_lineage(sides.groupBy("c").agg(F.min("e").alias("e")).select("e.a", "e.b", "e.e").distinct())
+        tree = cut_lineage(tree.unionByName(named))
+        joined = components(named.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        for end in ("a", "b"):  # every component with an edge has named one
+            live = live.join(joined.select(F.col("id").alias(end), F.col("component").alias(f"{end}_new")), end).drop(end).withColumnRenamed(f"{end}_new", end)
+        live = live.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "e")
+        live = cut_lineage(live.groupBy("a", "b").agg(F.min("e").alias("e")))
+    raise RuntimeError(f"components still join after {max_rounds} rounds")
+
+
+def tree_levels(tree: DataFrame, roots: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(id, parent, level) of the vertices that the roots (id), one of a tree, reach, level by level."""
+    ways = cut_lineage(both_ways(tree))
+    found = cut_lineage(roots.select("id", F.lit(None).cast(dict(tree.dtypes)["src"]).alias("parent"), F.lit(0).alias("level")))
+    front = found
+    for level in range(1, max_rounds):
+        back = front.select(F.col("id").alias("src"), F.col("parent").alias("came"))
+        # In a tree only the parent has been seen before.
+        front = cut_lineage(ways.join(back, "src").where("came IS NULL OR dst <> came").select(
+            F.col("dst").alias("id"), F.col("src").alias("parent"), F.lit(level).alias("level")))
+        if front.isEmpty():
+            return found
+        found = found.unionByName(front)
+    raise RuntimeError(f"the tree is deeper than {max_rounds} levels")
+
+
 def graph_report(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """One row: V, E, components, largest, isolates."""
     comp = components(edges)

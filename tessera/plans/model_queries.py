@@ -83,12 +83,14 @@ def isomap(spark, root):
 
 @query("i28_pair_agreement", """
 WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, embedding[1:2]::DOUBLE[] AS u FROM embeddings),
-p AS (SELECT list_distance(a.v, b.v) AS x, list_distance(a.u, b.u) AS y FROM e a JOIN e b ON a.id < b.id)
-SELECT count(*) AS n, round(corr(x, y), 6) AS r, round(sqrt(sum((x - y) * (x - y)) / sum(x * x)), 6) AS stress1 FROM p WHERE x > 0 AND y > 0""")
+p AS (SELECT list_distance(a.v, b.v) AS x, list_distance(a.u, b.u) AS y FROM e a JOIN e b ON a.id < b.id),
+k AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx,
+    rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM p WHERE x > 0 AND y > 0)
+SELECT count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, round(sqrt(sum((x - y) * (x - y)) / sum(x * x)), 6) AS stress1 FROM k""")
 def pair_agreement(spark, root):
     e = embedded(spark, root)
     t = LA.pair_agreement(e, e.select("id", F.slice("vec", 1, 2).alias("v")))
-    return t.select("n", r6("r").alias("r"), r6("stress1").alias("stress1"))
+    return t.select("n", *[r6(c).alias(c) for c in ("pearson", "spearman", "stress1")])
 
 
 @query("i35_ami", f"""

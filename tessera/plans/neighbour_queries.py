@@ -160,6 +160,17 @@ def embedded_graph(spark, root, mode="union", k=10):
     return cut_lineage(G.knn_graph(N.knn(embedded(spark, root), k), mode, 2.0))
 
 
+@query("i43_spanning_tree", f"""WITH RECURSIVE {R.embedded_nn(10)}, {R.graph('union', 2.0)},
+v AS (SELECT id, row_number() OVER (ORDER BY id) AS pos FROM (SELECT src AS id FROM ed UNION SELECT dst FROM ed)),
+e2 AS (SELECT row_number() OVER (ORDER BY d, src, dst) AS step, src, dst, d, a.pos AS pa, b.pos AS pb FROM ed JOIN v a ON a.id = src JOIN v b ON b.id = dst),
+f AS (SELECT 0::BIGINT AS step, (SELECT list(pos ORDER BY pos) FROM v) AS l, false AS took
+    UNION ALL SELECT e2.step, CASE WHEN l[pa] = l[pb] THEN l ELSE list_transform(l, lambda x: CASE WHEN x = l[pb] THEN l[pa] ELSE x END) END, l[pa] <> l[pb]
+    FROM f JOIN e2 ON e2.step = f.step + 1)
+SELECT src, dst, round(d, 6) AS d FROM f JOIN e2 USING (step) WHERE took""")
+def spanning_tree(spark, root):
+    return G.spanning_tree(embedded_graph(spark, root)).select("src", "dst", r6("d").alias("d"))
+
+
 @query("i12_graph_report", f"""
 WITH RECURSIVE {_EGM}, bi AS (SELECT src, dst FROM ed UNION ALL SELECT dst, src FROM ed),
 walk AS (SELECT id, id AS root FROM e UNION SELECT dst, root FROM walk JOIN bi ON bi.src = walk.id),

@@ -84,10 +84,10 @@ def correlation_trim(spark, root):
 def _framed(spark, root):
     e = embedded(spark, root)
     mean, axes, _ = LA.principal_axes(e, 2)
-    pts = cut_lineage(LA.project(e, mean, axes).select("id", F.col("score").alias("base"), F.slice("vec", 1, 12).alias("x")))
+    pts = cut_lineage(LA.project(e, mean, axes).select("id", F.col("score").alias("base"), F.col("vec").alias("x")))
     framed = B.frames(pts, grid(spark, (-0.25, 0.25), (-0.25, 0.25), 12, 12))
-    k = max(2, B.common_rank(framed))
-    return pts, B.anchored(framed, k), k
+    k = B.common_rank(framed)
+    return pts, framed, k
 
 
 @query("i44_local_frames")
@@ -98,7 +98,7 @@ def local_frames(spark, root):
 @query("i46_connection")
 def connection(spark, root):
     _, framed, k = _framed(spark, root)
-    return B.connection(framed, k).select("src", "dst", "theta_rms", "angle_like", "fro_log")
+    return B.connection(B.along_tree(framed, k), k).select("src", "dst", "theta_rms", "angle_like", "fro_log")
 
 
 @query("i46_curvature")

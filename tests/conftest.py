@@ -7,8 +7,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tests"))
 
-DATA = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -19,6 +17,6 @@ def spark():
 
 @pytest.fixture(scope="session")
 def duck():
-    from harness import connect
+    from harness import DATA, connect
 
     return connect(DATA)

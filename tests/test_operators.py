@@ -407,3 +407,43 @@ def test_survivors_are_the_heaviest():
     w = {"a": 1.0, "b": 1.0, "c": 0.9, "d": 0.85, "e": 0.1, "f": 0.05, "g": 0.0}
     assert W.survivors(w, k_min=1) == ["a", "b", "c", "d", "e"] and W.survivors(w) == list(w)
     assert W.survivors({"a": 1.0, "b": 0.0}, k_min=1) == ["a"] and W.survivors({"a": 1.0, "b": 0.4, "c": 0.2}, k_min=1) == ["a", "b"]
+
+
+def test_pair_agreement_ranks_and_perfect_fit(spark):
+    def spearman(u, v):
+        rank = lambda z: np.array([(z < t).sum() + ((z == t).sum() + 1) / 2 for t in z])
+        return np.corrcoef(rank(u), rank(v))[0, 1]
+
+    x = np.random.default_rng(21).normal(size=(70, 3))
+    x[5] = x[6]
+    p = points(spark, x)
+    low = p.select("id", F.slice("vec", 1, 1).alias("v"))
+    r = LA.pair_agreement(p, low).first()
+    i, j = np.triu_indices(70, 1)
+    a, b = np.linalg.norm(x[i] - x[j], axis=1), np.abs(x[i, 0] - x[j, 0])
+    a, b = a[(a > 0) & (b > 0)], b[(a > 0) & (b > 0)]
+    assert r["n"] == len(a)
+    assert abs(r["spearman"] - spearman(a, b)) < 1e-6 and abs(r["pearson"] - np.corrcoef(a, b)[0, 1]) < 1e-9
+    assert abs(r["stress1"] - np.sqrt(((a - b) ** 2).sum() / (a ** 2).sum())) < 1e-9
+    same = LA.pair_agreement(p, p.select("id", F.col("vec").alias("v"))).first()
+    assert same["stress1"] == 0 and abs(same["spearman"] - 1) < 1e-12 and abs(same["pearson"] - 1) < 1e-12
+
+
+def test_spanning_tree_against_kruskal(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(a), int(b), float(rng.integers(1, 6))) for a, b in rng.integers(0, 60, (150, 2))] + [(100, 101, 1.0), (101, 100, .5), (7, 7, 0.0)]
+    label, want = {v: v for r in rows for v in r[:2]}, set()
+    for d, a, b in sorted((d, min(a, b), max(a, b)) for a, b, d in rows):
+        if label[a] != label[b]:
+            want.add((a, b, d))
+            old = label[b]
+            label = {v: label[a] if c == old else c for v, c in label.items()}
+    tree = G.spanning_tree(spark.createDataFrame(rows, "src bigint, dst bigint, d double"))
+    assert {tuple(r) for r in tree.collect()} == want
+    level = {r.id: (r.parent, r.level) for r in G.tree_levels(tree, spark.createDataFrame([(100,), (min(label),)], "id bigint")).collect()}
+    assert level[100] == (None, 0) and level[101] == (100, 1)
+    around = {frozenset(e[:2]) for e in want}
+    for v, (parent, depth) in level.items():
+        assert depth == 0 or (level[parent][1] == depth - 1 and frozenset((v, parent)) in around)
+    assert set(level) == {v for v, c in label.items() if c in (label[100], label[min(label)])}
+    assert G.spanning_tree(spark.createDataFrame([], "src bigint, dst bigint, d double")).count() == 0

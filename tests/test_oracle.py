@@ -1,8 +1,7 @@
 """Every registered query with SQL must give the rows that SQL gives."""
 
 import pytest
-from conftest import DATA
-from harness import compare
+from harness import DATA, compare
 
 from tessera import plans
 from tessera.plans.registry import ORACLE, QUERIES

@@ -86,7 +86,7 @@ def test_flat_frames_have_no_curvature(spark):
     pts = spark.createDataFrame(rows, "id bigint, base array<double>, x array<double>")
     framed = B.frames(pts, grid(spark, (-1, 1), (-1, 1), 4, 4))
     assert B.common_rank(framed) == 2
-    framed = B.anchored(framed, 2)
+    framed = B.along_tree(framed, 2)
     edges = B.connection(framed, 2)
     assert edges.count() == 24 and edges.agg(F.max("theta_rms")).first()[0] < 0.05
     curv = B.curvature(edges, framed, 2)
@@ -141,3 +141,23 @@ def test_group_weights_equal_row_weights(spark):
 def test_levels_are_checked_before_they_become_columns(spark):
     with pytest.raises(ValueError, match="levels"):
         E.design(spark.range(500).select("id", F.col("id").cast("string").alias("s")), "id", [], ["s"], max_levels=50)
+
+
+def test_frames_follow_the_tree(spark):
+    """One frame turned at random at every node of a lattice: along the tree all turns are undone."""
+    rng = np.random.default_rng(4)
+    base = np.linalg.qr(rng.normal(size=(6, 3)))[0]
+    rows = []
+    for ix in range(4):
+        for iy in range(3):
+            if (ix, iy) in ((1, 0), (1, 1), (1, 2)):
+                continue  # two parts
+            r = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+            r[:, 0] *= np.sign(np.linalg.det(r))
+            rows.append((10 * ix + iy, ix, iy, float(ix), float(iy), 3, [0.0] * 6, (base @ r).T.ravel().tolist()))
+    framed = spark.createDataFrame(rows, "node bigint, ix int, iy int, gx double, gy double, rank int, mu array<double>, q array<double>")
+    assert B.connection(framed, 3).agg({"fro_log": "max"}).first()[0] > 0.5
+    turned = B.along_tree(framed, 3)
+    assert turned.count() == len(rows) and turned.columns == framed.columns
+    assert B.connection(turned, 3).agg({"fro_log": "max"}).first()[0] < 1e-6
+    assert B.connection(turned, 3).agg({"theta_rms": "max"}).first()[0] < 1e-6
