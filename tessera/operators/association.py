@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,15 +110,16 @@ def audit(t: DataFrame, min_total: int = 10, min_in: int = 5, min_out: int = 5)
 def enrichment(
     t: DataFrame, alpha: float = 0.05, min_prev_in: float = 0.10, min_or: float = 2.0,
     min_total: int = 10, min_in: int = 5, min_out: int = 5, min_cluster: int = 0,
+    within: Sequence[str] = ("cluster",),
 ) -> DataFrame:
-    """One-sided enrichment per eligible cell, FDR inside each cluster, majors flagged."""
+    """One-sided enrichment per eligible cell, FDR inside each cluster (or each group of `within`), majors flagged."""
     t = with_lifts(t.where(guarded(t, min_total, min_in, min_out) & (F.col("n_in") >= min_cluster)))
     t = t.withColumn(
         "p",
         F.when(F.col("a") == F.col("n_in"), exact.binomial_by_direction("a", "n_in", "prev_all"))
         .otherwise(exact.fisher_greater("a", "b", "c", "d")),
     ).withColumn("or_cmle", exact.conditional_odds_ratio("a", "b", "c", "d"))
-    t = benjamini_hochberg(t, "p", "q", ["cluster"])
+    t = benjamini_hochberg(t, "p", "q", list(within))
     major = (F.col("q") <= alpha) & (F.col("prev_in") >= min_prev_in) & (F.col("or_cmle") >= min_or)
     return t.withColumn("major", major.cast("bigint"))
 

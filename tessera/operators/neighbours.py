@@ -359,29 +359,63 @@ def closer_counts(pairs: DataFrame, points: DataFrame, metric: Metric = Metric()
     return partial.groupBy("i", "j").agg((F.sum("n") + 1).alias("rank"))
 
 
-def medoid_clusters(points: DataFrame, k: int, metric: Metric = Metric(), rounds: int = 8) -> DataFrame:
-    """(id, vec, cluster): k medoids by turns of assignment and medoid update.
+def medoid_clusters(points: DataFrame, k: int, metric: Metric = Metric(), max_swaps: int = 1_000) -> DataFrame:
+    """(id, vec, cluster): k medoids by greedy choice, then swaps until none lowers the summed distance.
 
-    Medoids travel with the tasks; an update sums distances inside clusters
-    block by block.
+    The change that every (medoid, candidate) swap makes is one sum over all
+    points, from their distances to the nearest and second nearest medoid: blocks
+    of candidates meet blocks of points and give k numbers a candidate.  Ties go
+    to the smallest id.  Medoids, k rows, travel with the tasks.
     """
-    from tessera.operators.intrinsic import spread_start
+    pts = cut_lineage(points.select("id", "vec"))
+    k = min(k, pts.count())
+    taken: list[tuple[int, list[float]]] = []
 
-    now = spread_start(points, k, metric)
-    placed = None
-    for _ in range(rounds):
-        nodes = np.array([v for _, v in now], dtype=float)
+    def located() -> DataFrame:
+        nodes = np.array([v for _, v in taken], dtype=float)
 
-        def assign(batches):
+        def nearest(batches):
             for pdf in batches:
                 if len(pdf):
-                    yield pdf.assign(cluster=metric.between(_matrix(pdf["vec"]), nodes).argmin(1).astype("int64"))
-
-        placed = cut_lineage(points.select("id", "vec").mapInPandas(assign, "id bigint, vec array<double>, cluster bigint"))
-        sums = cluster_distances(placed, metric).where("cluster = other")
-        best = sums.groupBy("cluster").agg(F.min_by("id", F.struct("s", "id")).alias("id"))
-        found = [(r["id"], r["vec"]) for r in best.join(points.select("id", "vec"), "id").orderBy("cluster").collect()]
-        if [i for i, _ in found] == [i for i, _ in now]:
-            break
-        now = found
-    return placed
+                    d = metric.between(_matrix(pdf["vec"]), nodes)
+                    own = d.argmin(1)
+                    first = d[np.arange(len(d)), own]
+                    d[np.arange(len(d)), own] = np.inf
+                    yield pdf.assign(own=own.astype("int64"), d1=first, d2=d.min(1))
+
+        return cut_lineage(pts.mapInPandas(nearest, "id bigint, vec array<double>, own bigint, d1 double, d2 double"))
+
+    def gains(x, y):
+        d = metric.between(_matrix(x["vec"]), _matrix(y["vec"]))
+        first, second, own = y["d1"].to_numpy(), y["d2"].to_numpy(), y["own"].to_numpy()
+        closer = np.minimum(d - first, 0)
+        left = np.minimum(d, second) - first - closer  # what more a point pays whose medoid goes
+        change = np.stack([left[:, own == m].sum(1) for m in range(len(taken))], 1) + closer.sum(1)[:, None]
+        return pd.DataFrame({"id": x["id"].to_numpy(), "s": list(change), "more": closer.sum(1)})
+
+    def total(x, y):
+        return pd.DataFrame({"id": x["id"].to_numpy(), "s": metric.between(_matrix(x["vec"]), _matrix(y["vec"])).sum(1)})
+
+    def row(i: int) -> tuple[int, list[float]]:
+        return i, list(pts.where(F.col("id") == i).first()["vec"])
+
+    def candidates() -> DataFrame:
+        return pts.where(~F.col("id").isin([i for i, _ in taken]))
+
+    while len(taken) < k:
+        if not taken:
+            sums = all_pairs_reduce(pts, pts, total, "id bigint, s double").groupBy("id").agg(F.sum("s").alias("s"))
+        else:
+            sums = all_pairs_reduce(candidates(), located(), gains, "id bigint, s array<double>, more double").groupBy("id").agg(F.sum("more").alias("s"))
+        taken = sorted([*taken, row(sums.orderBy(F.round("s", 9), "id").first()["id"])])
+    for _ in range(max_swaps):
+        placed = located()
+        if k == placed.count():
+            return placed.select("id", "vec", F.col("own").alias("cluster"))
+        parts = all_pairs_reduce(candidates(), placed, gains, "id bigint, s array<double>, more double")
+        sums = parts.groupBy("id").agg(F.array(*[F.sum(F.col("s")[m]) for m in range(k)]).alias("s"))
+        best = sums.select("id", F.posexplode("s").alias("m", "change")).orderBy(F.round("change", 9), "id", "m").first()
+        if best["change"] > -1e-9:
+            return placed.select("id", "vec", F.col("own").alias("cluster"))
+        taken = sorted([*[t for m, t in enumerate(taken) if m != best["m"]], row(best["id"])])
+    raise RuntimeError(f"swaps still lower the distance after {max_swaps}")

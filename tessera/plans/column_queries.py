@@ -9,6 +9,7 @@ from tessera.functions.scalar import choose2, clip, estimate_text, r6
 from tessera.operators import association as A
 from tessera.operators import labels as L
 from tessera.operators import neighbours as N
+from tessera.operators import soft_clusters as S
 from tessera.operators.geometry import grid
 from tessera.plans import registry as R
 from tessera.plans.registry import query
@@ -150,6 +151,34 @@ def medoid_clusters(spark, root):
     return N.medoid_clusters(cut_lineage(embedded(spark, root).select("id", "vec")), 4).select("id", "cluster")
 
 
+_TWO = """WITH e AS (SELECT vec_id AS id, (label % 4)::BIGINT AS cluster,
+    (CASE WHEN embedding[1] > 0 THEN 2 ELSE 0 END + CASE WHEN embedding[2] > 0 THEN 1 ELSE 0 END)::BIGINT AS reference FROM embeddings),
+n AS (SELECT cluster, reference, count(*) AS n FROM e GROUP BY 1, 2)"""
+
+
+def _two_partitions(spark, root):
+    e = table(spark, root, "embeddings", "vec_id", "embedding", "label")
+    side = lambda i: (F.element_at("embedding", i) > 0).cast("bigint")
+    own = e.select(F.col("vec_id").alias("id"), (F.col("label") % 4).cast("bigint").alias("cluster"))
+    return own, e.select(F.col("vec_id").alias("id"), (2 * side(1) + side(2)).cast("bigint").alias("cluster"))
+
+
+@query("i42_relabel", _TWO + """, k AS (SELECT DISTINCT reference AS r FROM n),
+p AS (SELECT a.r AS c0, b.r AS c1, c.r AS c2, d.r AS c3 FROM k a, k b, k c, k d WHERE a.r NOT IN (b.r, c.r, d.r) AND b.r NOT IN (c.r, d.r) AND c.r <> d.r),
+w AS (SELECT c0, c1, c2, c3, sum(n) AS total FROM p JOIN n ON reference = CASE cluster WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END GROUP BY ALL),
+b AS (SELECT * FROM w ORDER BY total DESC, c0, c1, c2, c3 LIMIT 1)
+SELECT cluster, reference, n FROM n, b WHERE reference = CASE cluster WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END""")
+def relabel(spark, root):
+    """Each cluster, the reference name it gets, and the rows that agree."""
+    names, counts = S.relabel(*_two_partitions(spark, root))
+    return names.join(counts, ["cluster", "reference"]).select("cluster", "reference", "n")
+
+
+@query("i42_contingency", _TWO + " SELECT cluster, reference, n FROM n")
+def contingency_after(spark, root):
+    return S.relabel(*_two_partitions(spark, root))[1]
+
+
 @query("i7_epsilon_groups")
 def epsilon_groups(spark, root):
     from tessera.operators import encoding as E

@@ -69,25 +69,26 @@ def run_summary(spark, root):
 
 @query("q11_selection_frequency")
 def selection_frequency(spark, root):
-    """How often each label is enriched in bootstrap draws of subjects, with a binomial interval.
+    """How often each label is a major one in bootstrap draws of subjects, with a binomial interval.
 
     A draw gives every (cluster, profile) group a Poisson weight in total: the
-    sum of its subjects' Poisson(1) weights.
+    sum of its subjects' Poisson(1) weights.  Inside a draw majors are chosen as
+    in `q5_majors`; a draw counts as a trial of the labels it could have chosen.
     """
-    reps = 50
+    reps = 200
     a = assigned_orders(spark, root, "p_brand").select("id", "cluster", "labels")
-    drawn = Rs.poisson_counts(a, ["cluster", "labels"], reps)
-    flat = cut_lineage(drawn.where("w > 0"))
-    size = flat.groupBy("rep", "cluster").agg(F.sum("w").alias("n_in"))
-    pos = flat.select("rep", "cluster", "w", F.explode("labels").alias("label")).groupBy("rep", "cluster", "label").agg(F.sum("w").alias("a"))
+    flat = cut_lineage(Rs.poisson_counts(a, ["cluster", "labels"], reps).where("w > 0"))
+    size = flat.groupBy("rep", "cluster").agg(F.sum("w").cast("bigint").alias("n_in"))
+    pos = flat.select("rep", "cluster", "w", F.explode("labels").alias("label")).groupBy("rep", "cluster", "label").agg(F.sum("w").cast("bigint").alias("a"))
     tot = pos.groupBy("rep", "label").agg(F.sum("a").alias("n_pos"))
     n = size.groupBy("rep").agg(F.sum("n_in").alias("n"))
     t = pos.join(size, ["rep", "cluster"]).join(tot, ["rep", "label"]).join(n, "rep").select(
         "rep", "cluster", "label", "a", (F.col("n_pos") - F.col("a")).alias("b"), (F.col("n_in") - F.col("a")).alias("c"),
-        (F.col("n") - F.col("n_in") - F.col("n_pos") + F.col("a")).alias("d"))
-    t = t.where(A.guarded(t)).withColumn("p", exact.fisher_greater("a", "b", "c", "d"))
-    picked = t.groupBy("rep", "label").agg(F.min("p").alias("p")).groupBy("label").agg(
-        F.sum((F.col("p") <= 0.05).cast("bigint")).alias("count"), F.count(F.lit(1)).alias("trials"))
+        (F.col("n") - F.col("n_in") - F.col("n_pos") + F.col("a")).alias("d"), "n_in", "n")
+    t = A.enrichment(t, within=("rep", "cluster"))
+    gate = (F.col("prev_all") >= 0.03) | (F.col("a") + F.col("b") >= 5)
+    picked = t.where(gate).groupBy("rep", "label").agg(F.max("major").alias("major")).groupBy("label").agg(
+        F.sum("major").alias("count"), F.count(F.lit(1)).alias("trials"))
     freq = picked.withColumn("freq", F.col("count") / F.col("trials"))
     q = lambda u: exact.binomial_quantile(F.lit(u), "trials", "freq") / F.col("trials")
     return freq.select("label", "count", "trials", "freq", q(0.025).alias("lo"), q(0.975).alias("hi"))

@@ -161,3 +161,43 @@ def test_frames_follow_the_tree(spark):
     assert turned.count() == len(rows) and turned.columns == framed.columns
     assert B.connection(turned, 3).agg({"fro_log": "max"}).first()[0] < 1e-6
     assert B.connection(turned, 3).agg({"theta_rms": "max"}).first()[0] < 1e-6
+
+
+def test_medoids_against_all_swaps(spark):
+    x = np.random.default_rng(31).normal(size=(60, 2))
+    x[7] = x[8]
+    d, k = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 4
+    cost = lambda m: d[:, sorted(m)].min(1).sum()
+    best = lambda options: min(options, key=lambda o: (round(cost(o[0]), 9), *o[1:]))[0]
+    taken = set()
+    while len(taken) < k:
+        taken = best([(taken | {c}, c) for c in range(60) if c not in taken])
+    while True:
+        swapped = best([(taken - {m} | {c}, c, i) for i, m in enumerate(sorted(taken)) for c in range(60) if c not in taken])
+        if cost(swapped) > cost(taken) - 1e-9:
+            break
+        taken = swapped
+    got = {r.id: r.cluster for r in N.medoid_clusters(points(spark, x), k).collect()}
+    assert got == {i: int(d[i, sorted(taken)].argmin()) for i in range(60)}
+    assert len({r.cluster for r in N.medoid_clusters(points(spark, x[:3]), 5).collect()}) == 3
+
+
+def test_matching_and_relabelling(spark):
+    from itertools import permutations
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        rows, cols = rng.integers(1, 6, 2)
+        table = rng.integers(0, 4, (rows, cols)).astype(float)
+        n = max(rows, cols)
+        full = np.zeros((n, n))
+        full[:rows, :cols] = table
+        want = min(permutations(range(n)), key=lambda p: (-sum(full[i, j] for i, j in enumerate(p)), p))
+        assert S.first_matching(table) == list(want[:rows])
+    rows = [(i, i % 3, "bca"[i % 3] if i % 7 else "a") for i in range(60)]
+    t = spark.createDataFrame(rows, "id bigint, cluster bigint, name string")
+    names, counts = S.relabel(t.select("id", "cluster"), t.select("id", F.col("name").alias("cluster")))
+    assert {r.cluster: r.reference for r in names.collect()} == {0: "b", 1: "c", 2: "a"}
+    assert counts.agg({"n": "sum"}).first()[0] == 60
+    soft = spark.createDataFrame([(1, [0.2, 0.3, 0.5])], "id bigint, u array<double>")
+    assert S.aligned(soft, names).first().u == [0.5, 0.2, 0.3]
