@@ -160,3 +160,86 @@ def surface_shape(points: DataFrame, grid: DataFrame, knots: int = 36, step: flo
 
     curv = quantiles(inner.select(hess.alias("h")).where("h is not null"), "h", {"curv_med": 0.5, "curv_p95": 0.95}).select("curv_med", "curv_p95")
     return full.select("gx", "gy", "du", "dv", F.sqrt(F.col("du") ** 2 + F.col("dv") ** 2).alias("jac")), curv
+
+
+#: Distances are narrowed down by this many bits a pass.
+RADIX = 12
+
+
+def reach(values: DataFrame, nodes: np.ndarray, q: int) -> np.ndarray:
+    """Distance from each node to its q-th nearest value of the column `t`, exactly.
+
+    A radix selection on the bits of the distance: each pass counts, per node, the
+    distances that share the leading bits found so far by their next 12 bits.
+    """
+    nodes = np.asarray(nodes, dtype=float)
+    known, left = np.zeros(len(nodes), dtype=np.int64), np.full(len(nodes), q, dtype=np.int64)
+    for done in range(0, 72, RADIX):
+        shift = max(0, 64 - done - RADIX)
+        above = 64 - done
+        prefix = known.copy()
+
+        def count(batches):
+            for pdf in batches:
+                t = pdf["t"].to_numpy(dtype=float)
+                for i, node in enumerate(nodes):
+                    bits = np.abs(t - node).view(np.int64)
+                    same = bits if done == 0 else bits[bits >> above == prefix[i]]
+                    digit, n = np.unique(same >> shift, return_counts=True)
+                    yield pd.DataFrame({"node": i, "digit": digit, "n": n})
+
+        found = values.select("t").mapInPandas(count, "node int, digit bigint, n bigint").groupBy("node", "digit").agg(
+            F.sum("n").alias("n")).toPandas()
+        for i, part in found.sort_values("digit").groupby("node"):
+            upto = part["n"].cumsum().to_numpy()
+            at = int(np.searchsorted(upto, left[i]))
+            left[i] -= upto[at - 1] if at else 0
+            known[i] = part["digit"].iloc[at]
+        if shift == 0:
+            break
+    return known.view(np.float64)
+
+
+def local_regression(rows: DataFrame, nodes, responses: list[str], span: float = 0.2, degree: int = 2) -> DataFrame:
+    """(node, t, responses...): tricube-weighted local polynomials of the responses on `t`, at the nodes.
+
+    A neighbourhood is the floor(span * n) nearest rows and those that tie with the
+    farthest of them, which weigh nothing; rows with a NULL in t or a response do not count.
+    Each task reduces its rows to a few weighted moments per node, so what moves
+    does not grow with the rows.  Where a neighbourhood cannot carry the
+    polynomial (few distinct t) the solution of least norm is taken; a
+    neighbourhood of one distinct t gives the mean of its rows.
+    """
+    nodes = np.asarray(nodes, dtype=float)
+    used = cut_lineage(rows.select(F.col("t").cast("double").alias("t"), *[F.col(c).cast("double").alias(c) for c in responses]).dropna())
+    q = int(np.floor(span * used.count() + 1e-5))
+    schema = "node bigint, t double, " + ", ".join(f"{c} double" for c in responses)
+    if q < 1:
+        return used.sparkSession.createDataFrame([(i, float(x), *[None] * len(responses)) for i, x in enumerate(nodes)], schema)
+    h = reach(used, nodes, q)
+    powers = 2 * degree + 1
+    width = powers + (degree + 1) * len(responses)
+
+    def moments(batches):
+        total = np.zeros((len(nodes), width))
+        for pdf in batches:
+            t, y = pdf["t"].to_numpy(), pdf[responses].to_numpy()
+            for i, node in enumerate(nodes):
+                gap = t - node
+                near = np.abs(gap) <= h[i] if h[i] == 0 else np.abs(gap) < h[i]
+                x = gap[near] / h[i] if h[i] > 0 else np.zeros(near.sum())
+                w = (1 - np.abs(x) ** 3) ** 3
+                p = w[:, None] * x[:, None] ** np.arange(powers)
+                total[i, :powers] += p.sum(0)
+                total[i, powers:] += (p[:, :degree + 1].T @ y[near]).ravel()
+        yield pd.DataFrame({"node": np.arange(len(nodes)), "m": list(total)})
+
+    sums = used.mapInPandas(moments, "node bigint, m array<double>").groupBy("node").agg(
+        F.array(*[F.sum(F.col("m")[j]) for j in range(width)]).alias("m")).toPandas().set_index("node")["m"]
+    out = []
+    for i, node in enumerate(nodes):
+        m = np.asarray(sums[i])
+        gram = m[np.add.outer(np.arange(degree + 1), np.arange(degree + 1))]
+        beta = np.linalg.pinv(gram, rcond=1e-12, hermitian=True) @ m[powers:].reshape(degree + 1, -1)
+        out.append((i, float(node), *map(float, beta[0] if m[0] > 0 else np.full(len(responses), np.nan))))
+    return used.sparkSession.createDataFrame(out, schema)

@@ -33,6 +33,26 @@ def rolling_normal(spark, root):
     return Cu.rolling_normal(Cu.principal_curve(_three(spark, root), rounds=2))
 
 
+@query("j34_local_regression", """
+WITH e AS (SELECT embedding[1]::DOUBLE AS t, embedding[2]::DOUBLE AS u, embedding[3]::DOUBLE AS v FROM embeddings),
+k AS (SELECT min(t) AS lo, max(t) AS hi, floor(0.2::DOUBLE * count(*) + 0.00001::DOUBLE)::BIGINT AS q FROM e),
+g AS (SELECT i AS node, lo + i * (hi - lo) / 39 AS x, q FROM k, range(40) r(i)),
+d AS (SELECT node, x, q, t - x AS gap, u, v, row_number() OVER (PARTITION BY node ORDER BY abs(t - x)) AS r FROM g, e),
+h AS (SELECT node, max(abs(gap)) AS h FROM d WHERE r <= q GROUP BY node),
+w AS (SELECT node, x, gap / h AS z, pow(1 - pow(abs(gap / h), 3), 3) AS w, u, v FROM d JOIN h USING (node) WHERE abs(gap) < h),
+m AS (SELECT node, x, sum(w) AS s0, sum(w*z) AS s1, sum(w*z*z) AS s2, sum(w*z*z*z) AS s3, sum(w*z*z*z*z) AS s4,
+  sum(w*u) AS u0, sum(w*z*u) AS u1, sum(w*z*z*u) AS u2, sum(w*v) AS v0, sum(w*z*v) AS v1, sum(w*z*z*v) AS v2 FROM w GROUP BY 1, 2),
+c AS (SELECT *, s0*(s2*s4 - s3*s3) - s1*(s1*s4 - s2*s3) + s2*(s1*s3 - s2*s2) AS det FROM m)
+SELECT node, round(x, 6) + 0.0 AS t, round((u0*(s2*s4 - s3*s3) - s1*(u1*s4 - s3*u2) + s2*(u1*s3 - s2*u2)) / det, 6) + 0.0 AS u,
+  round((v0*(s2*s4 - s3*s3) - s1*(v1*s4 - s3*v2) + s2*(v1*s3 - s2*v2)) / det, 6) + 0.0 AS v FROM c""")
+def local_regression(spark, root):
+    """Two coordinates smoothed along the first, at 40 nodes over its range."""
+    e = table(spark, root, "embeddings", "embedding").select(*[F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate("tuv")])
+    lo, hi = e.agg(F.min("t"), F.max("t")).first()
+    nodes = [lo + i * (hi - lo) / 39 for i in range(40)]
+    return Cu.local_regression(e, nodes, ["u", "v"]).select("node", *[r6(c).alias(c) for c in "tuv"])
+
+
 @query("j33_manifold_sweep")
 def manifold_sweep(spark, root):
     e = embedded(spark, root)

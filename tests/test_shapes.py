@@ -201,3 +201,30 @@ def test_matching_and_relabelling(spark):
     assert counts.agg({"n": "sum"}).first()[0] == 60
     soft = spark.createDataFrame([(1, [0.2, 0.3, 0.5])], "id bigint, u array<double>")
     assert S.aligned(soft, names).first().u == [0.5, 0.2, 0.3]
+
+
+def brute_local(t, y, node, span=0.2):
+    gap = np.abs(t - node)
+    h = np.sort(gap)[int(np.floor(span * len(t) + 1e-5)) - 1]
+    near = gap < h if h > 0 else gap <= h
+    x = (t[near] - node) / (h or 1.0)
+    root = np.sqrt((1 - np.abs(x) ** 3) ** 3)
+    return np.linalg.lstsq(root[:, None] * x[:, None] ** np.arange(3), root * y[near], rcond=1e-10)[0][0]
+
+
+def test_local_regression_equals_weighted_least_squares_with_ties_and_gaps(spark):
+    rng = np.random.default_rng(5)
+    t = np.concatenate([rng.uniform(0, 1, 120), np.repeat([0.3, 0.31, 0.5], 20), rng.uniform(4, 5, 60)])
+    y = np.sin(3 * t) + rng.normal(0, 0.1, len(t))
+    rows = [(float(a), float(b)) for a, b in zip(t, y)] + [(None, 1.0), (0.5, None)]
+    df = spark.createDataFrame(rows, "t double, y double").repartition(5)
+    nodes = [0.0, 0.3, 0.31, 0.77, 2.5, 5.0]
+    got = [r["y"] for r in Cu.local_regression(df, nodes, ["y"]).orderBy("node").collect()]
+    assert got == pytest.approx([brute_local(t, y, n) for n in nodes], abs=1e-7)
+    assert Cu.reach(df.dropna(), np.array(nodes), 48).tolist() == [np.sort(np.abs(t - n))[47] for n in nodes]
+
+
+def test_local_regression_of_one_value_and_of_nothing(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 4.0)] * 5, "t double, y double")
+    assert Cu.local_regression(df, [1.0], ["y"]).first()["y"] == pytest.approx(3.0)
+    assert Cu.local_regression(df.where("t > 1"), [1.0], ["y"]).first()["y"] is None
