@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import both_ways, degrees
 from tessera.operators.neighbours import Metric, _matrix, all_pairs_reduce
+from tessera.operators.scaling import distance_product, leading_axes
 from tessera.session import cut_lineage
 
 
@@ -155,24 +156,6 @@ def _rayleigh(v: DataFrame, av: DataFrame, m: int) -> np.ndarray:
     return np.array(v.join(av, "id").agg(F.array(*cells)).first()[0]).reshape(m, m)
 
 
-def _subspace(start: DataFrame, apply, m: int, keep: int, rounds: int, tol: float) -> tuple[DataFrame, np.ndarray]:
-    """Leading eigenvectors by block iteration with projection; `apply` maps (id, v) to (id, a)."""
-    v, last = cut_lineage(_orthonormal(start, m)), None
-    for turn in range(rounds + 1):
-        av = cut_lineage(apply(v))
-        h = _rayleigh(v, av, m)
-        val, vec = np.linalg.eigh((h + h.T) / 2)
-        order = np.argsort(val)[::-1]
-        val, vec = val[order], vec[:, order]
-        settled = last is not None and np.max(np.abs(val[:keep] - last[:keep])) <= tol * max(1e-12, abs(val[0]))
-        if settled or turn == rounds:
-            break
-        last = val
-        v = cut_lineage(_orthonormal(av.select("id", F.col("a").alias("v")), m))
-    out = v.withColumn("v", _combine("v", vec[:, :keep]))
-    return out, val[:keep]
-
-
 def _signed(table: DataFrame, keep: int) -> DataFrame:
     """Flip each column so that its largest entry in size is positive."""
     flip = table.agg(*[F.max_by(F.signum(F.col("v")[j]), F.struct(F.abs(F.col("v")[j]), -F.col("id"))).alias(f"s{j}") for j in range(keep)]).first()
@@ -232,33 +215,17 @@ def laplacian_eigenmaps(edges: DataFrame, dims: int = 3, rounds: int = 6, degree
     return _signed(v.select("id", F.slice("v", 2, dims).alias("v")), dims)
 
 
-def squared_distance_apply(points: DataFrame, metric: Metric, m: int):
-    """B v for the doubly centred matrix B = -1/2 J D^2 J, block by block."""
-
-    def apply(v: DataFrame) -> DataFrame:
-        right = points.join(v, "id").select("id", "vec", "v")
-
-        def reduce(x, y):
-            d2 = metric.between(_matrix(x["vec"]), _matrix(y["vec"])) ** 2
-            return pd.DataFrame({"id": x["id"].to_numpy(), "s": list(d2 @ _matrix(y["v"]))})
-
-        means = v.agg(F.array(*[F.avg(F.col("v")[j]) for j in range(m)])).first()[0]
-        centred = right.withColumn("v", F.array(*[F.col("v")[j] - F.lit(float(means[j])) for j in range(m)]))
-        parts = all_pairs_reduce(points.select("id", "vec"), centred, reduce, "id bigint, s array<double>")
-        sums = cut_lineage(parts.groupBy("id").agg(F.array(*[F.sum(F.col("s")[j]) for j in range(m)]).alias("s")))
-        centre = sums.agg(F.array(*[F.avg(F.col("s")[j]) for j in range(m)])).first()[0]
-        return sums.select("id", F.array(*[-0.5 * (F.col("s")[j] - F.lit(float(centre[j]))) for j in range(m)]).alias("a"))
-
-    return apply
+def classical_scaling(points: DataFrame, dims: int, metric: Metric = Metric(), tol: float = 1e-7, spare: int = 4) -> DataFrame:
+    """(id, v): coordinates whose distances approximate the metric; n x n never exists."""
+    pts = cut_lineage(points.select("id", "vec", F.lit(-1).alias("held")))
+    axes, val = leading_axes(pts, distance_product(pts, metric, 1, dims + spare), dims, 1, spare, tol)
+    return _scaled(axes, val[0], dims)
 
 
-def classical_scaling(points: DataFrame, dims: int, metric: Metric = Metric(), rounds: int = 12, tol: float = 1e-7, spare: int = 4) -> DataFrame:
-    """(id, v): coordinates whose distances approximate the metric; n x n never exists."""
-    pts = cut_lineage(points.select("id", "vec"))
-    m = dims + spare
-    out, val = _subspace(_seeded(pts, m), squared_distance_apply(pts, metric, m), m, dims, rounds, tol)
-    scale = np.diag(np.sqrt(np.maximum(val, 0.0)))
-    return _signed(out.withColumn("v", _combine("v", scale)), dims)
+def _scaled(axes: DataFrame, values: np.ndarray, dims: int) -> DataFrame:
+    """(id, v): axes times the roots of their values, none below zero."""
+    scale = np.diag(np.sqrt(np.maximum(values, 0.0)))
+    return _signed(axes.select("id", _combine("w", scale).alias("v")), dims)
 
 
 #: Distances rank by their leading bits: a range spans a 2^-20 part of its values at most.
@@ -360,7 +327,7 @@ def geodesics(edges: DataFrame, ids: DataFrame, length: str = "d", batch: int =
     return out
 
 
-def geodesic_scaling(paths: DataFrame, ids: DataFrame, dims: int, rounds: int = 60, tol: float = 1e-7, spare: int = 8) -> DataFrame:
+def geodesic_scaling(paths: DataFrame, ids: DataFrame, dims: int, tol: float = 1e-7, spare: int = 8) -> DataFrame:
     """(id, v): classical scaling of the path lengths between all vertices.
 
     Vertices without a path are ten times the longest path apart.  The matrix is
@@ -370,17 +337,15 @@ def geodesic_scaling(paths: DataFrame, ids: DataFrame, dims: int, rounds: int =
     apart = 100.0 * (paths.agg(F.max("d")).first()[0] or 0.0) ** 2
 
     def apply(v: DataFrame) -> DataFrame:
-        means = v.agg(F.array(*[F.avg(F.col("v")[j]) for j in range(m)])).first()[0]
-        centred = v.select("id", F.array(*[F.col("v")[j] - F.lit(float(means[j])) for j in range(m)]).alias("o"))
         # As the columns sum to nothing, a constant for all pairs adds nothing: only its lack on paths does.
         weight = F.col("d") * F.col("d") - F.lit(apart)
-        sums = cut_lineage(paths.join(centred, "id").groupBy(F.col("source").alias("id")).agg(
-            F.array(*[F.sum(weight * F.col("o")[j]) for j in range(m)]).alias("s")))
+        sums = cut_lineage(paths.join(v.select("id", "v"), "id").groupBy(F.col("source").alias("id")).agg(
+            F.array(*[F.sum(weight * F.col("v")[j]) for j in range(m)]).alias("s")))
         centre = sums.agg(F.array(*[F.avg(F.col("s")[j]) for j in range(m)])).first()[0]
-        return sums.select("id", F.array(*[-0.5 * (F.col("s")[j] - F.lit(float(centre[j]))) for j in range(m)]).alias("a"))
+        return sums.select("id", F.array(*[-0.5 * (F.col("s")[j] - F.lit(float(centre[j]))) for j in range(m)]).alias("image"))
 
-    out, val = _subspace(_seeded(ids, m), apply, m, dims, rounds, tol)
-    return _signed(out.withColumn("v", _combine("v", np.diag(np.sqrt(np.maximum(val, 0.0))))), dims)
+    axes, val = leading_axes(ids.select("id", F.lit(-1).alias("held")), apply, dims, 1, spare, tol)
+    return _scaled(axes, val[0], dims)
 
 
 def isomap_residual(paths: DataFrame, coords: DataFrame, dims: Sequence[int]) -> DataFrame:

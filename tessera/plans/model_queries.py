@@ -14,6 +14,7 @@ from tessera.operators import models as Md
 from tessera.operators import neighbours as N
 from tessera.operators import ordered as O
 from tessera.operators import resample as Rs
+from tessera.operators import scaling as Sc
 from tessera.operators.geometry import convex_hull, grid
 from tessera.plans import registry as R
 from tessera.plans.association_queries import customer_status
@@ -55,6 +56,13 @@ def scaling(spark, root):
     return v.select("id", r6(F.col("v")[0]).alias("m1"), r6(F.col("v")[1]).alias("m2"))
 
 
+@query("i17_scaling_cv")
+def scaling_cv(spark, root):
+    """Mean over five folds of the squared correlation of distances, for one to eight coordinates."""
+    t = Sc.scaling_cv(embedded(spark, root).select("id", "vec"))
+    return t.groupBy("k").agg(F.count("r2").alias("folds"), r6(F.avg("r2")).alias("r2"))
+
+
 @query("i15_laplacian_eigenmaps")
 def eigenmaps(spark, root):
     v = LA.laplacian_eigenmaps(embedded_graph(spark, root), 3)
