@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import both_ways, degrees
 from tessera.operators.neighbours import Metric, _matrix, all_pairs_reduce
-from tessera.operators.scaling import distance_product, leading_axes
+from tessera.operators.scaling import SPARE, TOLERANCE, distance_product, leading_axes
 from tessera.session import cut_lineage
 
 
@@ -215,7 +215,7 @@ def laplacian_eigenmaps(edges: DataFrame, dims: int = 3, rounds: int = 6, degree
     return _signed(v.select("id", F.slice("v", 2, dims).alias("v")), dims)
 
 
-def classical_scaling(points: DataFrame, dims: int, metric: Metric = Metric(), tol: float = 1e-7, spare: int = 4) -> DataFrame:
+def classical_scaling(points: DataFrame, dims: int, metric: Metric = Metric(), tol: float = TOLERANCE, spare: int = SPARE) -> DataFrame:
     """(id, v): coordinates whose distances approximate the metric; n x n never exists."""
     pts = cut_lineage(points.select("id", "vec", F.lit(-1).alias("held")))
     axes, val = leading_axes(pts, distance_product(pts, metric, 1, dims + spare), dims, 1, spare, tol)
@@ -327,7 +327,7 @@ def geodesics(edges: DataFrame, ids: DataFrame, length: str = "d", batch: int =
     return out
 
 
-def geodesic_scaling(paths: DataFrame, ids: DataFrame, dims: int, tol: float = 1e-7, spare: int = 8) -> DataFrame:
+def geodesic_scaling(paths: DataFrame, ids: DataFrame, dims: int, tol: float = TOLERANCE, spare: int = SPARE) -> DataFrame:
     """(id, v): classical scaling of the path lengths between all vertices.
 
     Vertices without a path are ten times the longest path apart.  The matrix is

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import exact
 from tessera.functions.scalar import fold_of, r6
+from tessera.operators import absorption as Ab
 from tessera.operators import association as A
 from tessera.operators import communities as C
 from tessera.operators import encoding as E
@@ -106,6 +107,38 @@ def absorb(spark, root):
     return G.absorb_support(embedded_graph(spark, root), m).select("id", "cluster", r6("purity").alias("purity"), r6("med_d").alias("med_d"))
 
 
+def _absorption_input(spark, root):
+    """Graph, memberships (labels under 3 are leftovers), points, and the coordinates over 0.2 as labels."""
+    e = cut_lineage(embedded(spark, root))
+    m = e.select("id", F.when(F.col("cluster") < 3, 0).otherwise(1 + F.col("cluster") % 2).cast("bigint").alias("cluster"), F.lit(1).alias("mult"))
+    high = F.filter(F.transform("vec", lambda x, j: F.when(x > 0.2, j + 1)), lambda j: j.isNotNull())
+    return cut_lineage(embedded_graph(spark, root)), m, e.select("id", "vec"), e.select("id", high.alias("labels"))
+
+
+@query("i33_absorb_candidates", f"""
+WITH {R.embedded_nn(10)}, {R.graph('union', 2.0)}, bi AS (SELECT src, dst, w, d FROM ed UNION ALL SELECT dst, src, w, d FROM ed),
+m AS (SELECT id, v AS x, CASE WHEN cluster < 3 THEN 0 ELSE 1 + cluster % 2 END AS c FROM e),
+near AS (SELECT src, dst, b.c, d, w FROM bi JOIN m a ON a.id = src AND a.c = 0 JOIN m b ON b.id = dst AND b.c <> 0),
+votes AS (SELECT src, c, sum(w) AS s, count(*) AS k, median(d) AS med FROM near GROUP BY 1, 2),
+t AS (SELECT src, sum(s) AS tot, sum(k) AS k, max(s) AS top FROM votes GROUP BY 1),
+best AS (SELECT src, min(c) AS c FROM votes JOIN t USING (src) WHERE s = top AND t.k >= 3 AND top >= 0.7 * tot GROUP BY 1),
+reach AS (SELECT a.c, quantile_cont(list_distance(a.x, b.x), 0.75) AS q FROM m a JOIN m b ON a.c = b.c AND a.id < b.id WHERE a.c <> 0 GROUP BY 1),
+lab AS (SELECT id, unnest(list_filter(range(1, 65), lambda j: x[j] > 0.2)) AS label FROM m),
+sh AS (SELECT src, count(DISTINCT l.label) AS shared FROM best JOIN near USING (src, c) JOIN lab l ON l.id = dst JOIN lab o ON o.id = src AND o.label = l.label GROUP BY 1)
+SELECT src AS id, c::BIGINT AS cluster, round(top / tot, 6) AS purity, round(med, 6) AS med_d, round(q, 6) AS q, shared
+FROM best JOIN votes USING (src, c) JOIN t USING (src) JOIN reach USING (c) JOIN sh USING (src) WHERE med <= q""")
+def absorb_candidates(spark, root):
+    """Leftovers that meet the fixed conditions: support, neighbours, distance, a shared label."""
+    t = Ab.candidates(*_absorption_input(spark, root))
+    return t.select("id", "cluster", *[r6(c).alias(c) for c in ("purity", "med_d", "q")], "shared")
+
+
+@query("i33_absorbed")
+def absorbed(spark, root):
+    """The same with p from 200 shuffles, FDR over all candidates, and the decision."""
+    return Ab.absorb(*_absorption_input(spark, root)).select("id", "cluster", "p", "fdr", "absorbed")
+
+
 @query("i36_bootstrap_ari")
 def bootstrap_ari(spark, root):
     """Agreement of communities of bootstrap graphs with the full graph's, draws in one run."""
