@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.neighbours import Metric, _matrix, all_pairs_reduce
+from tessera.operators.neighbours import Metric, _matrix, all_pairs_reduce, knn
+from tessera.operators.ordered import quantiles
 from tessera.session import cut_lineage
 
 
@@ -36,34 +37,91 @@ def _nearest_group(points: DataFrame, eps: float, metric: Metric) -> DataFrame:
         "cluster", F.col("b.other").alias("other"), F.col("b.h").alias("h"))
 
 
-def complete_groups(points: DataFrame, eps: float, metric: Metric = Metric()) -> DataFrame:
-    """(id, cluster): complete linkage cut at eps; a group is named by its smallest id.
+def complete_tree(points: DataFrame, eps: float, metric: Metric = Metric()) -> tuple[DataFrame, DataFrame]:
+    """(id, vec) of the distinct points and (cluster, to, h) of all merges of complete linkage up to eps.
 
     Exact copies collapse first.  Then mutual nearest groups merge, all at once:
     complete linkage is reducible, so this gives the same tree as one merge at a
     time.  Block pairs return one row per pair of groups in reach, not per pair of
-    points.
+    points.  A group is named by its smallest id, and merges into a smaller name.
     """
     distinct = cut_lineage(points.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec", F.col("id").alias("cluster")))
-    now = distinct
+    now, merges = distinct, None
     while True:  # each round merges the nearest pair at least
         near = cut_lineage(_nearest_group(now, eps, metric))
         back = near.select(F.col("other").alias("cluster"), F.col("cluster").alias("other"))
-        merge = cut_lineage(near.join(back, ["cluster", "other"]).where("other < cluster").select("cluster", F.col("other").alias("to")))
+        merge = cut_lineage(near.join(back, ["cluster", "other"]).where("other < cluster").select("cluster", F.col("other").alias("to"), "h"))
+        merges = merge if merges is None else merges.unionByName(merge)
         if merge.isEmpty():
-            break
-        now = cut_lineage(now.join(merge, "cluster", "left").select("id", "vec", F.coalesce("to", "cluster").alias("cluster")))
-    return points.select("id", "vec").join(now.select("vec", "cluster"), "vec").select("id", "cluster")
+            return distinct.select("id", "vec"), cut_lineage(merges)
+        now = cut_lineage(now.join(merge.select("cluster", "to"), "cluster", "left").select("id", "vec", F.coalesce("to", "cluster").alias("cluster")))
+
+
+def groups_at(points: DataFrame, tree: tuple[DataFrame, DataFrame], eps: float) -> DataFrame:
+    """(id, cluster): the tree cut at eps; names follow their merges to the end, two steps at a time."""
+    distinct, merges = tree
+    name = cut_lineage(distinct.select("id").join(merges.where(F.col("h") <= eps).select(F.col("cluster").alias("id"), "to"), "id", "left").select(
+        "id", F.coalesce("to", "id").alias("cluster")))
+    while True:
+        onward = name.select(F.col("id").alias("cluster"), F.col("cluster").alias("next"))
+        moved = cut_lineage(name.join(onward, "cluster").select("id", F.col("next").alias("cluster"), (F.col("next") != F.col("cluster")).alias("moved")))
+        name = moved.select("id", "cluster")
+        if moved.where("moved").isEmpty():
+            return points.select("id", "vec").join(distinct.join(name, "id").select("vec", "cluster"), "vec").select("id", "cluster")
+
+
+def complete_groups(points: DataFrame, eps: float, metric: Metric = Metric()) -> DataFrame:
+    """(id, cluster): complete linkage cut at eps; a group is named by its smallest id."""
+    return groups_at(points, complete_tree(points, eps, metric), eps)
+
+
+def cuts(points: DataFrame, metric: Metric = Metric(), step: float = 0.005) -> list[float]:
+    """Cuts to try, from the distances of first neighbours.
+
+    From 0.02 under the smaller of their 0.001 and 0.01 quantiles (not under 0) to
+    their 0.3 quantile (not over 0.5).  These numbers are fixed values.
+    """
+    q = quantiles(knn(points, 1, metric).where(F.col("d") < float("inf")), "d", {"a": 0.001, "b": 0.01, "c": 0.30}).first()
+    if q is None or q["c"] is None:
+        return []
+    low, high = max(0.0, min(q["a"], q["b"]) - 0.02), min(0.50, q["c"])
+    return [low + i * step for i in range(int((high - low) / step + 1e-9) + 1)]
 
 
-def collapse_curve(points: DataFrame, grid: list[float], metric: Metric = Metric()) -> list[tuple[float, float]]:
-    """(eps, share of groups left) for each cut."""
-    n = points.count()
-    return [(e, complete_groups(points, e, metric).select("cluster").distinct().count() / n) for e in grid]
+def collapse_curve(points: DataFrame, grid: list[float], tree: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(eps, n_groups, retained) of every cut, from one tree that reaches the largest.
+
+    A cut has as many groups as there are distinct points, less the merges up to it.
+    """
+    distinct, merges = tree
+    spark = points.sparkSession
+    at = spark.createDataFrame([(float(e),) for e in grid], "eps double")
+    index = F.array(*[F.lit(float(e)) for e in grid])
+    first = merges.select(F.array_min(F.filter(index, lambda e: e >= F.col("h"))).alias("eps")).groupBy("eps").agg(F.count(F.lit(1)).alias("n"))
+    upto = at.join(F.broadcast(first), "eps", "left").withColumn("merged", F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("eps")))
+    t = upto.select("eps", (F.lit(distinct.count()) - F.col("merged")).alias("n_groups"))
+    return t.select("eps", "n_groups", (F.col("n_groups") / F.lit(points.count())).alias("retained"))
 
 
 def steepest(curve: list[tuple[float, float]]) -> float:
-    """Middle of the step with the steepest drop."""
+    """Middle of the first step with the steepest drop; the cut itself where there is one only."""
+    if len(curve) == 1:
+        return curve[0][0]
     slopes = [(b[1] - a[1]) / (b[0] - a[0]) for a, b in zip(curve, curve[1:])]
     i = int(np.argmin(slopes))
     return (curve[i][0] + curve[i + 1][0]) / 2
+
+
+def near_copies(points: DataFrame, metric: Metric = Metric(), step: float = 0.005) -> tuple[DataFrame, float]:
+    """(id, cluster) and the cut: complete linkage at the steepest drop of the collapse curve.
+
+    The curve and the groups come from one tree.  A table with fewer than two rows
+    has no distances: its cut is 0.
+    """
+    pts = cut_lineage(points.select("id", "vec"))
+    grid = cuts(pts, metric, step)
+    if not grid:
+        return pts.select("id", F.col("id").alias("cluster")), 0.0
+    tree = complete_tree(pts, grid[-1], metric)
+    eps = steepest([(r["eps"], r["retained"]) for r in collapse_curve(pts, grid, tree).orderBy("eps").collect()])
+    return groups_at(pts, tree, eps), eps

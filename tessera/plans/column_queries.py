@@ -179,11 +179,27 @@ def contingency_after(spark, root):
     return S.relabel(*_two_partitions(spark, root))[1]
 
 
-@query("i7_epsilon_groups")
-def epsilon_groups(spark, root):
+def _part_points(spark, root):
     from tessera.operators import encoding as E
-    from tessera.operators import linkage as K
 
     p = table(spark, root, "part", "p_partkey", "p_size", "p_retailprice", "p_brand", "p_type")
     pts, metric = E.gower_points(p, "p_partkey", ["p_size", "p_retailprice"], ["p_brand", "p_type"])
-    return K.complete_groups(cut_lineage(pts), 0.01, metric)
+    return cut_lineage(pts), metric
+
+
+@query("i7_epsilon_groups")
+def epsilon_groups(spark, root):
+    """Groups of near copies; the cut is where the collapse curve of these data drops most."""
+    from tessera.operators import linkage as K
+
+    return K.near_copies(*_part_points(spark, root))[0]
+
+
+@query("i7_collapse_curve")
+def collapse_curve(spark, root):
+    from tessera.operators import linkage as K
+
+    pts, metric = _part_points(spark, root)
+    grid = K.cuts(pts, metric)
+    t = K.collapse_curve(pts, grid, K.complete_tree(pts, grid[-1], metric))
+    return t.select(r6("eps").alias("eps"), "n_groups", r6("retained").alias("retained"))
