@@ -101,3 +101,27 @@ def test_single_precision_loses_no_neighbour(shift, scale):
     np.fill_diagonal(d, np.inf)
     assert np.allclose(got["d"].to_numpy().reshape(600, 4), np.sort(d, 1)[:, :4], rtol=1e-9)
     assert got.groupby("i").size().eq(4).all() and (got["i"] != got["j"]).all()
+
+
+def test_ranges_of_distances_leave_a_task_once(spark, monkeypatch):
+    """Pair agreement sends a row for each range and task, not for each pair of blocks."""
+    from tessera.operators import linalg as LA
+
+    x = np.round(np.random.default_rng(9).normal(size=(1200, 2)) * 2) / 2
+    points = _points(spark, x)
+    sent = []
+
+    def counted(*args, **more):
+        t = N.all_pairs_reduce(*args, **more)
+        sent.append((args[3], t.count()))
+        return t
+
+    monkeypatch.setattr(LA, "all_pairs_reduce", counted)
+    got = LA.pair_agreement(points, points.select("id", F.slice("vec", 1, 1).alias("v"))).first()
+    upper = np.triu_indices(1200, 1)
+    a, b = (N.Metric().between(v, v)[upper] for v in (x, x[:, :1]))
+    use = (a > 0) & (b > 0)
+    assert got["n"] == use.sum() and abs(got["pearson"] - np.corrcoef(a[use], b[use])[0, 1]) < 1e-9
+    kinds = len(np.unique(a[use])) + len(np.unique(b[use]))
+    tasks = 2 * 2  # 1,200 rows make two parts a side
+    assert [n for schema, n in sent if schema.startswith("side")][0] <= kinds * tasks
