@@ -521,13 +521,22 @@ def closer_counts(pairs: DataFrame, points: DataFrame, metric: Metric = Metric()
         F.first("vi").alias("vec"), F.collect_list("j").alias("js"), F.collect_list("vj").alias("vjs")
     ).withColumnRenamed("i", "id")
 
+    def measured(batches):
+        for pdf in batches:
+            own = zip(pdf["vec"], pdf["vjs"])
+            yield pdf[["id", "vec", "js"]].assign(ds=[metric.between(np.array([v], dtype=float), np.vstack(vs))[0] for v, vs in own])
+
+    # Vectors of the targets stay behind: only their distances move with the grid.
+    kind = dict(left.dtypes)
+    left = cut_lineage(left.mapInPandas(measured, f"id {kind['id']}, vec array<double>, js {kind['js']}, ds array<double>"))
+
     def count(x, y):
         d = metric.between(_matrix(x["vec"]), _matrix(y["vec"]))
         pid = y["id"].to_numpy()
         out_i, out_j, out_n = [], [], []
         for r in range(len(x)):
             js = np.asarray(x["js"].iloc[r])
-            dj = metric.between(_matrix(x["vec"].iloc[r:r + 1]), np.vstack(x["vjs"].iloc[r]))[0]
+            dj = np.array(x["ds"].iloc[r])
             inside = np.where(np.isin(js, pid))[0]
             where = {v: p for p, v in enumerate(pid)}
             for t in inside:

@@ -125,3 +125,21 @@ def test_ranges_of_distances_leave_a_task_once(spark, monkeypatch):
     kinds = len(np.unique(a[use])) + len(np.unique(b[use]))
     tasks = 2 * 2  # 1,200 rows make two parts a side
     assert [n for schema, n in sent if schema.startswith("side")][0] <= kinds * tasks
+
+
+def test_rank_counts_move_no_vectors_of_targets(spark, monkeypatch):
+    x = np.random.default_rng(10).normal(size=(150, 5))
+    points, seen = _points(spark, x), []
+    reduce = N.all_pairs_reduce
+
+    def watched(left, *rest, **more):
+        seen.append(sum("array<array" in kind for _, kind in left.dtypes))
+        return reduce(left, *rest, **more)
+
+    monkeypatch.setattr(N, "all_pairs_reduce", watched)
+    pairs = spark.createDataFrame([(i, (i * 7 + s) % 150) for i in range(150) for s in (1, 40)], "i bigint, j bigint").where("i <> j")
+    got = N.closer_counts(pairs, points).collect()
+    d = N.Metric().between(x, x)
+    assert seen == [0] and len(got) == pairs.count()
+    for r in got:
+        assert r["rank"] == 1 + sum((d[r["i"], m], m) < (d[r["i"], r["j"]], r["j"]) for m in range(150) if m != r["i"])
