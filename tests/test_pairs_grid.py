@@ -143,3 +143,23 @@ def test_rank_counts_move_no_vectors_of_targets(spark, monkeypatch):
     assert seen == [0] and len(got) == pairs.count()
     for r in got:
         assert r["rank"] == 1 + sum((d[r["i"], m], m) < (d[r["i"], r["j"]], r["j"]) for m in range(150) if m != r["i"])
+
+
+def test_weight_search_sends_two_distances_a_task(spark, monkeypatch):
+    from tessera.operators import weights as W
+
+    x = np.random.default_rng(11).random((2500, 2))
+    sent, reduce = [], N.all_pairs_reduce
+
+    def counted(*args, **more):
+        t = reduce(*args, **more)
+        sent.append(t.count())
+        return t
+
+    monkeypatch.setattr(W, "all_pairs_reduce", counted)
+    dim = W.candidate_dimensions(_points(spark, x), 2, [[1.0, 1.0]], trim=0.0)[0]
+    d = np.abs(x[:, None, :] - x[None, :, :]).sum(2) / 2
+    np.fill_diagonal(d, np.inf)
+    first = np.sort(np.partition(d, 1, axis=1)[:, :2], axis=1)
+    assert sent == [2500 * 2 * 3]  # 2,500 rows make three parts a side
+    assert abs(dim - 1 / np.log(first[:, 1] / first[:, 0]).mean()) < 1e-3
