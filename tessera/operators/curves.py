@@ -124,7 +124,7 @@ def manifold_r2(points: DataFrame, m: int, folds: int = 3, knots: Sequence[int]
         rows = cut_lineage(LA.project(pts, mean, axes).select("id", F.col("score").alias("x"), "fold", F.col("vec").alias("y")))
         fitted = Md.fit(rows, names, Md.volume_basis(rows, m, per_axis), "gaussian", [f])
         test = rows.where(F.col("fold") == f)
-        gap = Md.predict(test, fitted, True).join(Md.responses(test, names), ["id", "label"])
+        gap = Md.answered(Md.predict(test, fitted, True), test, names)
         rss += float(gap.agg(F.sum(F.pow(F.col("y") - F.col("p"), 2))).first()[0] or 0.0)
     mean, axes, _ = LA.principal_axes(pts, d)
     spread = LA.axis_variances(pts, mean, axes)

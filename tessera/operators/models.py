@@ -291,20 +291,50 @@ def out_of_fold(rows: DataFrame, labels: Sequence[str], basis: Basis, family: st
                 penalties: Sequence[float] | None = None) -> DataFrame:
     """(id, label, y, p): every row predicted by models that did not see its fold."""
     m = fit(rows, labels, basis, family, range(k), penalties)
-    return predict(rows, m, True).join(responses(rows, labels), ["id", "label"]).select("id", "label", "fold", "y", "p", "eta", "lam_index")
+    return answered(predict(rows, m, True), rows, labels).select("id", "label", "fold", "y", "p", "eta", "lam_index")
+
+
+def answered(predicted: DataFrame, rows: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Predictions with their responses: as many rows on both sides, whose files look small enough to broadcast."""
+    return predicted.join(responses(rows, labels).hint("merge"), ["id", "label"])
+
+
+def _by_penalty(rows: DataFrame, models: Models) -> DataFrame:
+    """(id, label, ps): out-of-fold probabilities of binomial models, one for each penalty in ascending order."""
+    basis, names = models.basis, models.labels
+    order = sorted(range(len(models.keys)), key=lambda m: models.keys[m][2])
+    betas = {(label, held): [models.beta[m] for m in order if models.keys[m][:2] == (label, held)]
+             for label in range(len(names)) for held in models.held}
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = basis.design(np.vstack(pdf["x"].to_numpy()).astype(float))
+            fold = pdf["fold"].to_numpy()
+            for (label, held), some in betas.items():
+                use = np.nonzero(fold == held)[0]
+                if len(use):
+                    ps = np.stack([1 / (1 + np.exp(-np.clip(x[use] @ beta, -30, 30))) for beta in some], 1)
+                    yield pd.DataFrame({"id": pdf["id"].to_numpy()[use], "label": names[label], "ps": list(ps)})
+
+    return rows.select("id", "x", "fold").mapInPandas(run, "id bigint, label string, ps array<double>")
 
 
 def ridge_logistic(rows: DataFrame, labels: Sequence[str], dims: int, k: int = 5, n_penalties: int = 12) -> tuple[DataFrame, dict]:
     """Out-of-fold ridge-logistic probabilities, the penalty chosen per label by held-out deviance."""
+    from tessera.session import cut_lineage
+
     n = rows.count()
     grid = [n * v for v in np.logspace(-5, 0, n_penalties)]
-    scored = out_of_fold(rows, labels, Basis("linear", dims), "binomial", k, grid)
-    p = F.least(F.greatest("p", F.lit(1e-12)), F.lit(1 - 1e-12))
-    dev = F.sum(-F.when(F.col("y") > 0, F.ln(p)).otherwise(F.ln(1 - p)))
-    table = scored.groupBy("label", "lam_index").agg(dev.alias("dev"))
-    best = table.groupBy("label").agg(F.min_by("lam_index", F.struct("dev", "lam_index")).alias("lam_index"))
-    chosen = {r["label"]: grid[r["lam_index"]] for r in best.collect()}
-    return scored.join(best, ["label", "lam_index"]).drop("lam_index", "eta"), chosen
+    m = fit(rows, labels, Basis("linear", dims), "binomial", range(k), grid)
+    scored = cut_lineage(answered(_by_penalty(rows, m), rows, labels))
+    p = lambda i: F.least(F.greatest(F.col("ps")[i], F.lit(1e-12)), F.lit(1 - 1e-12))
+    dev = [F.sum(-F.when(F.col("y") > 0, F.ln(p(i))).otherwise(F.ln(1 - p(i)))) for i in range(n_penalties)]
+    table = scored.groupBy("label").agg(F.array(*dev).alias("dev")).collect()
+    best = {r["label"]: min(range(n_penalties), key=lambda i: (math.isnan(r["dev"][i]), r["dev"][i], i)) for r in table}
+    place = F.coalesce(*[F.when(F.col("label") == name, F.lit(i)) for name, i in best.items()], F.lit(None).cast("int"))
+    return scored.select("label", "id", "fold", "y", F.col("ps")[place].alias("p")), {name: grid[i] for name, i in best.items()}
 
 
 def stacked(rows: DataFrame, labels: Sequence[str], base_dims: int, k: int = 5, ridge: float = 1e-3) -> DataFrame:

@@ -33,7 +33,8 @@ def customer_rows(spark, root):
     xy = c.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 5000.0 - 1).alias("b1"), (F.col("c_nationkey") / 12.0 - 1).alias("b2"))
     sets = customer_status(spark, root).select("id", "labels")
     y = F.array(*[F.array_contains("labels", s).cast("double") for s in STATES])
-    return xy.join(sets, "id").select("id", F.array("b1", "b2").alias("x"), fold_of("id", 5).cast("int").alias("fold"), y.alias("y"), "b1", "b2")
+    # Both sides grow with the customers, however small their files are.
+    return xy.join(sets.hint("merge"), "id").select("id", F.array("b1", "b2").alias("x"), fold_of("id", 5).cast("int").alias("fold"), y.alias("y"), "b1", "b2")
 
 
 @query("i16_covariance", """
