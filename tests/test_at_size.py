@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import models as Md
+from tessera.operators import neighbours as N
+from tessera.operators import soft_clusters as S
 
 
 def _plan(df) -> str:
@@ -39,3 +41,30 @@ def test_ridge_takes_the_penalty_of_least_held_out_deviance(spark):
         assert chosen[label] == grid[best]
         key = lambda t: sorted(zip(t["id"], t["fold"], t["y"].fillna(-1), t["p"].round(9)))
         assert key(part[part["lam_index"] == best]) == key(found.where(F.col("label") == label).toPandas())
+
+
+def test_mean_silhouettes_of_several_partitions(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 3))[rng.integers(0, 60, 200)]  # many copies
+    parts = [rng.integers(0, 2, 200), (x[:, 0] > 0).astype(int) + 2 * (np.arange(200) == 5), np.zeros(200, int)]
+    points = spark.createDataFrame([(r, i, x[i].tolist(), int(c[i])) for r, c in enumerate(parts) for i in range(200)],
+                                   "run int, id bigint, vec array<double>, cluster bigint")
+    found = {r["run"]: r["width"] for r in N.mean_silhouettes(points).collect()}
+    assert set(found) == {0, 1}
+    for run in found:
+        each = N.silhouettes(points.where(F.col("run") == run)).agg(F.avg("width")).first()[0]
+        assert abs(found[run] - each) < 1e-9
+
+
+def test_an_edge_carries_all_runs_at_once(spark):
+    p = spark.createDataFrame([(i, [0.9, 0.1] if i < 6 else [0.1, 0.8]) for i in range(12)], "id bigint, p array<double>")
+    edges = spark.createDataFrame([(i, j, 0.1 + 0.05 * i) for i in range(11) for j in range(i + 1, 11) if (i + j) % 3], "src bigint, dst bigint, w double")
+    state, runs, facts = S.factorise(p, edges, [2, 3], [0.0, 0.1], starts=1, n_iter=3)
+    rows = state.toPandas()
+    w = np.zeros((12, 12))
+    for e in edges.collect():
+        w[e.src, e.dst] = w[e.dst, e.src] = e.w
+    for i, r in enumerate(runs):
+        u = np.vstack(rows[rows["run"] == i].sort_values("id")["u"].to_numpy())
+        assert u.shape == (12, r.k)
+        assert abs(facts[i]["rough"] - (u * (w.sum(1)[:, None] * u - w @ u)).sum()) < 1e-9
