@@ -13,22 +13,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import both_ways
-from tessera.operators.neighbours import Metric, _matrix
+from tessera.operators.neighbours import GRID, LARGEST_PART, MOST_ROWS, Metric, _added_up, _matrix
 from tessera.operators.ordered import benjamini_hochberg
 from tessera.session import cut_lineage
 
-#: Members of a cluster that meet in one task are this many on each side at most.
+#: Members of a cluster whose distances are in memory at once are this many on each side at most.
 BLOCK = 2_048
 #: Distances count by their leading bits first: a range spans a 2^-20 part of its values at most.
 SHIFT = 32
 
 
 def _inside(points: DataFrame, reducer, schema: str, metric: Metric) -> DataFrame:
-    """`reducer(cluster, distances, left rows)` over the pairs of members of each cluster, block against block.
+    """`reducer(cluster, distances, left rows)` over the pairs of members of each cluster; counts `n` are added up in the task.
 
     Large clusters are cut by a hash of the id, so that no task holds one whole.
+    The number of parts does not grow with a cluster until a part would be too
+    large for a task; blocks of two parts meet inside the task.
     """
-    size = points.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("_n"))
+    blocks = F.least(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.lit(GRID))
+    size = points.groupBy("cluster").agg(F.greatest(blocks, F.ceil(F.count(F.lit(1)) / F.lit(LARGEST_PART))).cast("int").alias("_n"))
     cut = points.join(size, "cluster").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
     left = cut.withColumn("_a", F.col("_own")).withColumn("_b", F.explode(F.sequence(F.col("_own"), F.col("_n") - 1)))
     # Fresh names: both sides come from one plan.
@@ -37,13 +40,22 @@ def _inside(points: DataFrame, reducer, schema: str, metric: Metric) -> DataFram
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame(columns=names)
-        d = metric.between(_matrix(x["vec"]), _matrix(y["vec"]))
-        same = x["_a"].iloc[0] == x["_b"].iloc[0]
-        d = d[x["id"].to_numpy()[:, None] < y["id"].to_numpy()[None, :]] if same else d.ravel()
-        return reducer(x["cluster"].iloc[0], np.ascontiguousarray(d, np.float64), x)[names] if len(d) else pd.DataFrame(columns=names)
-
+        out = []
+        for lo in range(0, len(x), BLOCK):
+            part = x.iloc[lo:lo + BLOCK]
+            same = part["_a"].iloc[0] == part["_b"].iloc[0]
+            for at in range(0, len(y), BLOCK):
+                other = y.iloc[at:at + BLOCK]
+                d = metric.between(_matrix(part["vec"]), _matrix(other["vec"]))
+                d = d[part["id"].to_numpy()[:, None] < other["id"].to_numpy()[None, :]] if same else d.ravel()
+                if len(d):
+                    out.append(reducer(part["cluster"].iloc[0], np.ascontiguousarray(d, np.float64), part)[names])
+                if sum(map(len, out)) > MOST_ROWS:
+                    out = [_added_up(pd.concat(out, ignore_index=True), names[:-1])]
+        return _added_up(pd.concat(out, ignore_index=True), names[:-1]) if out else pd.DataFrame(columns=names)
+
+    # A number of partitions of its own: small pairs of parts are long work, and are not put together.
+    left, right = left.repartition(2 * GRID * GRID, "cluster", "_a", "_b"), right.repartition(2 * GRID * GRID, "_c", "_d", "_e")
     return left.groupBy("cluster", "_a", "_b").cogroup(right.groupBy("_c", "_d", "_e")).applyInPandas(run, schema)
 
 

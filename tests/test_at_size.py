@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from tessera.operators import absorption as Ab
 from tessera.operators import models as Md
 from tessera.operators import neighbours as N
 from tessera.operators import soft_clusters as S
@@ -68,3 +70,12 @@ def test_an_edge_carries_all_runs_at_once(spark):
         u = np.vstack(rows[rows["run"] == i].sort_values("id")["u"].to_numpy())
         assert u.shape == (12, r.k)
         assert abs(facts[i]["rough"] - (u * (w.sum(1)[:, None] * u - w @ u)).sum()) < 1e-9
+
+
+def test_members_of_a_cluster_meet_in_few_parts(spark, monkeypatch):
+    monkeypatch.setattr(Ab, "BLOCK", 4)
+    points = spark.createDataFrame([(i, [float(i)], 1) for i in range(120)], "id bigint, vec array<double>, cluster bigint")
+    one = lambda cluster, d, x: pd.DataFrame({"cluster": [cluster], "range": [0], "n": [len(d)]})
+    met = Ab._inside(points, one, "cluster bigint, range bigint, n bigint", N.Metric()).toPandas()
+    assert met["n"].sum() == 120 * 119 // 2
+    assert len(met) <= N.GRID * (N.GRID + 1) // 2  # 30 blocks would meet 465 times
