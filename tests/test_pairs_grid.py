@@ -163,3 +163,46 @@ def test_weight_search_sends_two_distances_a_task(spark, monkeypatch):
     first = np.sort(np.partition(d, 1, axis=1)[:, :2], axis=1)
     assert sent == [2500 * 2 * 3]  # 2,500 rows make three parts a side
     assert abs(dim - 1 / np.log(first[:, 1] / first[:, 0]).mean()) < 1e-3
+
+
+def test_paths_in_blocks(spark):
+    """All pairs by rounds over blocks: many hops across blocks, two parts of the graph, a vertex alone, sources given; no job for each hop."""
+    import numpy as np
+
+    from tessera.operators import linalg as LA
+    from tessera.operators.paths import path_blocks
+
+    n = 120
+    rng = np.random.default_rng(4)
+    pairs = [(i, i + 1, float(1 + rng.random())) for i in range(n - 1) if i != 99] + [(int(a), int(b), 30.0) for a, b in rng.integers(0, 90, (10, 2))]
+    edges = spark.createDataFrame(pairs, "src bigint, dst bigint, d double")
+    d = np.full((n + 1, n + 1), np.inf)
+    np.fill_diagonal(d, 0.0)
+    for a, b, w in pairs:
+        d[a, b] = d[b, a] = min(d[a, b], w)
+    for k in range(n + 1):
+        d = np.minimum(d, d[:, k][:, None] + d[k][None])
+    ids = spark.range(n + 1)
+    before = spark._jsc.sc().dagScheduler().nextJobId()
+    blocks = path_blocks(edges, ids, side=30)
+    got = {(r["source"], r["id"]): r["d"] for r in blocks.rows().collect()}
+    jobs = spark._jsc.sc().dagScheduler().nextJobId() - before
+    assert len(blocks.sizes) > 2 and len(got) == np.isfinite(d).sum()
+    assert all(abs(v - d[k]) < 1e-9 for k, v in got.items())
+    assert jobs < 20 * len(blocks.sizes)
+    some = {(r["source"], r["id"]) for r in LA.geodesics(edges, ids.where("id >= 118"), batch=30).collect()}
+    assert some == {(s, t) for s in (118, 119, 120) for t in range(n + 1) if np.isfinite(d[s, t])}
+
+
+def test_isomap_counts_rows_with_one_id(spark):
+    """The matrix in blocks gives what the table of paths gave, with and without repeated ids."""
+    from tessera.operators import linalg as LA
+    from tessera.operators.paths import path_blocks
+
+    edges = spark.createDataFrame([(i, i + 1, 1.0 + i % 3) for i in range(39)] + [(0, 39, 2.0)], "src bigint, dst bigint, d double")
+    ids = spark.range(40)
+    coords = ids.selectExpr("id", "array(cos(id / 6.0), sin(id / 6.0)) as v")
+    blocks, table = path_blocks(edges, ids, side=16), LA.geodesics(edges, ids)
+    one = [tuple(r) for r in LA.isomap_residual(blocks, coords, [1, 2]).collect()]
+    two = [tuple(r) for r in LA.isomap_residual(table, coords.unionByName(coords), [1, 2]).collect()]
+    assert [m for m, _ in one] == [1, 2] and all(abs(a[1] - b[1]) < 1e-9 for a, b in zip(one, two)) and 0 < one[1][1] < one[0][1] < 1
