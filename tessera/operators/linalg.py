@@ -17,6 +17,7 @@ from tessera.operators.graph import both_ways, degrees
 from tessera.operators.neighbours import Metric, _matrix, all_pairs_reduce
 from tessera.operators.paths import SIDE, PathBlocks, held, in_blocks, path_blocks
 from tessera.operators.scaling import SPARE, TOLERANCE, distance_product, leading_axes
+from tessera.operators.sparse import in_parts
 from tessera.session import cut_lineage
 
 
@@ -174,7 +175,7 @@ def laplacian_eigenmaps(edges: DataFrame, dims: int = 3, rounds: int = 6, degree
 
     Subspace iteration with a Chebyshev filter: a polynomial in the Laplacian
     that is small on the unwanted part of the spectrum, whose edge the last Ritz
-    values give.  A product with the matrix is one join and one sum over edges.
+    values give.  A product with the matrix sends sums for vertices and parts, not for edges.
     """
     deg = cut_lineage(degrees(edges).select("id", "strength"))
     a = deg.select(F.col("id").alias("src"), F.col("strength").alias("ks"))
@@ -183,27 +184,25 @@ def laplacian_eigenmaps(edges: DataFrame, dims: int = 3, rounds: int = 6, degree
         "src", "dst", (F.col("w") / F.sqrt(F.col("ks") * F.col("kd"))).alias("w")))
     m = dims + 1 + spare
 
-    def with_product(t: DataFrame) -> DataFrame:
-        """Adds s, the normalised adjacency times v."""
-        v = t.select(F.col("id").alias("dst"), F.col("v").alias("o"))
-        sums = adj.join(v, "dst").groupBy(F.col("src").alias("id")).agg(
-            F.array(*[F.sum(F.col("w") * F.col("o")[j]) for j in range(m)]).alias("s"))
-        return t.join(sums, "id")
+    matrix = in_parts(adj, deg.select("id"))
+
+    def started(v: DataFrame) -> DataFrame:
+        return cut_lineage(matrix.packed(v).withColumn("prev", F.lit(None).cast("binary")))
+
+    def images(v: DataFrame) -> DataFrame:
+        """(id, a) of the normalised Laplacian times v."""
+        return matrix.unpacked(matrix.stepped(started(v), m, lambda x, y, _: x - y), m).select("id", F.col("v").alias("a"))
 
     def filtered(v: DataFrame, edge: float) -> DataFrame:
         centre, half = (edge + 2.0) / 2, (2.0 - edge) / 2
-        t = with_product(v).select("id", F.col("v").alias("prev"), F.zip_with("v", "s", lambda x, y: ((1 - centre) * x - y) / half).alias("v"))
-        for step in range(1, degree):
-            nxt = with_product(t)
-            grown = F.zip_with(F.zip_with("v", "s", lambda x, y: 2 * ((1 - centre) * x - y) / half), "prev", lambda x, y: x - y)
-            t = nxt.select("id", F.col("v").alias("prev"), grown.alias("v"))
-            if step % 4 == 0:
-                t = cut_lineage(t)
-        return t.select("id", "v")
+        t = matrix.stepped(started(v), m, lambda x, y, _: ((1 - centre) * x - y) / half)
+        for _ in range(1, degree):
+            t = matrix.stepped(t, m, lambda x, y, prev: 2 * ((1 - centre) * x - y) / half - prev)
+        return matrix.unpacked(t, m)
 
     v, last = cut_lineage(_orthonormal(_seeded(deg, m, [F.sqrt("strength")]), m)), None
     for turn in range(rounds + 1):
-        lv = cut_lineage(with_product(v).select("id", F.zip_with("v", "s", lambda x, y: x - y).alias("a")))
+        lv = cut_lineage(images(v))
         h = _rayleigh(v, lv, m)
         val, vec = np.linalg.eigh((h + h.T) / 2)
         v = v.withColumn("v", _combine("v", vec))
