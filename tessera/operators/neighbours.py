@@ -47,16 +47,41 @@ def _to_40_bits(d: np.ndarray) -> np.ndarray:
     return bits.view(float)
 
 
-def _within(value: np.ndarray, limit: np.ndarray, slack: np.ndarray, k: int, hidden) -> np.ndarray:
-    """Mask of values up to a row's limit and to its k-th smallest, known to half a slack."""
+def _set_cells(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of what is set, in order; little is expected, and eight cells are looked at together."""
+    flat = mask.ravel()
+    whole = flat.size // 8 * 8
+    words = np.flatnonzero(flat[:whole].view(np.uint64))
+    at = (8 * words[:, None] + np.arange(8))[flat[:whole].reshape(-1, 8)[words]]
+    return np.divmod(np.concatenate([at, whole + np.flatnonzero(flat[whole:])]), mask.shape[1])
+
+
+def _within(value: np.ndarray, limit: np.ndarray, slack: np.ndarray, k: int, hidden) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of values up to a row's limit and to its k-th smallest, known to half a slack."""
     value[hidden] = np.nan
     near = value <= limit[:, None]
-    many = np.flatnonzero(near.sum(1) > 2 * k)
+    found = _set_cells(near) if np.count_nonzero(near) <= near.size // 16 else None
+    many = np.flatnonzero((near.sum(1) if found is None else np.bincount(found[0], minlength=len(value))) > 2 * k)
     if len(many) and k < value.shape[1]:
         some = value[many]
         kth = np.partition(some, k - 1, axis=1)[:, k - 1].astype(float)
         near[many] &= ~(some > (kth + 2.0 * slack[many])[:, None])
-    return near
+        found = None
+    return found or np.divmod(np.flatnonzero(near), near.shape[1])
+
+
+class _Side:
+    """Vectors as one side of a product, and what does not depend on the other side."""
+
+    def __init__(self, x: np.ndarray, middle: np.ndarray | None = None):
+        self.x, self.kind = x, np.float64 if middle is None else np.float32
+        x = x if middle is None else x - middle
+        self.size = (x * x).sum(1)
+        with np.errstate(over="ignore"):  # such sides are not multiplied
+            self.left = np.column_stack([-2.0 * x, np.ones(len(x))]).astype(self.kind)
+            self.right = np.column_stack([x, self.size]).astype(self.kind).T
+        self.longest = self.size.max(initial=0.0)
+        self.bound = self.size.max(initial=0.0, where=np.isfinite(self.size))
 
 
 @dataclass(frozen=True)
@@ -82,45 +107,44 @@ class Metric:
         however the sums behind them were ordered."""
         return _to_40_bits(self._raw(a, b))
 
-    def nearest(self, a: np.ndarray, b: np.ndarray, k: int, reach: np.ndarray, hidden: tuple[np.ndarray, np.ndarray]):
-        """(row, column, distance) of the pairs within each row's reach that may be among its k nearest."""
+    def strips(self, x: np.ndarray, rows: int, middle: np.ndarray) -> list:
+        """Parts of a side for `nearest`, made once for all their pairs; the sides of a pair have one middle."""
+        parts = [x[lo:lo + rows] for lo in range(0, len(x), rows)]
+        return [_Side(part, middle) for part in parts] if self.kind == "euclid" else parts
+
+    def nearest(self, a, b, k: int, reach: np.ndarray, hidden: tuple[np.ndarray, np.ndarray]):
+        """(row, column, distance) of the pairs of two strips within each row's reach that may be among its k nearest."""
         if self.kind == "euclid":
             # Single precision first: what is near enough is computed again directly.
-            near = self._near(a, b, k, reach, hidden, np.float32)
+            near = self._near(a, b, k, reach, hidden)
             if near is None:
-                near = self._near(a, b, k, reach, hidden, np.float64)
-        else:
-            value = self.between(a, b)
-            near = _within(value, reach, np.zeros(len(a)), k, hidden)
-        i, j = np.divmod(np.flatnonzero(near), near.shape[1])
-        if self.kind == "euclid":
+                near = self._near(_Side(a.x), _Side(b.x), k, reach, hidden)
+            (i, j), a, b = near, a.x, b.x
             d = np.empty(len(i))
             for lo in range(0, len(i), 65536):
                 gap = a[i[lo:lo + 65536]] - b[j[lo:lo + 65536]]
                 d[lo:lo + 65536] = np.sqrt((gap * gap).sum(1))
             d = _to_40_bits(d)
         else:
+            value = self.between(a, b)
+            i, j = _within(value, reach, np.zeros(len(a)), k, hidden)
             d = value[i, j]
         keep = np.isfinite(d) & (d <= reach[i])
         return i[keep], j[keep], d[keep]
 
-    def _near(self, a: np.ndarray, b: np.ndarray, k: int, reach: np.ndarray, hidden, kind) -> np.ndarray | None:
-        """Mask of pairs that may be within reach and nearest, in one product; None if `kind` is too coarse to tell."""
-        single = kind is np.float32
-        if single:
-            middle = b.mean(0)
-            a, b = a - middle, b - middle
-        aa, bb = (a * a).sum(1), (b * b).sum(1)
-        if single and not max(aa.max(initial=0.0), bb.max(initial=0.0)) < 1e30:
+    def _near(self, a: _Side, b: _Side, k: int, reach: np.ndarray, hidden) -> tuple[np.ndarray, np.ndarray] | None:
+        """Pairs that may be within reach and nearest, in one product; None if the sides are too coarse to tell."""
+        single = a.kind is np.float32
+        if single and not max(a.longest, b.longest) < 1e30:
             return None
-        # Squared distance less aa.
-        value = np.column_stack([-2.0 * a, np.ones(len(a))]).astype(kind) @ np.column_stack([b, bb]).astype(kind).T
-        slack = 8.0 * (a.shape[1] + 4) * np.finfo(kind).eps * (aa + bb.max(initial=0.0, where=np.isfinite(bb)))
-        limit = reach * reach * (1.0 + 4.0 * SLACK) + slack - aa
+        # Squared distance less that of a from the middle.
+        value = a.left @ b.right
+        slack = 8.0 * (a.x.shape[1] + 4) * np.finfo(a.kind).eps * (a.size + b.bound)
+        limit = reach * reach * (1.0 + 4.0 * SLACK) + slack - a.size
         if single:
-            limit = np.nextafter(limit.astype(kind), kind(np.inf))
+            limit = np.nextafter(limit.astype(a.kind), a.kind(np.inf))
         near = _within(value, limit, slack, k, hidden)
-        return None if single and np.count_nonzero(near) > near.size // 64 + 4 * k * len(a) else near
+        return None if single and len(near[0]) > value.size // 64 + 4 * k * len(a.x) else near
 
     def _raw(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if self.kind == "euclid":
@@ -166,22 +190,26 @@ def _matrix(col: pd.Series) -> np.ndarray:
 
 
 def _best(query_ids, point_ids, x, px, metric, k, same, reach):
-    """The k nearest per row and within its reach, ties by id; `same` hides a point from itself.
+    """The k nearest per row and within its reach, ties by id; `same` hides a point from itself."""
+    middle = px.mean(0)
+    (one,) = metric.strips(x, max(1, len(x)), middle)
+    return _best_of_strips(query_ids, point_ids, one, metric.strips(px, BROAD, middle), metric, k, same, reach)
 
-    Points come some at a time, and what is found shortens the reach for the next.
-    """
+
+def _best_of_strips(query_ids, point_ids, x, strips, metric, k, same, reach):
+    """Points come some at a time, and what is found shortens the reach for the next."""
     reach = reach.copy()
     qi, d, pid = np.zeros(0, "int64"), np.zeros(0), np.zeros(0, "int64")
-    for lo in range(0, len(px), BROAD):
-        ids = point_ids[lo:lo + BROAD]
+    for at, strip in enumerate(strips):
+        ids = point_ids[at * BROAD:(at + 1) * BROAD]
         hidden = _same_ids(query_ids, ids) if same else (np.zeros(0, "int64"), np.zeros(0, "int64"))
-        i, j, dist = metric.nearest(x, px[lo:lo + BROAD], k, reach, hidden)
+        i, j, dist = metric.nearest(x, strip, k, reach, hidden)
         if not len(i):
             continue
         qi, d, pid = np.concatenate([qi, i]), np.concatenate([d, dist]), np.concatenate([pid, ids[j]])
         order = np.lexsort((pid, d, qi))
         qi, d, pid = qi[order], d[order], pid[order]
-        place = np.arange(len(qi)) - np.searchsorted(qi, np.arange(len(x)))[qi]
+        place = np.arange(len(qi)) - np.searchsorted(qi, np.arange(len(query_ids)))[qi]
         reach[qi[place == k - 1]] = d[place == k - 1]
         qi, d, pid = qi[place < k], d[place < k], pid[place < k]
     return pd.DataFrame({"i": query_ids[qi], "j": pid, "d": d})
@@ -338,11 +366,12 @@ def _knn_of_copies(points: DataFrame, k: int, metric: Metric, block: int | None)
 def _nearest_of(q: pd.DataFrame, p: pd.DataFrame, k: int, metric: Metric, same: bool) -> pd.DataFrame:
     if not len(q) or not len(p):
         return pd.DataFrame({"i": np.array([], "int64"), "j": np.array([], "int64"), "d": np.array([], float)})
-    px, pid, out = _matrix(p["vec"]), p["id"].to_numpy(), []
-    for lo in range(0, len(q), TALL):
-        part = q.iloc[lo:lo + TALL]
-        out.append(_best(part["id"].to_numpy(), pid, _matrix(part["vec"]), px, metric, k, same, part["theta"].to_numpy(dtype=float)))
-    return pd.concat(out)
+    qid, pid, theta = q["id"].to_numpy(), p["id"].to_numpy(), q["theta"].to_numpy(dtype=float)
+    px = _matrix(p["vec"])
+    middle = px.mean(0)
+    tall, broad = metric.strips(_matrix(q["vec"]), TALL, middle), metric.strips(px, BROAD, middle)
+    cuts = [slice(lo, lo + TALL) for lo in range(0, len(qid), TALL)]
+    return pd.concat([_best_of_strips(qid[c], pid, x, broad, metric, k, same, theta[c]) for c, x in zip(cuts, tall)])
 
 
 def _open(cells: _Cells, pdf: pd.DataFrame) -> np.ndarray:

@@ -226,3 +226,20 @@ def test_products_in_parts(spark):
     two = parts.stepped(one, m, lambda x, y, prev: 2 * y - prev)
     got = np.array([r["v"] for r in parts.unpacked(two, m).orderBy("id").collect()])
     assert np.allclose(got, 2 * dense @ (dense @ v) - v)
+
+
+def test_strips_of_a_side_are_made_once(spark, monkeypatch):
+    """A task prepares each strip of its two parts once, not once for each pair of strips."""
+    import pandas as pd
+
+    made, first = [], N._Side.__init__
+    monkeypatch.setattr(N._Side, "__init__", lambda self, x, *more: (made.append(len(x)), first(self, x, *more))[1])
+    monkeypatch.setattr(N, "TALL", 50)
+    monkeypatch.setattr(N, "BROAD", 100)
+    x = np.random.default_rng(2).normal(size=(400, 4))
+    side = pd.DataFrame({"id": np.arange(400), "vec": list(x), "theta": np.inf})
+    got = N._nearest_of(side, side, 2, N.Metric(), True)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert sum(made) == 800
+    assert np.allclose(got["d"].to_numpy().reshape(400, 2), np.sort(d, 1)[:, :2])
