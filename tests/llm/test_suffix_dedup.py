@@ -1,5 +1,6 @@
 """Byte deduplication against brute force."""
 
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -31,6 +32,28 @@ def test_brute_force(spark, length, seed):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == (n, removed, runs, kept), (i, values[i])
 
 
+@pytest.mark.parametrize("size", [399, 400])
+def test_query_judges_passages_by_bytes_not_words(spark, tmp_path, size):
+    """A passage of 56 words goes from every document, first one included, if it has 400 bytes; n_bytes is the text's own length."""
+    from tessera.llm.queries import QUERIES
+
+    rng = np.random.default_rng(size)
+
+    def words(n):
+        return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n))
+
+    passage = " " + words(56)  # 392 bytes
+    passage += "z" * (size - 1 - len(passage)) + " "
+    assert len(passage) == size and len(passage.split()) == 56
+    values = [words(40) + "A" + passage + "B" + words(30), words(80) + "ß" + passage + "ü" + words(5), words(300)]
+    rest = [t.replace(passage, "") if size == 400 else t for t in values]
+    documents(spark, list(enumerate(values))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(QUERIES["op7_suffix_dedup"](spark, str(tmp_path)))
+    gone = [size == 400, size == 400, False]
+    assert [(got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) for i in range(3)] == [
+        (len(t.encode()), 400 * g, int(g), hashlib.sha256(r.encode()).hexdigest()) for t, r, g in zip(values, rest, gone)]
+
+
 def test_repeated_and_null_ids(spark):
     text = "".join(chr(97 + i * 7 % 26) for i in range(90)) + "".join(chr(65 + i * i % 26) for i in range(60))
     rows = drop_repeated_bytes(documents(spark, [(1, text), (1, text), (None, "q" + text), (2, "z")]), length=64).collect()
