@@ -4,7 +4,8 @@ Points are never paired as rows.  They are grouped into bounded blocks, a block
 meets a block inside one Arrow batch, and only the reduction leaves the task:
 the k best per query, a sum per cluster, a count.
 
-`knn` prunes block pairs with pivots and the triangle inequality.  Every point
+`knn` prunes block pairs with pivots and the triangle inequality, or with boxes
+(`operators/boxes.py`) where the distance is a weighted mean over items.  Every point
 joins the cell of its nearest pivot; cells above the block size are split, so a
 dense cell never becomes one large group.  A first pass inside the own block
 bounds each query's k-th distance, and only cells the bound cannot rule out are
@@ -101,11 +102,17 @@ class Metric:
     n_numeric: int = 0
     weights: tuple = field(default=())
     gaps: bool = False
+    all_bits: bool = False
+
+    @property
+    def boxed(self) -> bool:
+        """Whether boxes bound the distance."""
+        return self.kind == "gower" and not self.gaps and min(self.weights, default=0.0) >= 0 and sum(self.weights) > 0
 
     def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """All distances, kept to 40 bits so that equal distances compare equal
-        however the sums behind them were ordered."""
-        return _to_40_bits(self._raw(a, b))
+        """All distances, kept to 40 bits (unless `all_bits`) so that equal distances
+        compare equal however the sums behind them were ordered."""
+        return self._raw(a, b) if self.all_bits else _to_40_bits(self._raw(a, b))
 
     def strips(self, x: np.ndarray, rows: int, middle: np.ndarray) -> list:
         """Parts of a side for `nearest`, made once for all their pairs; the sides of a pair have one middle."""
@@ -227,6 +234,8 @@ def _same_ids(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Cells:
     """Pivots plus what is known of each cell; small by construction."""
 
+    most_visits = MAX_VISITS
+
     def __init__(self, pivots: np.ndarray, metric: Metric):
         self.pivots, self.metric = pivots, metric
         self.counts = np.zeros(len(pivots), dtype=np.int64)
@@ -237,6 +246,32 @@ class _Cells:
     def distances(self, x: np.ndarray) -> np.ndarray:
         return self.metric.between(x, self.pivots)
 
+    def metric_of(self, cell: int) -> Metric:
+        return self.metric
+
+    def placed(self, pdf: pd.DataFrame):
+        d = self.distances(_matrix(pdf["vec"]))
+        cell = d.argmin(1)
+        yield pdf.assign(cell=cell.astype("int32"), r=d[np.arange(len(d)), cell])
+
+    def measure(self, placed: DataFrame, block: int) -> None:
+        for row in placed.groupBy("cell").agg(F.count("id").alias("n"), F.max("r").alias("hi"), F.min("r").alias("lo")).collect():
+            c = row["cell"]
+            self.counts[c], self.far[c], self.near[c] = row["n"], row["hi"], row["lo"]
+            self.parts[c] = math.ceil(row["n"] / block)
+
+    def open(self, pdf: pd.DataFrame) -> np.ndarray:
+        """Which cells the bound of each query leaves open."""
+        d = self.distances(_matrix(pdf["vec"]))
+        mine = d[np.arange(len(d)), pdf["cell"].to_numpy()]
+        low = np.maximum(d - self.far[None, :], self.near[None, :] - d)
+        # Points of another cell lie beyond the bisector of the two pivots.
+        low = np.maximum(low, (d - mine[:, None]) / 2)
+        theta = pdf["theta"].to_numpy()[:, None]
+        slack = SLACK * (d + mine[:, None] + self.far[None, :])
+        within = np.ones(d.shape, bool) if self.metric.gaps else low <= theta * (1 + SLACK) + slack
+        return within & (self.counts > 0)[None, :]
+
 
 def _choose_pivots(points: DataFrame, total: int, block: int) -> np.ndarray:
     wanted = max(1, min(MAX_PIVOTS, total // max(1, block // 4)))
@@ -244,13 +279,11 @@ def _choose_pivots(points: DataFrame, total: int, block: int) -> np.ndarray:
     return np.unique(np.array([r["vec"] for r in rows], dtype=float), axis=0)
 
 
-def _place(cells: _Cells):
+def _place(cells):
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                d = cells.distances(_matrix(pdf["vec"]))
-                cell = d.argmin(1)
-                yield pdf.assign(cell=cell.astype("int32"), r=d[np.arange(len(d)), cell])
+                yield from cells.placed(pdf)
 
     return run
 
@@ -274,20 +307,42 @@ def knn(points: DataFrame, k: int, metric: Metric = Metric(), queries: DataFrame
     asked = points if same else queries.select(F.col("id").cast("bigint").alias("id"), "vec")
     total = points.count() if total is None else total
     block = block or block_size(points, total)
-    cells = _Cells(_choose_pivots(points, total, block), metric)
-    placed = points.mapInPandas(_place(cells), "id bigint, vec array<double>, cell int, r double")
-    for row in placed.groupBy("cell").agg(F.count("id").alias("n"), F.max("r").alias("hi"),
-                                          F.min("r").alias("lo")).collect():
-        c = row["cell"]
-        cells.counts[c], cells.far[c], cells.near[c] = row["n"], row["hi"], row["lo"]
-        cells.parts[c] = math.ceil(row["n"] / block)
-    spark = points.sparkSession
+    return _found(points, None if same else asked, _cells(points, total, block, metric), k, block, total)
+
+
+def _cells(points: DataFrame, total: int, block: int, metric: Metric):
+    from tessera.operators.boxes import boxes
+
+    return boxes(points, total, block, [metric]) if metric.boxed else _Cells(_choose_pivots(points, total, block), metric)
+
+
+def nearest_under(points: DataFrame, k: int, metrics: list[Metric]) -> DataFrame:
+    """(g, id, rank, d): distances of the k nearest under each of several mixed-type metrics that boxes bound.
+
+    All metrics search in one run.  Rows with one id count as one point, as in
+    `knn`; no id is null.
+    """
+    from tessera.operators.boxes import ROW_BITS, boxes
+
+    names = cut_lineage(points.select("id").distinct().withColumn("row", F.monotonically_increasing_id()))
+    pts = cut_lineage(points.join(names, "id").select(F.col("row").alias("id"), "vec"))
+    total = pts.count()
+    block = block_size(pts, total)
+    found = _found(pts, None, boxes(pts, total, block, metrics, ties=False), k, block, total)
+    row = F.col("i").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    found = found.select(F.shiftright("i", ROW_BITS).alias("g"), row.alias("row"), "rank", "d")
+    return found.join(names, "row").select("g", "id", "rank", "d")
+
+
+def _found(points: DataFrame, asked: DataFrame | None, cells, k: int, block: int, total: int) -> DataFrame:
+    """(i, rank, j, d): the search of `knn` in the given cells; without `asked` the points ask."""
+    same, spark = asked is None, points.sparkSession
+    placed = points.mapInPandas(_place(cells), "id bigint, vec array<double>, cell int" + (", r double" if isinstance(cells, _Cells) else ""))
+    cells.measure(placed, block)
     part_table = F.array(*[F.lit(int(p)) for p in cells.parts])
     part = F.pmod(F.xxhash64("id", F.lit(7)), F.element_at(part_table, F.col("cell") + 1)).cast("int")
-    located = placed.withColumn("part", part)
-    asked_at = located if same else (
-        asked.mapInPandas(_place(cells), "id bigint, vec array<double>, cell int, r double")
-        .withColumn("part", part))
+    located = placed.select("id", "vec", "cell").withColumn("part", part)
+    asked_at = located if same else asked.mapInPandas(_place(cells), placed.schema).select("id", "vec", "cell").withColumn("part", part)
     if not same:
         # A query may fall in a cell that holds no points.
         asked_at = asked_at.withColumn("part", F.coalesce("part", F.lit(0)))
@@ -297,7 +352,7 @@ def knn(points: DataFrame, k: int, metric: Metric = Metric(), queries: DataFrame
     if not same:
         sizes = {(r["cell"], r["part"]): r["n"] for r in
                  asked_at.groupBy("cell", "part").agg(F.count("id").alias("n")).collect()}
-    home = _meet(asked_at.withColumn("slot", slice_of).withColumn("theta", F.lit(float("inf"))), located, sizes, cells, k, metric, same, block, spark)
+    home = _meet(asked_at.withColumn("slot", slice_of).withColumn("theta", F.lit(float("inf"))), located, sizes, cells, k, same, block)
     # Read by the bound, the visits and the merge: written once.
     home = cut_lineage(home)
     if int(cells.parts.sum()) == 1:
@@ -309,17 +364,19 @@ def knn(points: DataFrame, k: int, metric: Metric = Metric(), queries: DataFrame
         "theta", F.coalesce("theta", F.lit(float("inf"))))
     columns = "id bigint, vec array<double>, cell int, part int, theta double"
     reach = cut_lineage(reach.mapInPandas(_open_blocks(cells), columns + ", n int"))
-    visits = reach.where(F.col("n") <= MAX_VISITS).drop("n").mapInPandas(_visits(cells), columns)
+    # One open block is the own one.
+    visits = reach.where((F.col("n") > 1) & (F.col("n") <= cells.most_visits)).drop("n").mapInPandas(_visits(cells), columns)
     visits = visits.withColumn("slot", slice_of)
     loads = {(r["cell"], r["part"]): r["n"] for r in
              visits.groupBy("cell", "part").agg(F.count("id").alias("n")).collect()}
-    away = _meet(visits, located, loads, cells, k, metric, same, block, spark)
-    wide = reach.where(F.col("n") > MAX_VISITS).select("id", "vec", "theta")
+    away = _meet(visits, located, loads, cells, k, same, block)
+    wide = reach.where(F.col("n") > cells.most_visits).select("id", "vec", "theta")
     n_wide = wide.count()
     if not n_wide:
         return cut_lineage(_rank(home.unionByName(away), k))
     # The grid meets the own block again: what was found there for these queries is not needed.
     home = home.join(wide.select(F.col("id").alias("i")).distinct(), "i", "left_anti")
+    metric = cells.metric_of(0)
 
     def best(q: pd.DataFrame, p: pd.DataFrame):
         return _nearest_of(q, p, k, metric, same)
@@ -368,40 +425,31 @@ def _nearest_of(q: pd.DataFrame, p: pd.DataFrame, k: int, metric: Metric, same:
         return pd.DataFrame({"i": np.array([], "int64"), "j": np.array([], "int64"), "d": np.array([], float)})
     qid, pid, theta = q["id"].to_numpy(), p["id"].to_numpy(), q["theta"].to_numpy(dtype=float)
     px = _matrix(p["vec"])
+    if metric.boxed:
+        from tessera.operators.boxes import nearest
+
+        return nearest(qid, _matrix(q["vec"]), theta, pid, px, k, metric, same)
     middle = px.mean(0)
     tall, broad = metric.strips(_matrix(q["vec"]), TALL, middle), metric.strips(px, BROAD, middle)
     cuts = [slice(lo, lo + TALL) for lo in range(0, len(qid), TALL)]
     return pd.concat([_best_of_strips(qid[c], pid, x, broad, metric, k, same, theta[c]) for c, x in zip(cuts, tall)])
 
 
-def _open(cells: _Cells, pdf: pd.DataFrame) -> np.ndarray:
-    """Which cells the bound of each query leaves open."""
-    d = cells.distances(_matrix(pdf["vec"]))
-    mine = d[np.arange(len(d)), pdf["cell"].to_numpy()]
-    low = np.maximum(d - cells.far[None, :], cells.near[None, :] - d)
-    # Points of another cell lie beyond the bisector of the two pivots.
-    low = np.maximum(low, (d - mine[:, None]) / 2)
-    theta = pdf["theta"].to_numpy()[:, None]
-    slack = SLACK * (d + mine[:, None] + cells.far[None, :])
-    within = np.ones(d.shape, bool) if cells.metric.gaps else low <= theta * (1 + SLACK) + slack
-    return within & (cells.counts > 0)[None, :]
-
-
-def _open_blocks(cells: _Cells):
+def _open_blocks(cells):
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                yield pdf.assign(n=(_open(cells, pdf) @ cells.parts).astype("int32"))
+                yield pdf.assign(n=(cells.open(pdf) @ cells.parts).astype("int32"))
 
     return run
 
 
-def _visits(cells: _Cells):
+def _visits(cells):
     def run(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            own, open_ = pdf["cell"].to_numpy(), _open(cells, pdf)
+            own, open_ = pdf["cell"].to_numpy(), cells.open(pdf)
             qi, cj = np.nonzero(open_)
             reps = cells.parts[cj]
             qi, cj = np.repeat(qi, reps), np.repeat(cj, reps)
@@ -419,7 +467,7 @@ def _visits(cells: _Cells):
     return run
 
 
-def _meet(asked, located, loads, cells, k, metric, same, block, spark) -> DataFrame:
+def _meet(asked, located, loads, cells, k, same, block) -> DataFrame:
     """Query slices against point blocks, the k best of each meeting."""
     slices = [[1] * int(p) for p in cells.parts]
     if loads:
@@ -434,6 +482,7 @@ def _meet(asked, located, loads, cells, k, metric, same, block, spark) -> DataFr
         F.col("part").alias("ppart"), F.col("slot").cast("int").alias("pslot"))
 
     def best(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        metric = cells.metric_of(q["cell"].iloc[0]) if len(q) else None
         return _nearest_of(q, p.rename(columns={"pid": "id", "pvec": "vec"}), k, metric, same)
 
     return asked.groupBy("cell", "part", "slot").cogroup(
