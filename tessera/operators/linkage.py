@@ -7,54 +7,57 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.neighbours import Metric, _matrix, all_pairs_reduce, knn
+from tessera.operators.neighbours import Metric, _matrix, all_pairs_reduce, knn, pairs_within
 from tessera.operators.ordered import quantiles
 from tessera.session import cut_lineage
 
 
-def _nearest_group(points: DataFrame, eps: float, metric: Metric) -> DataFrame:
-    """(cluster, other, h): for each group the closest group by complete linkage, within eps.
-
-    Two groups are within reach only if every cross pair is, so a member's
-    candidates are the groups all of whose members it can see; a block pair
-    reports, per member and group, how many it sees and how far the farthest is.
-    """
+def _in_reach(points: DataFrame, eps: float, metric: Metric) -> DataFrame:
+    """(cluster, other, h, n): pairs of different points within eps, each a group of its own, both ways; n is 1."""
+    pts = points.select("id", "vec")
+    if metric.boxed:
+        t = pairs_within(pts, eps, metric).select(F.col("i").alias("cluster"), F.col("j").alias("other"), F.col("d").alias("h"))
+        return t.withColumn("n", F.lit(1).cast("bigint"))
 
     def seen(x, y):
         d = metric.between(_matrix(x["vec"]), _matrix(y["vec"]))
-        other = x["cluster"].to_numpy()[:, None] != y["cluster"].to_numpy()[None, :]
-        i, j = np.nonzero((d <= eps) & other)
-        t = pd.DataFrame({"id": x["id"].to_numpy()[i], "cluster": x["cluster"].to_numpy()[i], "other": y["cluster"].to_numpy()[j], "h": d[i, j]})
-        return t.groupby(["cluster", "other"]).agg(h=("h", "max"), n=("h", "size")).reset_index()[["cluster", "other", "h", "n"]]
+        i, j = np.nonzero((d <= eps) & (x["id"].to_numpy()[:, None] != y["id"].to_numpy()[None, :]))
+        return pd.DataFrame({"cluster": x["id"].to_numpy()[i], "other": y["id"].to_numpy()[j], "h": d[i, j], "n": 1})
 
-    pts = points.select("id", "vec", "cluster")
-    part = all_pairs_reduce(pts, pts, seen, "cluster bigint, other bigint, h double, n bigint")
-    pair = part.groupBy("cluster", "other").agg(F.max("h").alias("h"), F.sum("n").alias("n"))
-    size = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("s"))
-    full = pair.join(size.select("cluster", F.col("s").alias("sa")), "cluster").join(
-        size.select(F.col("cluster").alias("other"), F.col("s").alias("sb")), "other").where(F.col("n") == F.col("sa") * F.col("sb"))
-    return full.groupBy("cluster").agg(F.min(F.struct("h", F.least("cluster", "other"), F.greatest("cluster", "other"), "other")).alias("b")).select(
-        "cluster", F.col("b.other").alias("other"), F.col("b.h").alias("h"))
+    return all_pairs_reduce(pts, pts, seen, "cluster bigint, other bigint, h double, n bigint")
 
 
 def complete_tree(points: DataFrame, eps: float, metric: Metric = Metric()) -> tuple[DataFrame, DataFrame]:
     """(id, vec) of the distinct points and (cluster, to, h) of all merges of complete linkage up to eps.
 
-    Exact copies collapse first.  Then mutual nearest groups merge, all at once:
-    complete linkage is reducible, so this gives the same tree as one merge at a
-    time.  Block pairs return one row per pair of groups in reach, not per pair of
-    points.  A group is named by its smallest id, and merges into a smaller name.
+    Exact copies collapse first, and the pairs within eps are found once.  Then
+    mutual nearest groups merge, all at once: complete linkage is reducible, so this
+    gives the same tree as one merge at a time.  Two groups are in reach only if
+    every cross pair is: a merge keeps the pairs of groups that both its parts had,
+    so that the table of pairs shrinks and no distance is computed again.  A group
+    is named by its smallest id, and merges into a smaller name.
     """
-    distinct = cut_lineage(points.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec", F.col("id").alias("cluster")))
-    now, merges = distinct, None
+    def full(pairs, sizes):
+        """One row for each pair of groups all of whose members are in reach."""
+        size = lambda name, s: sizes.select(F.col("cluster").alias(name), F.col("s").alias(s))
+        t = pairs.groupBy("cluster", "other").agg(F.max("h").alias("h"), F.sum("n").alias("n"))
+        return cut_lineage(t.join(size("cluster", "sa"), "cluster").join(size("other", "sb"), "other").where("n = sa * sb").select("cluster", "other", "h", "n"))
+
+    distinct, merges = cut_lineage(points.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec")), None
+    sizes = cut_lineage(distinct.groupBy(F.col("id").alias("cluster")).agg(F.count(F.lit(1)).alias("s")))
+    pairs = full(_in_reach(distinct, eps, metric), sizes)
     while True:  # each round merges the nearest pair at least
-        near = cut_lineage(_nearest_group(now, eps, metric))
+        key = F.struct("h", F.least("cluster", "other"), F.greatest("cluster", "other"), "other")
+        near = cut_lineage(pairs.groupBy("cluster").agg(F.min(key).alias("b")).select("cluster", F.col("b.other").alias("other"), F.col("b.h").alias("h")))
         back = near.select(F.col("other").alias("cluster"), F.col("cluster").alias("other"))
         merge = cut_lineage(near.join(back, ["cluster", "other"]).where("other < cluster").select("cluster", F.col("other").alias("to"), "h"))
         merges = merge if merges is None else merges.unionByName(merge)
         if merge.isEmpty():
-            return distinct.select("id", "vec"), cut_lineage(merges)
-        now = cut_lineage(now.join(merge.select("cluster", "to"), "cluster", "left").select("id", "vec", F.coalesce("to", "cluster").alias("cluster")))
+            return distinct, cut_lineage(merges)
+        to = merge.select(F.col("cluster").alias("_c"), "to")
+        named = lambda t, c="cluster": t.join(to, t[c] == F.col("_c"), "left").withColumn(c, F.coalesce("to", c)).drop("_c", "to")
+        sizes = cut_lineage(named(sizes).groupBy("cluster").agg(F.sum("s").alias("s")))
+        pairs = full(named(named(pairs), "other").where("cluster <> other"), sizes)
 
 
 def groups_at(points: DataFrame, tree: tuple[DataFrame, DataFrame], eps: float) -> DataFrame:

@@ -385,6 +385,30 @@ def _found(points: DataFrame, asked: DataFrame | None, cells, k: int, block: int
     return cut_lineage(_rank(home.unionByName(away).unionByName(everywhere), k))
 
 
+def pairs_within(points: DataFrame, eps: float, metric: Metric) -> DataFrame:
+    """(i, j, d): all pairs of different ids up to a distance that boxes bound, both ways."""
+    from tessera.operators.boxes import boxes, within
+
+    total = points.count()
+    block = block_size(points, total)
+    cells = boxes(points, total, block, [metric])
+    placed = cut_lineage(points.mapInPandas(_place(cells), "id bigint, vec array<double>, cell int"))
+    cells.measure(placed, block)
+    part = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.element_at(F.array(*[F.lit(int(p)) for p in cells.parts]), F.col("cell") + 1)).cast("int")
+    points = placed.withColumn("part", part(7))
+    # A block that is asked by others too is asked in slices of its own size at most; -1 takes the own block along.
+    asked = placed.withColumn("part", F.lit(-1)).withColumn("theta", F.lit(float(eps)))
+    columns = "id bigint, vec array<double>, cell int, part int, theta double"
+    visits = cut_lineage(asked.mapInPandas(_visits(cells), columns))
+    loads = {(r["cell"], r["part"]): r["n"] for r in visits.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def found(q, p, metric):
+        return within(q["id"].to_numpy(), _matrix(q["vec"]), p["id"].to_numpy(), _matrix(p["vec"]), eps, metric)
+
+    slice_of = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)).cast("int")
+    return _meet(visits.withColumn("slot", slice_of), points, loads, cells, 0, False, block, found)
+
+
 def _knn_of_copies(points: DataFrame, k: int, metric: Metric, block: int | None) -> DataFrame:
     """knn where most points have copies: one of each vector searches, and stands for its ids.
 
@@ -467,8 +491,8 @@ def _visits(cells):
     return run
 
 
-def _meet(asked, located, loads, cells, k, same, block) -> DataFrame:
-    """Query slices against point blocks, the k best of each meeting."""
+def _meet(asked, located, loads, cells, k, same, block, run=None) -> DataFrame:
+    """Query slices against point blocks, the k best of each meeting, or what `run(queries, points, metric)` gives."""
     slices = [[1] * int(p) for p in cells.parts]
     if loads:
         for (c, p), n in loads.items():
@@ -482,8 +506,10 @@ def _meet(asked, located, loads, cells, k, same, block) -> DataFrame:
         F.col("part").alias("ppart"), F.col("slot").cast("int").alias("pslot"))
 
     def best(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        metric = cells.metric_of(q["cell"].iloc[0]) if len(q) else None
-        return _nearest_of(q, p.rename(columns={"pid": "id", "pvec": "vec"}), k, metric, same)
+        if not len(q) or not len(p):
+            return pd.DataFrame({"i": np.array([], "int64"), "j": np.array([], "int64"), "d": np.array([], float)})
+        metric, p = cells.metric_of(q["cell"].iloc[0]), p.rename(columns={"pid": "id", "pvec": "vec"})
+        return run(q, p, metric) if run else _nearest_of(q, p, k, metric, same)
 
     return asked.groupBy("cell", "part", "slot").cogroup(
         copies.groupBy("pcell", "ppart", "pslot")).applyInPandas(best, "i bigint, j bigint, d double")

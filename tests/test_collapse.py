@@ -45,3 +45,19 @@ def test_small_tables(spark):
     assert eps == 0.0 and [tuple(r) for r in groups.collect()] == [(0, 0)]
     groups, _ = K.near_copies(table(spark, [[1.0, 2.0], [1.0, 2.0], [1.0, 2.0]]))
     assert {r["id"]: r["cluster"] for r in groups.collect()} == {0: 0, 1: 0, 2: 0}
+
+
+def test_mixed_tree_finds_pairs_once(spark, monkeypatch):
+    """Mixed items merge as one pair at a time would, and distances are searched once, not in every round."""
+    rng = np.random.default_rng(12)
+    x = np.column_stack([rng.random(120), rng.random(120), rng.integers(0, 2, 120) * 5.0])
+    x[100:] = x[:20] + np.column_stack([rng.normal(0, 0.01, (20, 2)), np.zeros(20)])
+    metric, searches = Metric("gower", 2, (1.0, 1.0, 1.0)), []
+    for name in ("pairs_within", "all_pairs_reduce"):
+        if hasattr(K, name):
+            monkeypatch.setattr(K, name, lambda *a, f=getattr(K, name), **more: searches.append(f) or f(*a, **more))
+    p, d = table(spark, x), metric.between(x, x)
+    tree = K.complete_tree(p, 0.08, metric)
+    for eps in (0.0, 0.02, 0.08):
+        assert {r["id"]: r["cluster"] for r in K.groups_at(p, tree, eps).collect()} == brute(d, eps)
+    assert len(searches) == 1
