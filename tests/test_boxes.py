@@ -85,3 +85,37 @@ def test_pairs_within_reach(spark):
     got = B.within(ids, x, ids, x, 0.06, metric)
     d = metric.between(x, x)
     assert {(i, j) for i, j in zip(got["i"], got["j"])} == {(i, j) for i, j in zip(*np.nonzero(d <= 0.06)) if i != j}
+
+
+def test_weight_candidates_without_all_pairs(spark, monkeypatch):
+    """Large tables search for the two nearest under all candidates at once; dimensions are those of all pairs."""
+    from tessera.operators import weights as W
+
+    x = _mixed(900, 8)
+    x[:40] = x[40:80]
+    candidates = [[1.0, 1.0, 1.0, 1.0], [1.0, 0.0, 1.0, 1.0], [0.5, 1.0, 0.0, 1.0]]
+    want = W.candidate_dimensions(_points(spark, x), 2, candidates)
+    monkeypatch.setattr(W, "FEW", 100)
+    monkeypatch.setattr(W, "all_pairs_reduce", None)
+    assert W.candidate_dimensions(_points(spark, x), 2, candidates) == pytest.approx(want, rel=1e-12)
+
+
+def test_weights_descend_until_no_move_helps(spark, monkeypatch):
+    from tessera.operators import weights as W
+    from tessera.plans.registry import QUERIES
+
+    seen, optimise = [], W.optimise
+
+    def kept(*args, **more):
+        seen.append(optimise(*args, **more))
+        return seen[-1]
+
+    monkeypatch.setattr(W, "optimise", kept)
+    from harness import DATA
+
+    import tessera.plans as plans
+
+    plans.load()
+    rows = {r["item"]: r["weight"] for r in QUERIES["i5_weight_optimiser"](spark, DATA).collect()}
+    (weights, history), = seen
+    assert rows == weights and max(h["iter"] for h in history) > 1
