@@ -680,26 +680,31 @@ def closer_counts(pairs: DataFrame, points: DataFrame, metric: Metric = Metric()
 
     def count(x, y):
         d = metric.between(_matrix(x["vec"]), _matrix(y["vec"]))
-        pid = y["id"].to_numpy()
-        out_i, out_j, out_n = [], [], []
-        for r in range(len(x)):
-            js = np.asarray(x["js"].iloc[r])
-            dj = np.array(x["ds"].iloc[r])
-            inside = np.where(np.isin(js, pid))[0]
-            where = {v: p for p, v in enumerate(pid)}
-            for t in inside:
-                dj[t] = d[r, where[js[t]]]
-            # Equal to one part in 10^12 counts as a tie and is settled by id.
-            tie = 1e-12 * np.maximum(1.0, dj)
-            order = np.lexsort((pid, d[r]))
-            order = order[pid[order] != x["id"].iloc[r]]
-            ds, ps = d[r, order], pid[order]
-            before = np.searchsorted(ds, dj - tie, side="left")
-            after = np.searchsorted(ds, dj + tie, side="right")
-            for t in range(len(js)):
-                tied = int((ps[before[t]:after[t]] < js[t]).sum())
-                out_i.append(x["id"].iloc[r]); out_j.append(js[t]); out_n.append(int(before[t]) + tied)
-        return pd.DataFrame({"i": out_i, "j": out_j, "n": out_n})
+        pid, own = y["id"].to_numpy(), x["id"].to_numpy()
+        by_id = np.argsort(pid, kind="stable")
+        d, pid = d[:, by_id], pid[by_id]
+        many = x["js"].map(len).to_numpy()
+        row, js, dj = np.repeat(np.arange(len(x)), many), np.concatenate(x["js"].to_list()), np.concatenate(x["ds"].to_list()).astype(float)
+        # The last of equal ids, as before.
+        at = np.searchsorted(pid, js, "right") - 1
+        inside = np.flatnonzero((at >= 0) & (pid[at] == js))
+        dj[inside] = d[row[inside], at[inside]]
+        hidden = _same_ids(own, pid)
+        d[hidden] = np.nan
+        # Equal to one part in 10^12 counts as a tie and is settled by id.
+        tie = 1e-12 * np.maximum(1.0, dj)
+        lo, hi = dj - tie, dj + tie
+        ordered, first = np.sort(d, axis=1), np.cumsum(many) - many
+        n = np.empty(len(row), "int64")
+        for r in np.flatnonzero(many):
+            own_rows = slice(first[r], first[r] + many[r])
+            before = np.searchsorted(ordered[r], lo[own_rows], "left")
+            tied = np.searchsorted(ordered[r], hi[own_rows], "right") - before
+            n[own_rows] = before
+            for t in first[r] + np.flatnonzero(tied):
+                upto = d[r, :np.searchsorted(pid, js[t])]
+                n[t] += np.count_nonzero((upto >= lo[t]) & (upto <= hi[t]))
+        return pd.DataFrame({"i": own[row], "j": js, "n": n})
 
     partial = all_pairs_reduce(left, points.select("id", "vec"), count, "i bigint, j bigint, n bigint", keys=["i", "j"])
     return partial.groupBy("i", "j").agg((F.sum("n") + 1).alias("rank"))
